@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontam import op6_decontamination
+from .neardup import op3_minhash_neardup
+from .packing import op2_packing
+from .quality_rules import op7_quality_rules
 from .secret_scan import op1_secret_scan
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_neardup, op6_decontamination, op7_quality_rules)}
 
 #: DuckDB SQL for those queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -119,7 +119,7 @@ def _spans(text: Column, pattern: str, kind: str, passes) -> Column:
 
 def _score(ratios: list[float], token: Column) -> Column:
     """Mean log-likelihood ratio per character pair of an ASCII token."""
-    table = F.lit(ratios)
+    table = F.split(F.lit(" ".join(map(repr, ratios))), " ").cast("array<double>")  # folded into one literal
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
     sums = lambda c: F.aggregate(
         F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.get(table, a * 128 + b)), F.lit(0.0), lambda acc, x: acc + x
