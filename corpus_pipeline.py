@@ -1,14 +1,78 @@
-"""From raw documents to packed training sequences: quality rules, near-dedup, decontamination, secret scan, packing."""
+"""From raw documents to packed training sequences: quality rules, near-dedup, decontamination, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir), reads all rows of ``docs`` and returns a
+DataFrame; all but the last return the columns of ``docs``. Null and empty texts
+fail the quality rules; rows that repeat a doc_id within near-dedup leave one.
+Columns of ``docs`` whose names an operator uses for its results are set aside
+and put back. An empty table goes through every stage as one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docsheet.llm import decontam, neardup, packing, quality_rules, secret_scan
 from docsheet.llm.common import materialise
 
-STAGES: list = []
+#: A document more than half of whose words are test items goes; below that the passages are cut out.
+MAX_COVERAGE = 0.5
+
+
+def _aside(docs: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with any column called ``name`` renamed, and what selects the columns as they were."""
+    if name not in docs.columns:
+        return docs, lambda df: df.select(docs.columns)
+    columns = [F.col(f"_own_{c}").alias(c) if c == name else F.col(c) for c in docs.columns]
+    return docs.withColumnRenamed(name, f"_own_{name}"), lambda df: df.select(columns)
+
+
+def _rewritten(changed: Column) -> Column:
+    return F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules of text or host go."""
+    own, back = _aside(docs, "quality")
+    return back(quality_rules.judge(own).where("quality.kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that of the least doc_id."""
+    judged = materialise(neardup.near_duplicates(docs).select("doc_id", "kept"))
+    gone = judged.where("not kept").select("doc_id").distinct()
+    few = gone.limit(neardup.BROADCAST_IDS + 1).count() <= neardup.BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return left if repeated.isEmpty() else left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items are cut out; documents over ``MAX_COVERAGE`` go."""
+    own, back = _aside(docs, "contamination")
+    marked = decontam.mark(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    cut = decontam.remove(marked.withColumn("_hit", F.col("contamination.n_hit") > 0), MAX_COVERAGE)
+    return back(cut.withColumn("n_chars", _rewritten(F.col("_hit"))))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    own, back = _aside(docs, "secret_spans")
+    scanned = secret_scan.scan(own, secret_scan.default_model(spark))
+    clean = secret_scan.redact(scanned.withColumn("_hit", F.size("secret_spans") > 0))
+    return back(clean.withColumn("n_chars", _rewritten(F.col("_hit"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row per piece, with its ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("secret_scan", redact_secrets), ("packing", pack)]
 
-#: Hash signatures, the suffix automaton and the tokenizer have no SQL form: tests hold run() against a brute-force version.
+#: Hash signatures, the suffix automaton and the tokenizer have no SQL form: a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

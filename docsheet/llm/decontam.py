@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 #: Words of test items in one automaton (some 100 bytes a word): a larger benchmark takes several passes over the documents.
 SHARD_WORDS = 300_000
@@ -174,7 +174,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
         left = [c for c in docs.columns if c != "_before" and (carry_text or following is not None or c != text)]
         schema = T.StructType([*(docs.schema[c] for c in left), T.StructField("contamination", RESULT)])
         shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(shard, window))
-        docs = docs.mapInArrow(_marker(shared, left, text, more), schema)
+        docs = map_arrow(docs, _marker(shared, left, text, more), schema)
         if following is not None:
             docs = materialise(docs.withColumnRenamed("contamination", "_before"))
         shard, more = following, True

@@ -7,9 +7,10 @@ most 22 values agree, in some chunk, on all values but one at most (pigeonhole),
 so one key per chunk and left-out value finds all such pairs. A pair of sets at
 similarity 0.85 differs in more than 22 values with a chance of about 2e-5.
 
-Hot buckets are never expanded into all pairs: each member meets the bucket's
-head first; what these links leave in different components meets in a second
-join, so no link between components is lost.
+Hot buckets are not expanded into all pairs: each member meets a few heads of
+its buckets first, and only members that these links leave in different
+components meet pair by pair, if wider signatures let them, so no link between
+components is lost.
 
 Null and empty texts have empty sets, are linked with nothing and stay. Rows
 without a doc_id are never linked. Rows that repeat a doc_id are judged by their
@@ -25,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 
 VALUES, CHUNKS, DISTANCE = 64, 12, 22
+#: One-bit values of the wide signatures, and the most of them that may differ: at similarity 0.85, 4.5 standard deviations over the mean.
+WIDE, WIDE_DISTANCE = 1024, 115
+#: Rounds of heads: buckets of the same family and members have the same head.
+HEADS = (4, 64)
 #: Lists of ids up to this length (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a task remembers.
@@ -35,8 +40,7 @@ REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
-_SCALE = np.random.default_rng(20240502).integers(1, 2**32, VALUES, dtype=np.uint64) | np.uint64(1)
-_SHIFT = np.random.default_rng(20240503).integers(0, 2**63, VALUES, dtype=np.uint64)
+_SCALE = np.random.default_rng(20240502).integers(1, 2**64, VALUES, dtype=np.uint64) | np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -69,9 +73,9 @@ def signature(items: np.ndarray) -> np.ndarray:
     """64 MinHash values, 16 bits each, of a set that isn't empty."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(items), 2048):
-        h = items[part : part + 2048] >> np.uint64(32)
-        least = np.minimum(least, ((h[:, None] * _SCALE + _SHIFT) >> np.uint64(32)).min(axis=0))
-    return (least & np.uint64(0xFFFF)).astype("<u2")
+        h = items[part : part + 2048, None] * _SCALE
+        least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
+    return (_spread(least) >> np.uint64(48)).astype("<u2")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +123,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py(), hashes).tobytes() for t in rows.column(1)], pa.binary())], ["id", "items"])
 
 
+def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of many MinHash values."""
+    hashes = _WordHashes()
+    scale = np.random.default_rng(20240504).integers(1, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        ids, rows = [], []
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            items, least = shingles(text.as_py(), hashes), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+            for part in range(0, len(items), 512):
+                h = items[part : part + 512, None] * scale
+                least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
+            ids.append(k)
+            rows.append(np.packbits((_spread(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64))
+        if ids:
+            table = np.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(table[:, k]) for k in range(WIDE // 64))], ["id", *(f"w{k}" for k in range(WIDE // 64))])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +157,7 @@ def _confirm(percent: int):
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: set size, 128-bit hash of the set, signature and its four low bit planes."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features, FEATURES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _features, FEATURES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,14 +192,19 @@ def _close(x: str, y: str, percent: int) -> Column:
     return (F.bit_count(differ) <= DISTANCE) & (100 * small >= percent * large)
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows of ``docs`` with one of the distinct ``ids``."""
+    ids = materialise(ids)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialise(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, "id long, items binary"))
+    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+    sets = materialise(map_arrow(_texts_of(ids, docs, id_col, text_col), _sets, "id long, items binary"))
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(full.mapInArrow(_confirm(percent), "a long, b long").distinct())
+    return materialise(map_arrow(full, _confirm(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,25 +215,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .groupBy("hi", "lo", "n_shingles")
         .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("p0", "p1", "p2", "p3", "signature")])
     )
-    keys = nodes.select("id", "signature").mapInArrow(_chunk_keys, "key long, id long")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
-    # members of buckets that have two and more
-    shared = materialise(keys.join(buckets, "key"))
-    planes = nodes.select("id", "n_shingles", "p0", "p1", "p2", "p3")
-
-    def within(pairs: DataFrame) -> DataFrame:
-        x, y = planes.alias("x"), planes.alias("y")
-        near = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_close("x", "y", percent))
-        return materialise(near.select("a", "b").distinct())
-
-    links = _linked(within(shared.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), docs, percent, id_col, text_col)
-    label = materialise(components(links))
-    # what the heads left apart
-    placed = shared.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    rest = materialise(placed.join(mixed, "key").join(planes, "id"))
+    keys = map_arrow(nodes.select("id", "signature"), _chunk_keys, "key long, id long")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
+    members = materialise(keys.join(buckets, "key"))  # of buckets that have two and more
+    state = nodes.select("id", "n_shingles", "p0", "p1", "p2", "p3", F.col("id").alias("c"))
+    links = None
+    for families in HEADS:
+        mask = F.xxhash64(F.pmod("key", F.lit(families)), F.lit(families))
+        heads = members.select("key", F.col("id").bitwiseXOR(mask).alias("h")).groupBy("key").agg(F.min("h").alias("h"))
+        pairs = members.join(heads, "key").select(F.col("h").bitwiseXOR(mask).alias("x"), F.col("id").alias("y")).where("x <> y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        near = pairs.join(state.alias("x"), F.col("a") == F.col("x.id")).join(state.alias("y"), F.col("b") == F.col("y.id"))
+        found = _linked(materialise(near.where(_close("x", "y", percent) & (F.col("x.c") != F.col("y.c"))).select("a", "b")), docs, percent, id_col, text_col)
+        links = found if links is None else materialise(links.union(found))
+        label = materialise(components(links))
+        state = materialise(nodes.join(label, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "p0", "p1", "p2", "p3", F.coalesce("component", "id").alias("c")))
+        # buckets whose members are still in different components
+        placed = members.join(state.select("id", "c"), "id")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        members = materialise(placed.join(mixed, "key").select("key", "id"))
+    wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _wide_signatures, "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
+    rest = materialise(members.join(state.join(wide, "id"), "id"))
     x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent))
+    differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WIDE // 64)), F.lit(0))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= WIDE_DISTANCE))
     more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), docs, percent, id_col, text_col)
     label = materialise(components(links.union(more)))
 
