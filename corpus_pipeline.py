@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheet.llm import decontam, neardup, packing, quality_rules, secret_scan
-from docsheet.llm.common import materialise
+from docsheet.llm.common import BROADCAST_IDS, materialise
 
 #: A document more than half of whose words are test items goes; below that the passages are cut out.
 MAX_COVERAGE = 0.5
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the least doc_id."""
     judged = materialise(neardup.near_duplicates(docs).select("doc_id", "kept"))
     gone = judged.where("not kept").select("doc_id").distinct()
-    few = gone.limit(neardup.BROADCAST_IDS + 1).count() <= neardup.BROADCAST_IDS
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
     repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return left if repeated.isEmpty() else left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

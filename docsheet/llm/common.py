@@ -44,8 +44,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Lists of ids up to this length (16 bytes each) are broadcast; beyond it joins with them shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def having_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is one of ``ids``; both have a column ``id``, and ``ids`` is a written table without repeats."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
 _shipped: set[str] = set()

@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import having_ids, map_arrow, materialise
 
 VALUES, CHUNKS, DISTANCE = 64, 12, 22
 #: One-bit values of the wide signatures, and the most of them that may differ: at similarity 0.85, 4.5 standard deviations over the mean.
 WIDE, WIDE_DISTANCE = 1024, 115
 #: Rounds of heads: buckets of the same family and members have the same head.
 HEADS = (4, 64)
-#: Lists of ids up to this length (16 bytes each) are broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
@@ -194,9 +192,7 @@ def _close(x: str, y: str, percent: int) -> Column:
 
 def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the rows of ``docs`` with one of the distinct ``ids``."""
-    ids = materialise(ids)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return having_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), materialise(ids))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:

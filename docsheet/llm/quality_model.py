@@ -1,0 +1,257 @@
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte 5-grams, trained on trusted text.
+
+Counts of 5-grams are gathered from every trusted document and summed per shard (the hash of the gram); the lower
+orders count distinct left extensions; joins of counts with the statistics of their contexts and with the order below
+give one probability table per order. A document's perplexity is compared with a quantile of the trusted documents of
+its language.
+
+The orders are bytes, not words: the tables then stop growing with the corpus, and scoring needs no shuffle of every
+word of it. While the tables have at most ``model_rows`` rows (a checked bound) they are broadcast and documents are
+scored as they stream by; beyond it the distinct grams of each document are joined with the sharded tables. Both ways
+give the same perplexities.
+
+Null and empty texts have no perplexity (null) and aren't kept. Rows that repeat a doc_id are scored one by one. A null
+language is a language of its own; one with fewer than ``least_trusted`` trusted documents uses the quantile of all.
+Without trusted text nothing is rejected. Results travel in one struct column, ``quality_model``; a column of that name
+is replaced, all others pass through. An empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import having_ids, map_arrow, materialise
+
+ORDER = 5
+#: Bytes handled at once by a task, and distinct grams that it holds before it hands them on.
+PART, HELD = 1 << 18, 1 << 20
+#: Digits are alike, other white space is a space; byte 0 stands before every text.
+_NORMAL = bytes(48 if 48 <= c <= 57 else 32 if c in b"\0\t\n\x0b\x0c\r" else c for c in range(256))
+_START = b"\0" * (ORDER - 1)
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, first position of each row's grams, grams) of the texts, in parts of bounded size; a long text comes in several."""
+    rows, firsts, grams, held = [], [], [], 0
+    for row, text in enumerate(texts):
+        text = text.as_py()
+        if not text:
+            continue
+        raw = _START + text.encode("utf-8", "replace").translate(_NORMAL)
+        for at in range(0, len(raw) - len(_START), PART):
+            b = np.frombuffer(raw, np.uint8, min(PART + len(_START), len(raw) - at), at).astype(np.int64)
+            n = len(b) - len(_START)
+            g = b[:n]
+            for k in range(1, ORDER):
+                g = (g << 8) | b[k : k + n]
+            rows.append(row)
+            firsts.append(held)
+            grams.append(g)
+            held += n
+            if held >= PART:
+                yield rows, np.array(firsts), np.concatenate(grams)
+                rows, firsts, grams, held = [], [], [], 0
+    if held:
+        yield rows, np.array(firsts), np.concatenate(grams)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts, held = [], [], 0
+    out = lambda: pa.RecordBatch.from_arrays([*map(pa.array, _merged(keys, counts))], ["gram", "n"])
+    for batch in batches:
+        for _, _, grams in _pieces(batch.column(0)):
+            key, n = np.unique(grams, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > HELD:
+                key, n = _merged(keys, counts)
+                keys, counts, held = [key], [n], len(key)
+                if held > HELD // 2:
+                    yield out()
+                    keys, counts, held = [], [], 0
+    if held:
+        yield out()
+
+
+def _discounts(table: DataFrame) -> tuple[float, float, float]:
+    """The three discounts of an order from its counts of counts."""
+    t = table.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"t{k}") for k in (1, 2, 3, 4)]).first()
+    t1, t2, t3, t4 = ((t[f"t{k}"] or 0) for k in (1, 2, 3, 4))
+    if not (t1 and t2 and t3):  # too little text for the estimates
+        return 0.5, 0.75, 0.9
+    y = t1 / (t1 + 2 * t2)
+    return tuple(min(max(d, 0.05), k) for k, d in ((0.95, 1 - 2 * y * t2 / t1), (1.95, 2 - 3 * y * t3 / t2), (2.95, 3 - 4 * y * t4 / t3)))
+
+
+def train(trusted: DataFrame, text: str = "text") -> tuple[list[DataFrame], list[DataFrame], float]:
+    """Tables of (gram, lp) by order from 1, tables of (context, lg) by order from 2, and the logarithm for a byte never seen.
+
+    ``lp`` is the log-probability of a gram's last byte after the others; ``lg`` the log-weight left to the order below.
+    """
+    counts = map_arrow(trusted.select(text), _count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    levels = [materialise(counts)]
+    for k in range(ORDER - 1, 0, -1):
+        levels.insert(0, materialise(levels[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    grams, weights, unseen = [], [], -np.log(256)
+    for k, level in enumerate(levels, 1):
+        d = _discounts(level)
+        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        stats = level.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        if k == 1:
+            first = stats.first()
+            left = first["off"] / first["total"] if first else 1.0
+            unseen = float(np.log(left / 256))
+            p = (F.col("n") - off) / F.lit(first["total"] if first else 1) + F.lit(left / 256)
+            grams.append(materialise(level.select("gram", F.log(p).alias("lp"))))
+            continue
+        joined = level.select("gram", "n", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("below"))
+        joined = joined.join(stats, "context").join(grams[-1].toDF("below", "lower"), "below")
+        p = (F.col("n") - off) / F.col("total") + F.col("off") / F.col("total") * F.exp("lower")
+        grams.append(materialise(joined.select("gram", F.log(p).alias("lp"))))
+        weights.append(materialise(stats.select("context", F.log(F.col("off") / F.col("total")).alias("lg"))))
+    return grams, weights, unseen
+
+
+class Lookup:
+    """A fixed hash table from grams to numbers, probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = left[self.keys[slot[left]] == -1]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last one stays
+            done = self.keys[slot[left]] == keys[left]
+            self.values[slot[left[done]]] = values[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 for missing keys; which keys are missing)."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        values = self.values[slot]
+        odd = np.flatnonzero(there != keys)
+        missing = []
+        while len(odd):
+            empty = self.keys[slot[odd]] == -1
+            missing.append(odd[empty])
+            odd = odd[~empty]
+            slot[odd] = (slot[odd] + 1) & self.mask
+            hit = self.keys[slot[odd]] == keys[odd]
+            values[odd[hit]] = self.values[slot[odd[hit]]]
+            odd = odd[~hit]
+        gone = np.concatenate(missing) if missing else np.empty(0, np.int64)
+        values[gone] = 0
+        return values, gone
+
+
+def _log_probabilities(grams: np.ndarray, tables: list[Lookup], weights: list[Lookup], unseen: float) -> np.ndarray:
+    out, missing = tables[-1].find(grams)
+    for k in range(ORDER - 1, -1, -1):
+        if not len(missing):
+            break
+        if k == 0:
+            out[missing] += unseen
+            break
+        g = grams[missing]
+        out[missing] += weights[k - 1].find((g & ((1 << 8 * (k + 1)) - 1)) >> 8)[0]
+        values, gone = tables[k - 1].find(g & ((1 << 8 * k) - 1))
+        out[missing] += values
+        missing = missing[gone]
+    return out
+
+
+def _streamed(docs: DataFrame, model, text: str) -> DataFrame:
+    """Adds (n, logp) to each row with the tables in memory."""
+    tables = [[(np.asarray(a[0]), np.asarray(a[1], dtype=np.float32)) for a in (t.toArrow().columns for t in part)] for part in model[:2]]
+    shared = docs.sparkSession.sparkContext.broadcast((*tables, model[2]))
+    built: dict[str, tuple] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            grams, weights, unseen = shared.value
+            built["model"] = [Lookup(*t) for t in grams], [Lookup(*t) for t in weights], unseen
+        for batch in batches:
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for rows, firsts, grams in _pieces(batch.column(text)):
+                lp = _log_probabilities(grams, *built["model"]).astype(np.float64)
+                np.add.at(total, rows, np.add.reduceat(lp, firsts))
+                np.add.at(n, rows, np.diff(np.append(firsts, len(grams))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(total)], [*keep, "_n", "_logp"])
+
+    keep = [c for c in docs.columns if c != text]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text)
+    return map_arrow(docs, run, f"{schema}{', ' if schema else ''}_n long, _logp double")
+
+
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for rows, firsts, grams in _pieces(batch.column(1)):
+            for row, part in zip(rows, np.split(grams, firsts[1:]), strict=True):
+                key, n = np.unique(part, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), ids[row])), pa.array(key), pa.array(n)], ["_row", "gram", "n"])
+
+
+def _joined(docs: DataFrame, model, text: str) -> DataFrame:
+    """Adds (n, logp) to each row by joins of its distinct grams with the sharded tables."""
+    grams, weights, unseen = model
+    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = map_arrow(docs.select("_row", text), _distinct_grams, "_row long, gram long, n long")
+    lp = F.lit(unseen)
+    for k in range(1, ORDER + 1):
+        rows = rows.withColumn("_g", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(grams[k - 1].toDF("_g", f"_p{k}"), "_g", "left").drop("_g")
+        if k > 1:
+            rows = rows.withColumn("_c", F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)), 8)).join(weights[k - 2].toDF("_c", f"_w{k}"), "_c", "left").drop("_c")
+            lp = F.coalesce(F.col(f"_w{k}"), F.lit(0.0)) + lp
+        lp = F.coalesce(F.col(f"_p{k}"), lp)
+    sums = rows.groupBy("_row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * lp).alias("_logp"))
+    out = docs.drop(text).join(sums, "_row", "left").drop("_row")
+    return out.withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_logp", F.coalesce("_logp", F.lit(0.0)))
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.02, least_trusted: int = 20, model_rows: int = 4_000_000, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` without their text and with ``quality_model``: n_bytes, perplexity, threshold and kept.
+
+    Trusted are documents that ``labels`` (doc_id, quality) marks 1. A document is kept if its perplexity is at most
+    ``slack`` times the ``quantile`` of the trusted documents of its language.
+    """
+    docs = docs.drop("quality_model")
+    trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
+    model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), trusted))
+    size = sum(t.count() for part in model[:2] for t in part)
+    scored = (_streamed if size <= model_rows else _joined)(docs, model, text)
+    scored = materialise(scored.withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))))
+    own = having_ids(scored.select(F.col(id_col).alias("id"), F.col(lang).alias("_lang"), F.col("_ppl")).where("_ppl is not null"), trusted)
+    limit = F.percentile_approx("_ppl", F.lit(quantile), F.lit(10_000)).alias("_limit")
+    every = own.agg(limit).first()["_limit"]
+    limits = own.groupBy("_lang").agg(limit, F.count(F.lit(1)).alias("_many")).where(F.col("_many") >= least_trusted).drop("_many")
+    threshold = F.coalesce(F.col("_limit"), F.lit(every).cast("double")) * slack
+    out = scored.join(limits, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    kept = F.coalesce((F.col("_n") > 0) & (threshold.isNull() | (F.col("_ppl") <= threshold)), F.lit(False))
+    verdict = F.struct(F.col("_n").alias("n_bytes"), F.col("_ppl").alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
+    return out.withColumn("quality_model", verdict).drop("_n", "_logp", "_ppl", "_lang", "_limit")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    q = F.col("quality_model")
+    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "lang", *[q[c].alias(c) for c in ("n_bytes", "perplexity", "threshold", "kept")])

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from . import chat_format
+from .chat_format import op5_chat_format
 from .decontam import op6_decontamination
 from .neardup import op3_minhash_neardup
 from .packing import op2_packing
+from .quality_model import op8_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import op1_secret_scan
+from .toxicity import op9_toxicity
+from .url_filter import op4_url_filter
+from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_neardup, op6_decontamination, op7_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_packing, op3_minhash_neardup, op4_url_filter, op5_chat_format, op6_decontamination, op7_quality_rules, op8_quality_classifier, op9_toxicity, op10_warc)
+}
 
-#: DuckDB SQL for those queries that SQL can express.
-SQL: dict[str, str] = {}
+#: DuckDB SQL for those queries that SQL can express; tests hold the others against brute force.
+SQL: dict[str, str] = {"op5_chat_format": chat_format.SQL}

@@ -4,10 +4,11 @@ The kernel compares words by their common subsequences of three letters that
 span at most five, each letter of span costing a factor; so insults with gaps or
 inserted characters stay close to the plain ones. Words are lower-cased, digits
 and signs that stand for letters are read as such, other punctuation is dropped,
-and runs of single letters are joined. A document scores as its worst word.
+and runs of single letters are joined. A document scores by a logistic curve over
+its three worst words and how many of its words lie on the toxic side.
 
 Labels belong to documents, not words: training takes as toxic those words whose
-distinct neighbourhoods are far more frequent in toxic rows, so copies of one
+distinct neighbourhoods are far more frequent in toxic rows than chance allows, so copies of one
 document count once. On the landmarks the machine is linear, and as the kernel
 is a product of subsequence weights, it folds into one weight per subsequence.
 
@@ -85,18 +86,20 @@ def joined(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
 
 
-def worst_word(text: str | None, model: dict) -> float:
-    """The largest decision value of a text's words, from -1 (also for no words) to 1: beyond the margins more says nothing."""
+def decisions(text: str | None, model: dict) -> np.ndarray:
+    """What the logistic curve sees of a text: the three largest decision values of its words, from -1 (also for
+    missing words) to 1 (beyond the margins more says nothing), and the logarithms of the number of words over 0.5, of their share and of all words."""
     s = fold(text)
-    worst, at = -math.inf, 0
+    top, hot, n, at = [-1.0] * 3, 0, 0, 0
     while at < len(s):
         to = min(len(s), at + PART)
         if to < len(s) and (zeros := np.flatnonzero(s[at:to] == 0)).size:
             to = at + int(zeros[-1]) + 1
         part = s[at:to] if s[to - 1] == 0 else np.append(s[at:to], np.uint8(0))
-        worst = max(worst, float(word_scores(part, model["weights"])[1].max(initial=-math.inf)))
-        at = to
-    return max(-1.0, min(1.0, worst + model["bias"]))
+        values = np.clip(word_scores(part, model["weights"])[1] + model["bias"], -1, 1)
+        top = sorted([*top, *np.partition(values, max(0, len(values) - 3))[-3:].tolist()])[-3:]
+        hot, n, at = hot + int((values > 0.5).sum()), n + len(values), to
+    return np.array([*top, math.log1p(hot), math.log1p(1000 * hot / max(1, n)), math.log1p(n)])
 
 
 def _vector(word: bytes) -> np.ndarray:
@@ -119,18 +122,25 @@ def _neighbourhoods(texts: list[str | None]) -> dict[bytes, int]:
     return {w: len(x) for w, x in seen.items()}
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 96, plain_words: int = 20_000, seed: int = 7) -> dict:
+def train(rows: list[tuple[str | None, int]], landmarks: int = 256, plain_words: int = 20_000, seed: int = 7) -> dict:
     """Model from (text, label) rows: weight of each subsequence, bias, and slope and offset of the final logistic curve."""
     draw = random.Random(seed)
     bad, good = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
     share = (len(bad) + 0.5) / (len(rows) + 1)
-    blank = {"weights": np.zeros(SYMBOLS**3, np.float32), "bias": 0.0, "slope": 0.0, "offset": math.log(share / (1 - share))}
+    blank = {"weights": np.zeros(SYMBOLS**3, np.float32), "bias": 0.0, "slope": np.zeros(6), "offset": math.log(share / (1 - share))}
     if not bad or not good:
         return blank
     in_bad, in_good = _neighbourhoods(bad), _neighbourhoods(good)
     n_bad, n_good = sum(in_bad.values()), sum(in_good.values())
     lift = {w: (n / n_bad) / ((in_good.get(w, 0) + 0.5) / n_good) for w, n in in_bad.items() if n >= max(3, 0.01 * len(bad))}
-    toxic = sorted((w for w, x in lift.items() if x > 8), key=lambda w: (-in_bad[w], w))[: landmarks // 2]
+    share_bad = n_bad / (n_bad + n_good)
+
+    def chance(w: bytes) -> float:
+        """Log-likelihood ratio (G squared) of the word's split between toxic and other rows against none."""
+        a, b = in_bad[w], in_good.get(w, 0)
+        return 2 * (a * math.log(a / (share_bad * (a + b))) + (b * math.log(b / ((1 - share_bad) * (a + b))) if b else 0))
+
+    toxic = sorted((w for w, x in lift.items() if x > 8 and chance(w) > 20), key=lambda w: (-in_bad[w], w))[: landmarks // 2]
     if not toxic:
         return blank
     every = plain = sorted(w for w in in_good if lift.get(w, 0) <= 8)
@@ -156,8 +166,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 96, plain_words:
             hardest = np.argsort(-f, kind="stable")[: max(500, plain_words // 10)]
             plain = draw.sample(plain, min(len(plain), plain_words // 4)) + [others[k] for k in hardest]
     model = blank | {"weights": folded, "bias": bias}
-    worst = np.array([worst_word(t, model) for t, _ in rows])
-    model["slope"], model["offset"] = _logistic(worst, np.array([v for _, v in rows], float))
+    seen = np.array([decisions(t, model) for t, _ in rows])
+    model["slope"], model["offset"] = _logistic(seen, np.array([v for _, v in rows], float))
     return model
 
 
@@ -172,16 +182,16 @@ def _fit(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4, ro
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of a logistic curve by damped Newton steps."""
-    shift, scale = x.mean(), x.std() + 1e-9
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic curve by damped Newton steps."""
+    shift, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     u = np.column_stack([(x - shift) / scale, np.ones(len(x))])
-    b = np.zeros(2)
+    b = np.zeros(u.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(u @ b, -30, 30)))
-        b += np.clip(np.linalg.solve(u.T @ (u * (p * (1 - p))[:, None]) + 0.05 * np.eye(2), u.T @ (y - p) - 0.05 * b), -2, 2)
-    slope = max(0.0, b[0] / scale)
-    return slope, float(b[1] - slope * shift)
+        b += np.clip(np.linalg.solve(u.T @ (u * (p * (1 - p))[:, None]) + 0.05 * np.eye(len(b)), u.T @ (y - p) - 0.05 * b), -2, 2)
+    slope = b[:-1] / scale
+    return slope, float(b[-1] - slope @ shift)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> list[tuple[str | None, int]]:
@@ -205,8 +215,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            worst = np.array([worst_word(t.as_py(), m) for t in batch.column(1)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(m["slope"] * worst + m["offset"], -30, 30))))], ["doc_id", "score"])
+            seen = np.array([decisions(t.as_py(), m) for t in batch.column(1)]).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(seen @ m["slope"] + m["offset"], -30, 30))))], ["doc_id", "score"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
 

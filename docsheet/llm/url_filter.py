@@ -21,7 +21,7 @@ from .common import ascii_lower, let
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Parts that labelled URLs are made of, those of unwanted pages and those of others.
-UNWANTED = "casino poker slots betting jackpot roulette bonus win spam farm pills viagra pharmacy loans payday replica adult porn xxx dating escort warez torrent crack keygen clickbait lottery".split()
+UNWANTED = "casino poker slots bets betting jackpot roulette bonus win free cheap deal track ads click spam farm pills viagra pharmacy loans payday replica adult porn xxx dating escort warez torrent crack keygen clickbait lottery".split()
 WANTED = (
     "news blog docs wiki forum shop store library science health sport music travel garden school university museum archive research weather recipes history city book photo street market theater "
     "thther ththan tionble theren erand ingtion onthe thand ououth leque ciones dieung ththin ththst tionsh ththre ererin theron onesan readit"
@@ -35,16 +35,20 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def labelled(rows: int = 600) -> list[tuple[str, str, int]]:
-    """The small labelled table: (host, path, 1 for unwanted), made by rule from the parts above."""
+def labelled(rows: int = 1200) -> list[tuple[str, str, int]]:
+    """The small labelled table: (host, path, 1 for unwanted), made by rule from the parts above; prefix, domain and path are drawn alike for both labels."""
     out = []
     for k in range(rows):
+
+        def pick(options, salt: int, k: int = k):
+            return options[zlib.crc32(f"{salt}:{k}".encode()) % len(options)]
+
         bad = k % 2
-        pool = UNWANTED if bad else WANTED
-        a, b, c = pool[k // 2 % len(pool)], pool[(k // 2 * 7 + 3) % len(pool)], WANTED[k * 5 % len(WANTED)]
-        stem = (f"{a}-{b}", f"{a}{b}", f"{a}.{c}" if not bad else f"{a}-{c}")[k % 3]
-        host = ("www.", "m.", "blog.", "")[k % 4] + stem + "." + ("example.com", "example.org", "example.net")[k // 3 % 3]
-        path = ("/", f"/{('en', 'de', 'fr', 'es')[k // 5 % 4]}/{k % 997}", f"/{('en', 'de', 'fr', 'es')[k // 7 % 4]}/{c}/{k % 997}.html")[k // 4 % 3]
+        a, b = (pick(UNWANTED, 1), pick(UNWANTED, 2)) if bad else (pick(WANTED, 1), pick(WANTED, 2))
+        stem = pick((f"{a}-{b}", f"{a}{b}", a, f"{a}-{pick(WANTED, 3)}"), 4)
+        host = pick(("www.", "m.", "blog.", ""), 5) + stem + "." + pick(("example.com", "example.org", "example.net"), 6)
+        page = zlib.crc32(f"7:{k}".encode()) % 9973
+        path = pick(("/", "/{0}/{1}", "/{0}/{1}.html", "/{0}/{1}/", "/{0}/{2}/{1}"), 8).format(pick(("en", "de", "fr", "es"), 9), page, pick(WANTED, 10))
         out.append((host, path, bad))
     return out
 
