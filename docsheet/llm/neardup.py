@@ -7,10 +7,12 @@ most 22 values agree, in some chunk, on all values but one at most (pigeonhole),
 so one key per chunk and left-out value finds all such pairs. A pair of sets at
 similarity 0.85 differs in more than 22 values with a chance of about 2e-5.
 
-Hot buckets are not expanded into all pairs: each member meets a few heads of
-its buckets first, and only members that these links leave in different
-components meet pair by pair, if wider signatures let them, so no link between
-components is lost.
+Hot buckets are not expanded into all pairs. The members of a group of copies that
+agree most with the others (the sums of their buckets' sizes tell) head their
+buckets: each member meets the head of its largest bucket first, then the heads of
+its other buckets, then a few heads drawn by hashes, each time only if the two are
+still in different components. Only members that these links leave apart meet pair
+by pair, if wider signatures let them, so no link between components is lost.
 
 Null and empty texts have empty sets, are linked with nothing and stay. Rows
 without a doc_id are never linked. Rows that repeat a doc_id are judged by their
@@ -30,9 +32,9 @@ from .common import having_ids, map_arrow, materialise
 
 VALUES, CHUNKS, DISTANCE = 64, 12, 22
 #: One-bit values of the wide signatures, and the most of them that may differ: at similarity 0.85, 4.5 standard deviations over the mean.
-WIDE, WIDE_DISTANCE = 1024, 115
-#: Rounds of heads: buckets of the same family and members have the same head.
-HEADS = (4, 64)
+WIDE, WIDE_DISTANCE = 4096, 383
+#: Rounds of heads: by weight in the largest bucket and in all (0), then by hashes; buckets of the same family and members have the same head.
+ROUNDS = ("largest", 0, 4)
 #: Distinct words whose hashes a task remembers.
 REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
@@ -129,8 +131,8 @@ def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         ids, rows = [], []
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             items, least = shingles(text.as_py(), hashes), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
-            for part in range(0, len(items), 512):
-                h = items[part : part + 512, None] * scale
+            for part in range(0, len(items), 128):
+                h = items[part : part + 128, None] * scale
                 least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
             ids.append(k)
             rows.append(np.packbits((_spread(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64))
@@ -195,14 +197,25 @@ def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     return having_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), materialise(ids))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-    sets = materialise(map_arrow(_texts_of(ids, docs, id_col, text_col), _sets, "id long, items binary"))
-    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))
+    own = having_ids(sets, ids)
+    full = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return materialise(map_arrow(full, _confirm(percent), "a long, b long").distinct())
 
 
+def _head_pairs(members: DataFrame, how) -> DataFrame:
+    """Distinct (a, b): each member of ``members`` (key, id, c, w, own) with the head of its buckets, where the two are in different components."""
+    if how == "largest":
+        members = members.where("key = own")
+    mask = F.xxhash64(F.pmod("key", F.lit(how)), F.lit(how)) if how not in ("largest", 0) else F.lit(0).cast("long")
+    rank = F.struct((-F.col("w") if how in ("largest", 0) else F.lit(0).cast("long")).alias("w"), F.col("id").bitwiseXOR(mask).alias("r"), F.col("id").alias("h"), F.col("c").alias("hc"))
+    heads = members.groupBy("key").agg(F.min(rank).alias("head"))
+    pairs = members.join(heads, "key").where("c <> head.hc").select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"))
+    return pairs.distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id)."""
     made = materialise(features(docs, id_col, text_col))
@@ -212,30 +225,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("p0", "p1", "p2", "p3", "signature")])
     )
     keys = map_arrow(nodes.select("id", "signature"), _chunk_keys, "key long, id long")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(buckets, "key"))  # of buckets that have two and more
-    state = nodes.select("id", "n_shingles", "p0", "p1", "p2", "p3", F.col("id").alias("c"))
+    weights = members.groupBy("id").agg(F.sum("n").alias("w"), F.max(F.struct("n", "key")).alias("largest")).select("id", "w", F.col("largest.key").alias("own"))
+    members = materialise(members.select("key", "id").join(weights, "id").withColumn("c", F.col("id")))
+    sets = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _sets, "id long, items binary"))
+    facts = ("id", "n_shingles", "p0", "p1", "p2", "p3")
     links = None
-    for families in HEADS:
-        mask = F.xxhash64(F.pmod("key", F.lit(families)), F.lit(families))
-        heads = members.select("key", F.col("id").bitwiseXOR(mask).alias("h")).groupBy("key").agg(F.min("h").alias("h"))
-        pairs = members.join(heads, "key").select(F.col("h").bitwiseXOR(mask).alias("x"), F.col("id").alias("y")).where("x <> y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        near = pairs.join(state.alias("x"), F.col("a") == F.col("x.id")).join(state.alias("y"), F.col("b") == F.col("y.id"))
-        found = _linked(materialise(near.where(_close("x", "y", percent) & (F.col("x.c") != F.col("y.c"))).select("a", "b")), docs, percent, id_col, text_col)
+    for how in ROUNDS:
+        pairs = _head_pairs(members, how)
+        near = pairs.join(nodes.select(*facts).alias("x"), F.col("a") == F.col("x.id")).join(nodes.select(*facts).alias("y"), F.col("b") == F.col("y.id"))
+        found = _linked(materialise(near.where(_close("x", "y", percent)).select("a", "b")), sets, percent)
         links = found if links is None else materialise(links.union(found))
         label = materialise(components(links))
-        state = materialise(nodes.join(label, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "p0", "p1", "p2", "p3", F.coalesce("component", "id").alias("c")))
+        placed = members.drop("c").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "w", "own", F.coalesce("component", "id").alias("c"))
         # buckets whose members are still in different components
-        placed = members.join(state.select("id", "c"), "id")
         mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        members = materialise(placed.join(mixed, "key").select("key", "id"))
+        members = materialise(placed.join(mixed, "key"))
     wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _wide_signatures, "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
-    rest = materialise(members.join(state.join(wide, "id"), "id"))
+    rest = materialise(members.select("key", "id", "c").join(nodes.select(*facts).join(wide, "id"), "id"))
     x, y = rest.alias("x"), rest.alias("y")
     differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WIDE // 64)), F.lit(0))
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= WIDE_DISTANCE))
-    more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), docs, percent, id_col, text_col)
+    more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), sets, percent)
     label = materialise(components(links.union(more)))
 
     of_set = nodes.join(label, F.col("id") == F.col("node"), "left").select("hi", "lo", "n_shingles", F.coalesce("component", "id").alias("component_id"))
