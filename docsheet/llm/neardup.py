@@ -243,10 +243,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
         members = materialise(placed.join(mixed, "key"))
     wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _wide_signatures, "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
-    rest = materialise(members.select("key", "id", "c").join(nodes.select(*facts).join(wide, "id"), "id"))
+    shared = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # 64 at most
+    rest = materialise(members.select("key", "id", "c").join(shared, "id").join(nodes.select(*facts).join(wide, "id"), "id"))
     x, y = rest.alias("x"), rest.alias("y")
     differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WIDE // 64)), F.lit(0))
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= WIDE_DISTANCE))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= WIDE_DISTANCE) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))  # once, not for each bucket that they share
     more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), sets, percent)
     label = materialise(components(links.union(more)))
 
