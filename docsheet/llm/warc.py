@@ -29,6 +29,8 @@ from .common import map_arrow, materialise, shared_folder
 VERSION, END = "WARC/1.0\r\n", "\r\n\r\n"
 BREAK = END + VERSION
 CHUNK = 1 << 20
+#: Revisits up to this number (some 120 bytes each) are broadcast, so payloads stay where they are; beyond it the join shuffles.
+BROADCAST_REVISITS = 200_000
 CHUNKS = "record long, page_id long, url string, chunk_no long, last boolean, payload string, bytes long, total_bytes long, digest string"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -81,8 +83,9 @@ def resolve(table: DataFrame, least: int = 1000) -> DataFrame:
     best = F.max(F.struct(F.col("page_id").alias("p"), F.col("record").alias("r")))
     firsts = whole.where(F.col("total_bytes") >= least).groupBy("digest", "total_bytes").agg(best.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = whole.join(firsts, ["digest", "total_bytes"]).where(F.col("f.r") != F.col("record"))
-    revisits = found.select(F.col("record").alias("_r"), F.col("f.r").alias("first_record"), F.col("f.p").alias("first_page"), F.col("digest").alias("_d"), F.col("total_bytes").alias("_t"))
-    return table.join(revisits, F.col("record") == F.col("_r"), "left").drop("_r")
+    revisits = materialise(found.select(F.col("record").alias("_r"), F.col("f.r").alias("first_record"), F.col("f.p").alias("first_page"), F.col("digest").alias("_d"), F.col("total_bytes").alias("_t")))
+    few = revisits.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    return table.join(F.broadcast(revisits) if few else revisits, F.col("record") == F.col("_r"), "left").drop("_r")
 
 
 def _urn(record: Column, page: Column, chunk: Column) -> Column:
@@ -112,7 +115,7 @@ def blocks(resolved: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000, size: int = CHUNK, **columns: str) -> None:
     """Writes ``pages`` as uncompressed WARC files under ``path``, one per partition."""
-    blocks(resolve(materialise(chunks(pages, size=size, **columns)), least)).write.option("lineSep", "\n").text(path)
+    blocks(resolve(materialise(chunks(pages, size=size, **columns), "zstd"), least)).write.option("lineSep", "\n").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
         (F.coalesce(field("WARC-Segment-Number").cast("long"), F.lit(1)) - 1).alias("chunk_no"),
         field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers_to"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("X-Payload-Length").cast("long").alias("declared_bytes"),
+        field("WARC-Segment-Number").isNotNull().alias("segmented"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("X-Payload-Length").cast("long").alias("declared_bytes"),
         F.when(over == len(END), F.substring("raw", F.lit(1), F.col("size"))).otherwise(F.col("raw")).alias("payload"), over.isin(0, len(END)).alias("complete"),
     ).where("record_id is not null")
 
@@ -141,8 +144,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def digests(table: DataFrame) -> DataFrame:
     """(record_id, type, url, refers_to, n_chunks, payload_bytes, payload_digest, intact): a record per group of chunks.
 
-    Chunks of a record come sorted to one task, which carries a digest from each to the next and never joins them. ``intact``:
-    all chunks complete and in sequence, and bytes and digest as declared. A revisit has the declared bytes and digest of its response.
+    A record that isn't segmented is digested where it is. The chunks of another come sorted to one task, which carries a digest
+    from each to the next and never joins them. ``intact``: all chunks complete and in sequence, and bytes and digest as declared. A revisit has the declared bytes and digest of its response.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +175,14 @@ def digests(table: DataFrame) -> DataFrame:
             yield _records(rows)
 
     columns = ("record_id", "chunk_no", "type", "url", "refers_to", "declared_digest", "declared_bytes", "payload", "complete")
-    dealt = table.select(*columns).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return map_arrow(dealt, run, "record_id string, type string, url string, refers_to string, n_chunks long, payload_bytes long, payload_digest string, intact boolean")
+    revisit, size, sha = F.col("type") == "revisit", F.length("payload").cast("long"), F.sha1("payload")
+    fine = F.col("complete") & (revisit | (F.coalesce(F.col("declared_digest") == sha, F.lit(True)) & F.coalesce(F.col("declared_bytes") == size, F.lit(True))))
+    single = table.where("not segmented").select(
+        "record_id", "type", "url", "refers_to", F.lit(1).cast("long").alias("n_chunks"), F.when(revisit, F.col("declared_bytes")).otherwise(size).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).otherwise(sha).alias("payload_digest"), F.coalesce(fine, F.lit(False)).alias("intact"),
+    )
+    dealt = table.where("segmented").select(*columns).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return single.unionByName(map_arrow(dealt, run, "record_id string, type string, url string, refers_to string, n_chunks long, payload_bytes long, payload_digest string, intact boolean"))
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
