@@ -123,14 +123,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A record whose payload holds a record break (not from this writer) isn't complete.
     """
-    value = F.regexp_replace("value", "^WARC/1\\.[01]\r\n", "")  # of a file's first record
-    raw = spark.read.option("lineSep", BREAK).text(path).select(value.alias("v"))
-    at = F.instr("v", END)  # a payload may be empty: then its head ends the block
-    head = F.when(at > 0, F.substring("v", F.lit(1), at - 1)).otherwise(F.col("v"))
-    payload = F.when(at > 0, F.substring("v", at + len(END), F.length("v"))).otherwise("")
+    head = F.substring_index("value", END, 1)  # of a file's first record with the version line
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1), F.lit(""))
+    lines = spark.read.option("lineSep", BREAK).text(path).select(head.alias("head"), F.col("value").cast("binary").alias("all"))
+    raw = F.substring("all", F.octet_length("head") + (len(END) + 1), F.octet_length("all"))
     # a file's last record still has its end
-    parts = raw.select(head.alias("head"), F.encode(payload, "UTF-8").alias("raw")).withColumn("size", field("Content-Length").cast("long").cast("int"))
+    parts = lines.select("head", raw.alias("raw"), field("Content-Length").cast("long").cast("int").alias("size"))
     over = F.octet_length("raw") - F.col("size")
     return parts.select(
         F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
