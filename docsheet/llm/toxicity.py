@@ -196,10 +196,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> list[tuple[str | None, int]]:
     """At most ``per_label`` rows of each label in the order of a hash of their id, none of those held out."""
-    own = labels.where("toxic is not null").select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id").where(~held_out())
+    own = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out()).join(docs.select("doc_id"), "doc_id", "left_semi")
     out = []
     for label in (0, 1):
-        chosen = own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        order = (F.xxhash64("doc_id"), F.col("doc_id"))
+        ids = own.where(F.col("toxic") == label).orderBy(*order).limit(per_label).select("doc_id")  # bounded, so texts aren't shuffled
+        chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(*order).limit(per_label)
         out += [(r["text"], label) for r in chosen.select("text").toLocalIterator()]
     return out
 
