@@ -104,6 +104,23 @@ def test_encoder_equals_the_tokenizer_file():
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_gives_the_ids_of_the_tokenizer_file(spark):
+    """Default mode of the tokenizers library: added tokens are single ids, and no white space is too long."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "a" + " " * 1_000_000 + "b"), (4, "<|endoftext| >"), (5, "x" + "\n" * 10_000 + "y"), (6, "a" * 1_000_000)]
+    assert tokenizer.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for file in (None, public_tokenizers.path("byte_bpe_50k.json")):
+        pieces = packing.pack(docs, file).collect()
+        for doc_id, text in rows:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+            own = sorted((p for p in pieces if p.doc_id == doc_id), key=lambda p: p.start)
+            assert b"".join(p.ids for p in own) == np.array(ids, "<u4").tobytes() and {p.doc_tokens for p in own} == {len(ids)}
+
+
 def test_best_fit_is_the_tightest():
     rng = np.random.default_rng(3)
     for _ in range(30):
