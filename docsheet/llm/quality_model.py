@@ -1,4 +1,4 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte 5-grams, trained on trusted text.
+"""Quality by an interpolated modified Kneser-Ney model of byte 5-grams, trained on trusted text (op8 counts words: ``word_model``).
 
 Counts of 5-grams are gathered from every trusted document and summed per shard (the hash of the gram); the lower
 orders count distinct left extensions; joins of counts with the statistics of their contexts and with the order below
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import having_ids, map_arrow, materialise
@@ -237,7 +237,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
     model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), trusted))
     size = sum(t.count() for part in model[:2] for t in part)
-    scored = (_streamed if size <= model_rows else _joined)(docs, model, text)
+    return verdicts((_streamed if size <= model_rows else _joined)(docs, model, text), trusted, "n_bytes", quantile, slack, least_trusted, id_col, lang)
+
+
+def verdicts(scored: DataFrame, trusted: DataFrame, unit: str, quantile: float, slack: float, least_trusted: int, id_col: str, lang: str) -> DataFrame:
+    """``quality_model`` from _n and _logp: ``unit`` (of _n), perplexity, threshold and kept."""
     scored = materialise(scored.withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))))
     own = having_ids(scored.select(F.col(id_col).alias("id"), F.col(lang).alias("_lang"), F.col("_ppl")).where("_ppl is not null"), trusted)
     limit = F.percentile_approx("_ppl", F.lit(quantile), F.lit(10_000)).alias("_limit")
@@ -246,12 +250,5 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: flo
     threshold = F.coalesce(F.col("_limit"), F.lit(every).cast("double")) * slack
     out = scored.join(limits, F.col(lang).eqNullSafe(F.col("_lang")), "left")
     kept = F.coalesce((F.col("_n") > 0) & (threshold.isNull() | (F.col("_ppl") <= threshold)), F.lit(False))
-    verdict = F.struct(F.col("_n").alias("n_bytes"), F.col("_ppl").alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
+    verdict = F.struct(F.col("_n").alias(unit), F.col("_ppl").alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
     return out.withColumn("quality_model", verdict).drop("_n", "_logp", "_ppl", "_lang", "_limit")
-
-
-def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    q = F.col("quality_model")
-    judged = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.select("doc_id", "lang", *[q[c].alias(c) for c in ("n_bytes", "perplexity", "threshold", "kept")])

@@ -7,12 +7,12 @@ from .chat_format import op5_chat_format
 from .decontam import op6_decontamination
 from .neardup import op3_minhash_neardup
 from .packing import op2_packing
-from .quality_model import op8_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import op1_secret_scan
 from .toxicity import op9_toxicity
 from .url_filter import op4_url_filter
 from .warc import op10_warc
+from .word_model import op8_quality_classifier
 
 QUERIES = {
     f.__name__: f

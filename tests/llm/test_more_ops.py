@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsheet.llm import chat_format, decontam, packing, quality_model, toxicity, url_filter, warc
+from docsheet.llm import chat_format, decontam, packing, quality_model, toxicity, url_filter, warc, word_model
 
 
 def test_url_filter(spark):
@@ -123,6 +123,60 @@ def test_quality_model(spark):
     assert quality_model.judge(docs, labels.limit(0)).where("quality_model.kept").count() == len(good) + 5
 
 
+def word_kneser_ney(texts):
+    """Plain model of word trigrams."""
+    code = lambda t: ["", "", *re.sub("[0-9]", "0", t).split()]
+    levels = [Counter(tuple(r[i : i + 3]) for t in texts for r in [code(t)] for i in range(len(r) - 2))]
+    for _ in range(2):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    off = []
+    for c in levels:
+        t = [sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if all(t[:3]) else 0
+        off.append(tuple(min(max(d, 0.05), k) for k, d in zip((0.95, 1.95, 2.95), (1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]))) if y else (0.5, 0.75, 0.9))
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[0]) + 1)
+        c, d = levels[len(g) - 1], off[len(g) - 1]
+        own = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total = sum(own.values())
+        return max(0, own.get(g, 0) - (d[min(3, own[g]) - 1] if g in own else 0)) / total + sum(d[min(3, n) - 1] for n in own.values()) / total * p(g[1:])
+
+    def perplexity(t):
+        r = code(t)
+        return math.exp(-sum(math.log(p(tuple(r[i : i + 3]))) for i in range(len(r) - 2)) / (len(r) - 2))
+
+    return perplexity
+
+
+def test_quality_classifier_counts_word_trigrams_in_joins(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    good = [(k, " ".join(rng.choice(["la", "on", "ti", "é", "9", "tila"], 30)), "xx" if k % 2 else "yy") for k in range(150)]
+    more = [(200, "QZ # ! nn " * 10, "xx"), (201, None, "xx"), (202, "", None), (203, "la on ti", None), (200, "la\ton 7", "zz"), (204, " \n", "yy"), (None, "tila on", "xx"), (205, "la on " * 200_000, "yy")]
+    docs = spark.createDataFrame(good + more, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, 1) for k in range(140)] + [(200, 0), (145, None), (None, 1), (3, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    counted = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(word_model.FOLDS)) != 0).collect()}
+    assert 10 < len(set(range(140)) - counted) < 40
+    perplexity = word_kneser_ney([t for k, t, _ in good if k < 140 and k in counted])
+    want = Counter((k, round(perplexity(t), 3) if (t or "").strip() else None) for k, t, _ in good + more if k != 205)
+    monkeypatch.setattr(word_model, "HELD", 100)
+    from docsheet.llm.queries import QUERIES
+
+    got = QUERIES["op8_quality_classifier"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.perplexity and round(r.perplexity, 3)) for r in got if r.doc_id != 205) == want
+    assert {r.n_words for r in got if r.doc_id == 205} == {400_000}
+    kept = {(r.doc_id, r.lang): r.kept for r in got}
+    assert not kept[200, "xx"] and not kept[201, "xx"] and not kept[202, None] and not kept[204, "yy"]
+    assert sum(kept[k, lang] for k, _, lang in good) >= 145
+    assert word_model.judge(docs.limit(0), labels).count() == 0
+    assert word_model.judge(docs, labels.limit(0)).where("quality_model.kept").count() == len(good) + 5
+
+
 def test_lookup():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << 40, 5000))
