@@ -19,6 +19,8 @@ from docsheet.llm.common import BROADCAST_IDS, materialise
 
 #: A document more than half of whose words are test items goes; below that the passages are cut out.
 MAX_COVERAGE = 0.5
+#: Near-duplicates share this percentage of their shingles of so many words.
+SIMILAR, SHINGLE_WORDS = 80, 5
 
 
 def _aside(docs: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -41,7 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the least doc_id."""
-    judged = materialise(neardup.near_duplicates(docs).select("doc_id", "kept"))
+    judged = materialise(neardup.near_duplicates(docs, SIMILAR, width=SHINGLE_WORDS).select("doc_id", "kept"))
     gone = judged.where("not kept").select("doc_id").distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)

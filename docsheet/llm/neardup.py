@@ -1,11 +1,12 @@
 """Near-duplicate documents: MinHash signatures under a multi-index Hamming join, links confirmed on full shingle sets.
 
-A document's set is that of its distinct 3-word shingles (its whole sequence,
-if it has fewer words). Equal sets are one node. Signatures of 64 MinHash
-values, 16 bits each, are cut into 12 chunks; two signatures that differ in at
-most 22 values agree, in some chunk, on all values but one at most (pigeonhole),
-so one key per chunk and left-out value finds all such pairs. A pair of sets at
-similarity 0.85 differs in more than 22 values with a chance of about 2e-5.
+A document's set is that of its distinct shingles of ``width`` words (its whole
+sequence, if it has fewer words). Equal sets are one node. Signatures of 64 MinHash
+values, 16 bits each, are cut into chunks; two signatures that differ in fewer
+values than twice the chunks agree, in some chunk, on all values but one at most
+(pigeonhole), so one key per chunk and left-out value finds all such pairs. The
+values that may differ follow from ``percent``: a pair at that similarity differs
+in more with a chance of 3e-5 at most (22 values and 12 chunks at 85 percent).
 
 Hot buckets are not expanded into all pairs. The members of a group of copies that
 agree most with the others (the sums of their buckets' sizes tell) head their
@@ -22,6 +23,7 @@ own texts. Only the id and text columns are read. An empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,32 @@ from pyspark.sql import functions as F
 
 from .common import having_ids, map_arrow, materialise
 
-VALUES, CHUNKS, DISTANCE = 64, 12, 22
-#: One-bit values of the wide signatures, and the most of them that may differ: at similarity 0.85, 4.5 standard deviations over the mean.
-WIDE, WIDE_DISTANCE = 4096, 383
+#: Values of a signature, one-bit values of the wide signatures, and the chance that a pair at the wanted similarity differs in more values than looked for.
+VALUES, WIDE, CHANCE = 64, 4096, 3e-5
+
+
+def distance(percent: int) -> int:
+    """The most values in which signatures may differ."""
+    off = 1 - percent / 100
+    beyond, d = 1.0, -1
+    while beyond > CHANCE and d < VALUES:
+        d += 1
+        beyond = sum(comb(VALUES, k) * off**k * (1 - off) ** (VALUES - k) for k in range(d + 1, VALUES + 1))
+    return d
+
+
+def chunks(percent: int) -> int:
+    """So many that one of them has one differing value at most."""
+    return distance(percent) // 2 + 1
+
+
+def wide_distance(percent: int) -> int:
+    """The most one-bit values in which wide signatures may differ: 4.5 standard deviations over the mean."""
+    off = (1 - percent / 100) / 2
+    return int(WIDE * off + 4.5 * sqrt(WIDE * off * (1 - off)))
+
+
+DISTANCE, CHUNKS = distance(85), chunks(85)
 #: Rounds of heads: by weight in the largest bucket and in all (0), then by hashes; buckets of the same family and members have the same head.
 ROUNDS = ("largest", 0, 4)
 #: Distinct words whose hashes a task remembers.
@@ -40,6 +65,9 @@ REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
+#: For the words of a shingle by place, and for texts of so many words that have no whole shingle.
+_PLACE = np.concatenate([_MIX[:3], np.random.default_rng(20240503).integers(1, 2**63, 29, dtype=np.uint64) | np.uint64(1)])
+_SHORT = np.random.default_rng(20240505).integers(1, 2**63, 32, dtype=np.uint64)
 _SCALE = np.random.default_rng(20240502).integers(1, 2**64, VALUES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -58,15 +86,19 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _MIX[7]
 
 
-def shingles(text: str | None, hashes: dict) -> np.ndarray:
+def shingles(text: str | None, hashes: dict, width: int = 3) -> np.ndarray:
     """The sorted 64-bit hashes of a text's shingle set."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(w) < 3:
-        return _spread((w * _MIX[: len(w)]).sum(keepdims=True, dtype=np.uint64) + _MIX[3 + len(w)])
-    return np.unique(_spread(w[:-2] * _MIX[0] + w[1:-1] * _MIX[1] + w[2:] * _MIX[2]))
+    if len(w) < width:
+        return _spread((w * _PLACE[: len(w)]).sum(keepdims=True, dtype=np.uint64) + _SHORT[len(w)])
+    n = len(w) - width + 1
+    h = w[:n] * _PLACE[0]
+    for k in range(1, width):
+        h += w[k : k + n] * _PLACE[k]
+    return np.unique(_spread(h))
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -78,7 +110,7 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (_spread(least) >> np.uint64(48)).astype("<u2")
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     names = [f.split()[0] for f in FEATURES.split(", ")]
     for batch in batches:
@@ -86,7 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(part, 2000)
             n, keys, sigs = [], [], []
             for text in rows.column(1):
-                s = shingles(text.as_py(), hashes)
+                s = shingles(text.as_py(), hashes, width)
                 n.append(len(s))
                 keys.append((int((s * _MIX[4]).sum(dtype=np.uint64)), int(_spread(s ^ _MIX[5]).sum(dtype=np.uint64))))
                 sigs.append(signature(s) if len(s) else np.zeros(VALUES, "<u2"))
@@ -96,15 +128,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *map(pa.array, bits), pa.array([s.tobytes() for s in sig], pa.binary())], names)
 
 
-def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_keys(batches: Iterator[pa.RecordBatch], n_chunks: int = CHUNKS) -> Iterator[pa.RecordBatch]:
     """(key, id) rows: for each chunk, one key for each value left out."""
-    chunks = np.array_split(np.arange(VALUES), CHUNKS)
+    parts = np.array_split(np.arange(VALUES), n_chunks)
     for batch in batches:
         for part in range(0, batch.num_rows, 2000):
             rows = batch.slice(part, 2000)
             sig = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u2").reshape(-1, VALUES).astype(np.uint64)
             keys = []
-            for chunk in chunks:
+            for chunk in parts:
                 for out in chunk:
                     h = np.full(len(sig), out, np.uint64)
                     for at in chunk:
@@ -115,22 +147,22 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(rows.column(0).to_numpy(zero_copy_only=False), VALUES))], ["key", "id"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
         for part in range(0, batch.num_rows, 500):
             rows = batch.slice(part, 500)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py(), hashes).tobytes() for t in rows.column(1)], pa.binary())], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py(), hashes, width).tobytes() for t in rows.column(1)], pa.binary())], ["id", "items"])
 
 
-def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """One bit of each of many MinHash values."""
     hashes = _WordHashes()
     scale = np.random.default_rng(20240504).integers(1, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
     for batch in batches:
         ids, rows = [], []
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            items, least = shingles(text.as_py(), hashes), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+            items, least = shingles(text.as_py(), hashes, width), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
             for part in range(0, len(items), 128):
                 h = items[part : part + 128, None] * scale
                 least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
@@ -155,9 +187,9 @@ def _confirm(percent: int):
     return run
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Per document: set size, 128-bit hash of the set, signature and its four low bit planes."""
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _features, FEATURES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), lambda batches: _features(batches, width), FEATURES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,7 +221,7 @@ def _close(x: str, y: str, percent: int) -> Column:
         d = F.col(f"{x}.p{b}").bitwiseXOR(F.col(f"{y}.p{b}"))
         differ = d if differ is None else differ.bitwiseOR(d)
     small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-    return (F.bit_count(differ) <= DISTANCE) & (100 * small >= percent * large)
+    return (F.bit_count(differ) <= distance(percent)) & (100 * small >= percent * large)
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,20 +248,24 @@ def _head_pairs(members: DataFrame, how) -> DataFrame:
     return pairs.distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id)."""
-    made = materialise(features(docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id).
+
+    Sets of shingles of ``width`` words (32 at most) are linked from ``percent`` of similarity on.
+    """
+    n_chunks = chunks(percent)
+    made = materialise(features(docs, id_col, text_col, width))
     nodes = materialise(
         made.where("n_shingles > 0 and doc_id is not null")
         .groupBy("hi", "lo", "n_shingles")
         .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("p0", "p1", "p2", "p3", "signature")])
     )
-    keys = map_arrow(nodes.select("id", "signature"), _chunk_keys, "key long, id long")
+    keys = map_arrow(nodes.select("id", "signature"), lambda batches: _chunk_keys(batches, n_chunks), "key long, id long")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(buckets, "key"))  # of buckets that have two and more
     weights = members.groupBy("id").agg(F.sum("n").alias("w"), F.max(F.struct("n", "key")).alias("largest")).select("id", "w", F.col("largest.key").alias("own"))
     members = materialise(members.select("key", "id").join(weights, "id").withColumn("c", F.col("id")))
-    sets = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _sets, "id long, items binary"))
+    sets = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), lambda batches: _sets(batches, width), "id long, items binary"))
     facts = ("id", "n_shingles", "p0", "p1", "p2", "p3")
     links = None
     for how in ROUNDS:
@@ -242,14 +278,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         # buckets whose members are still in different components
         mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
         members = materialise(placed.join(mixed, "key"))
-    wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), _wide_signatures, "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
+    wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), lambda batches: _wide_signatures(batches, width), "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
     shared = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # 64 at most
     rest = materialise(members.select("key", "id", "c").join(shared, "id").join(nodes.select(*facts).join(wide, "id"), "id"))
     x, y = rest.alias("x"), rest.alias("y")
     differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WIDE // 64)), F.lit(0))
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= WIDE_DISTANCE) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))  # once, not for each bucket that they share
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= wide_distance(percent)) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))  # once, not for each bucket that they share
     more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), sets, percent)
-    label = materialise(components(links.union(more)))
+    label = materialise(components(more if links is None else links.union(more)))
 
     of_set = nodes.join(label, F.col("id") == F.col("node"), "left").select("hi", "lo", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo", "n_shingles"], "left")

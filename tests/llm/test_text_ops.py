@@ -194,6 +194,39 @@ def test_pigeonhole_keys_find_every_pair_within_distance():
         assert set(keys[0]) & set(keys[1])
 
 
+def test_keys_and_sets_follow_percent_and_width():
+    import pyarrow as pa
+
+    assert (neardup.distance(85), neardup.chunks(85), neardup.wide_distance(85)) == (22, 12, 383)
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a = rng.integers(0, 65536, neardup.VALUES).astype("<u2")
+        b = a.copy()
+        b[rng.choice(neardup.VALUES, neardup.distance(80), replace=False)] ^= 1
+        out = next(neardup._chunk_keys(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], ["id", "signature"])]), neardup.chunks(80)))
+        keys = np.array(out.column(0)).reshape(2, -1)
+        assert set(keys[0]) & set(keys[1])
+    words = [f"w{k % 50}" for k in range(200)]
+    for width in (1, 3, 5, 8):
+        for n in (1, 2, 4, 7, 200):
+            own = words[:n]
+            want = {tuple(own[k : k + width]) for k in range(n - width + 1)} or {tuple(own)}
+            assert len(neardup.shingles(" ".join(own), neardup._WordHashes(), width)) == len(want)
+
+
+@pytest.mark.parametrize("rounds", [neardup.ROUNDS, ()])
+def test_near_duplicates_at_eighty_percent_of_five_words(spark, monkeypatch, rounds):
+    """Pairs at about 0.82, by heads and by the residual step alone; a pair at 0.78 isn't linked."""
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rows = []
+    for k in range(60):
+        own = [f"p{k}x{j}" for j in range(400)]
+        more = 86 if k < 50 else 112  # 396 of 482 shingles are 0.82, of 508 are 0.78
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + [f"q{k}x{j}" for j in range(more)]))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, width=5).collect()}
+    assert got == {k: k - k % 2 if k < 100 else k for k in range(120)}
+
+
 ITEMS = [(1, "W1 w2, w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "short item here"), (3, None), (4, ""), (5, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (6, "short item here"), (12, "one")]
 LEAKS = [
     (0, "aa w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 bb SHORT-item;here x"),
