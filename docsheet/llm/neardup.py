@@ -11,29 +11,34 @@ in more with a chance of 3e-5 at most (22 values and 12 chunks at 85 percent).
 Hot buckets are not expanded into all pairs. The members of a group of copies that
 agree most with the others (the sums of their buckets' sizes tell) head their
 buckets: each member meets the head of its largest bucket first, then the heads of
-its other buckets, then a few heads drawn by hashes, each time only if the two are
-still in different components. Only members that these links leave apart meet pair
-by pair, if wider signatures let them, so no link between components is lost.
+its other buckets, each time only if the two are still in different components.
+Members whose buckets still hold several components meet by an exact prefix filter:
+two sets of the wanted similarity share one of the rarest shingles of either, as many
+as may be missing and one more; what is common to many texts comes last in that order
+and makes no pairs. So no link between components is lost. Buckets and prefix groups
+of more than ``BLOCK`` members are dealt to several tasks (salted).
 
 Null and empty texts have empty sets, are linked with nothing and stay. Rows
-without a doc_id are never linked. Rows that repeat a doc_id are judged by their
-own texts. Only the id and text columns are read. An empty table gives an empty table.
+without a doc_id are never linked. Rows that share a doc_id are judged by their
+own texts: equal sets are nodes of their own, numbered apart from the ids. Only the
+id and text columns are read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import having_ids, map_arrow, materialise
+from .common import BROADCAST_IDS, having_ids, map_arrow, materialise
 
-#: Values of a signature, one-bit values of the wide signatures, and the chance that a pair at the wanted similarity differs in more values than looked for.
-VALUES, WIDE, CHANCE = 64, 4096, 3e-5
+#: Values of a signature, and the chance that a pair at the wanted similarity differs in more values than looked for.
+VALUES, CHANCE = 64, 3e-5
 
 
 def distance(percent: int) -> int:
@@ -51,18 +56,15 @@ def chunks(percent: int) -> int:
     return distance(percent) // 2 + 1
 
 
-def wide_distance(percent: int) -> int:
-    """The most one-bit values in which wide signatures may differ: 4.5 standard deviations over the mean."""
-    off = (1 - percent / 100) / 2
-    return int(WIDE * off + 4.5 * sqrt(WIDE * off * (1 - off)))
-
-
 DISTANCE, CHUNKS = distance(85), chunks(85)
-#: Rounds of heads: by weight in the largest bucket and in all (0), then by hashes; buckets of the same family and members have the same head.
-ROUNDS = ("largest", 0, 4)
+#: Rounds of heads: in the largest bucket of each member, then in all its buckets.
+ROUNDS = ("largest", "all")
+#: Members of a bucket or prefix group that one task takes; more are dealt to several.
+BLOCK = 256
 #: Distinct words whose hashes a task remembers.
 REMEMBERED_WORDS = 500_000
-FEATURES = "doc_id long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
+FEATURES = "doc_id long, text_hash long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
+PLANES = ("p0", "p1", "p2", "p3")
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 #: For the words of a shingle by place, and for texts of so many words that have no whole shingle.
@@ -101,6 +103,11 @@ def shingles(text: str | None, hashes: dict, width: int = 3) -> np.ndarray:
     return np.unique(_spread(h))
 
 
+def _set_key(s: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set."""
+    return int((s * _MIX[4]).sum(dtype=np.uint64)), int(_spread(s ^ _MIX[5]).sum(dtype=np.uint64))
+
+
 def signature(items: np.ndarray) -> np.ndarray:
     """64 MinHash values, 16 bits each, of a set that isn't empty."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
@@ -117,15 +124,15 @@ def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         for part in range(0, batch.num_rows, 2000):
             rows = batch.slice(part, 2000)
             n, keys, sigs = [], [], []
-            for text in rows.column(1):
+            for text in rows.column(2):
                 s = shingles(text.as_py(), hashes, width)
                 n.append(len(s))
-                keys.append((int((s * _MIX[4]).sum(dtype=np.uint64)), int(_spread(s ^ _MIX[5]).sum(dtype=np.uint64))))
+                keys.append(_set_key(s))
                 sigs.append(signature(s) if len(s) else np.zeros(VALUES, "<u2"))
             sig = np.array(sigs)
             key = np.array(keys, np.uint64).view(np.int64)
             bits = [np.packbits(((sig >> b) & 1).astype(np.uint8), axis=1).view(np.int64)[:, 0] for b in range(4)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *map(pa.array, bits), pa.array([s.tobytes() for s in sig], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *map(pa.array, bits), pa.array([s.tobytes() for s in sig], pa.binary())], names)
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch], n_chunks: int = CHUNKS) -> Iterator[pa.RecordBatch]:
@@ -148,29 +155,28 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch], n_chunks: int = CHUNKS) -> It
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(id, items) from (id, hi, lo, text): the sets of those texts whose set has the hash (hi, lo)."""
     hashes = _WordHashes()
     for batch in batches:
         for part in range(0, batch.num_rows, 500):
             rows = batch.slice(part, 500)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py(), hashes, width).tobytes() for t in rows.column(1)], pa.binary())], ["id", "items"])
+            ids, items = [], []
+            for k, hi, lo, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3), strict=True):
+                s = shingles(text.as_py(), hashes, width)
+                if _set_key(s) == (hi % 2**64, lo % 2**64):  # another text of the same doc_id has another set
+                    ids.append(k)
+                    items.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
 
-def _wide_signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """One bit of each of many MinHash values."""
-    hashes = _WordHashes()
-    scale = np.random.default_rng(20240504).integers(1, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, token) from (id, items)."""
     for batch in batches:
-        ids, rows = [], []
-        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            items, least = shingles(text.as_py(), hashes, width), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
-            for part in range(0, len(items), 128):
-                h = items[part : part + 128, None] * scale
-                least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
-            ids.append(k)
-            rows.append(np.packbits((_spread(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64))
-        if ids:
-            table = np.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(table[:, k]) for k in range(WIDE // 64))], ["id", *(f"w{k}" for k in range(WIDE // 64))])
+        for k, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = np.frombuffer(items.as_py(), np.int64)
+            for part in range(0, len(tokens), 1 << 16):
+                own = tokens[part : part + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int64)), pa.array(own)], ["id", "token"])
 
 
 def _confirm(percent: int):
@@ -182,14 +188,15 @@ def _confirm(percent: int):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["ca", "cb"])
 
     return run
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Per document: set size, 128-bit hash of the set, signature and its four low bit planes."""
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), lambda batches: _features(batches, width), FEATURES)
+    """Per document: a hash of its text, set size, 128-bit hash of the set, signature and its four low bit planes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return map_arrow(rows, lambda batches: _features(batches, width), FEATURES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,83 +221,144 @@ def components(edges: DataFrame) -> DataFrame:
     return label.join(least, "root").select("node", "component")
 
 
-def _close(x: str, y: str, percent: int) -> Column:
-    """The signatures are within reach, and the set sizes allow the similarity."""
+def _close(x, y, percent: int) -> Column:
+    """The signatures are within reach, and the set sizes allow the similarity; ``x`` and ``y`` name the columns of either side."""
     differ = None
-    for b in range(4):
-        d = F.col(f"{x}.p{b}").bitwiseXOR(F.col(f"{y}.p{b}"))
+    for p in PLANES:
+        d = F.col(x(p)).bitwiseXOR(F.col(y(p)))
         differ = d if differ is None else differ.bitwiseOR(d)
-    small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+    small, large = F.least(x("n_shingles"), y("n_shingles")), F.greatest(x("n_shingles"), y("n_shingles"))
     return (F.bit_count(differ) <= distance(percent)) & (100 * small >= percent * large)
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the rows of ``docs`` with one of the distinct ``ids``."""
-    return having_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), materialise(ids))
+def _blocks(n: str) -> Column:
+    """How many blocks a group of ``n`` members is dealt to."""
+    return F.ceil(F.col(n) / BLOCK)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"))
-    own = having_ids(sets, ids)
-    full = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(map_arrow(full, _confirm(percent), "a long, b long").distinct())
+def _block_of(n: str) -> Column:
+    return F.pmod(F.xxhash64("id"), _blocks(n))
 
 
-def _head_pairs(members: DataFrame, how) -> DataFrame:
-    """Distinct (a, b): each member of ``members`` (key, id, c, w, own) with the head of its buckets, where the two are in different components."""
-    if how == "largest":
-        members = members.where("key = own")
-    mask = F.xxhash64(F.pmod("key", F.lit(how)), F.lit(how)) if how not in ("largest", 0) else F.lit(0).cast("long")
-    rank = F.struct((-F.col("w") if how in ("largest", 0) else F.lit(0).cast("long")).alias("w"), F.col("id").bitwiseXOR(mask).alias("r"), F.col("id").alias("h"), F.col("c").alias("hc"))
-    heads = members.groupBy("key").agg(F.min(rank).alias("head"))
-    pairs = members.join(heads, "key").where("c <> head.hc").select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"))
-    return pairs.distinct()
+def _with_heads(members: DataFrame) -> DataFrame:
+    """``members`` (key, n, id, c, w, facts) of the buckets that hold several components, with ``head``: its best member.
 
-
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id).
-
-    Sets of shingles of ``width`` words (32 at most) are linked from ``percent`` of similarity on.
+    Buckets of more than a block are grouped per block first, and their heads sent to every block.
     """
+    rows = members.withColumn("block", _block_of("n"))
+    rank = F.struct((-F.col("w")).alias("w"), F.col("id").alias("h"), F.col("c").alias("hc"), *[F.col(f).alias(f"h_{f}") for f in ("n_shingles", *PLANES)])
+    part = rows.groupBy("key", "block").agg(F.min(rank).alias("head"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("m"))
+    whole = part.groupBy("key").agg(F.min("head").alias("head"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("m").alias("m")).where("c0 < c1")
+    sent = whole.select("key", "head", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("m") - 1)).alias("block"))
+    return rows.join(sent, ["key", "block"]).drop("block")
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): all pairs of ``rest`` (id, c, facts) in different components whose sets may be similar enough, by the prefix filter."""
+    tokens = materialise(map_arrow(having_ids(sets, rest.select("id")), _shingle_rows, "id long, token long"))
+    shared = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token")
+    by_rarity = W.partitionBy("id").orderBy("df", "token")
+    ranked = shared.withColumn("r", F.row_number().over(by_rarity)).withColumn("common", F.count(F.lit(1)).over(W.partitionBy("id")))
+    # a shingle that no other set has comes first in the order and is only counted
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    prefix = ranked.join(rest, "id").where(F.col("n_shingles") - F.col("common") + F.col("r") <= F.col("n_shingles") - least + 1)
+    prefix = materialise(prefix.select("token", "id", "c", "n_shingles", *PLANES))
+    groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token", "n")
+    own = prefix.join(groups, "token").withColumn("own", _block_of("n"))
+    every = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n")
+    x, y = every.alias("x"), every.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+
+
+def _merged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the components that those of ``pairs`` (a, b, ca, cb) join whose full sets are similar enough."""
+    pairs = materialise(pairs.distinct())
+    own = having_ids(sets, materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("id")))
+    full = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("ca", "cb", "x", "y")
+    links = map_arrow(full, _confirm(percent), "ca long, cb long")
+    return materialise(components(materialise(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())))
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with their column ``c`` as ``labels`` (node, component) has it."""
+    others = [x for x in rows.columns if x != "c"]
+    return rows.join(labels, F.col("c") == F.col("node"), "left").select(*others, F.coalesce("component", "c").alias("c"))
+
+
+def judged(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles and component_id (null without a doc_id)."""
     n_chunks = chunks(percent)
     made = materialise(features(docs, id_col, text_col, width))
-    nodes = materialise(
+    nodes = (
         made.where("n_shingles > 0 and doc_id is not null")
         .groupBy("hi", "lo", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("p0", "p1", "p2", "p3", "signature")])
+        .agg(F.min("doc_id").alias("first_doc"), *[F.first(x).alias(x) for x in (*PLANES, "signature")])
     )
-    keys = map_arrow(nodes.select("id", "signature"), lambda batches: _chunk_keys(batches, n_chunks), "key long, id long")
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()))  # written, so the numbers stay
+    keys = materialise(map_arrow(nodes.select("id", "signature"), lambda batches: _chunk_keys(batches, n_chunks), "key long, id long"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(keys.join(buckets, "key"))  # of buckets that have two and more
+    members = materialise(keys.join(buckets, "key"))
     weights = members.groupBy("id").agg(F.sum("n").alias("w"), F.max(F.struct("n", "key")).alias("largest")).select("id", "w", F.col("largest.key").alias("own"))
-    members = materialise(members.select("key", "id").join(weights, "id").withColumn("c", F.col("id")))
-    sets = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), lambda batches: _sets(batches, width), "id long, items binary"))
-    facts = ("id", "n_shingles", "p0", "p1", "p2", "p3")
-    links = None
+    facts = materialise(nodes.join(weights, "id").select("id", "first_doc", "hi", "lo", "w", "own", "n_shingles", *PLANES))
+    texts = docs.select(F.col(id_col).cast("long").alias("first_doc"), F.col(text_col).alias("text"))
+    few = facts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = facts.select("id", "first_doc", "hi", "lo")
+    sets = materialise(map_arrow(texts.join(F.broadcast(wanted) if few else wanted, "first_doc").select("id", "hi", "lo", "text"), lambda batches: _sets(batches, width), "id long, items binary"))
+    if not made.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = materialise(sets.dropDuplicates(["id"]))  # rows that repeat id and text
+    rows = members.join(facts.drop("first_doc", "hi", "lo"), "id").withColumn("c", F.col("id"))
+    labels = []
     for how in ROUNDS:
-        pairs = _head_pairs(members, how)
-        near = pairs.join(nodes.select(*facts).alias("x"), F.col("a") == F.col("x.id")).join(nodes.select(*facts).alias("y"), F.col("b") == F.col("y.id"))
-        found = _linked(materialise(near.where(_close("x", "y", percent)).select("a", "b")), sets, percent)
-        links = found if links is None else materialise(links.union(found))
-        label = materialise(components(links))
-        placed = members.drop("c").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "w", "own", F.coalesce("component", "id").alias("c"))
-        # buckets whose members are still in different components
-        mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        members = materialise(placed.join(mixed, "key"))
-    wide = materialise(map_arrow(_texts_of(members.select("id").distinct(), docs, id_col, text_col), lambda batches: _wide_signatures(batches, width), "id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64))))
-    shared = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # 64 at most
-    rest = materialise(members.select("key", "id", "c").join(shared, "id").join(nodes.select(*facts).join(wide, "id"), "id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WIDE // 64)), F.lit(0))
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x", "y", percent) & (differ <= wide_distance(percent)) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))  # once, not for each bucket that they share
-    more = _linked(materialise(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), sets, percent)
-    label = materialise(components(more if links is None else links.union(more)))
-
-    of_set = nodes.join(label, F.col("id") == F.col("node"), "left").select("hi", "lo", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = made.select("doc_id", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo", "n_shingles"], "left")
+        mixed = materialise(_with_heads(rows.where("key = own") if how == "largest" else rows))
+        near = mixed.where("c <> head.hc").where(_close(str, "head.h_{}".format, percent))
+        pairs = near.select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"), F.when(F.col("id") < F.col("head.h"), F.col("c")).otherwise(F.col("head.hc")).alias("ca"), F.when(F.col("id") < F.col("head.h"), F.col("head.hc")).otherwise(F.col("c")).alias("cb"))
+        labels.append(_merged(pairs, sets, percent))
+        rows = _relabelled(rows if how == "largest" else mixed.drop("head"), labels[-1])
+    rest = materialise(_with_heads(rows).select("id", "c", "n_shingles", *PLANES).distinct())
+    labels.append(_merged(_prefix_pairs(rest, sets, percent), sets, percent))
+
+    placed = nodes.select("hi", "lo", "n_shingles", "first_doc", F.col("id").alias("c"))
+    for step in labels:
+        placed = _relabelled(placed, step)
+    placed = materialise(placed)
+    least = placed.groupBy("c").agg(F.min("first_doc").alias("component_id"))
+    of_set = placed.join(least, "c").select("hi", "lo", "n_shingles", "component_id")
+    out = made.select("doc_id", "text_hash", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept (doc_id = component_id).
+
+    Sets of shingles of ``width`` words (32 at most) are linked from ``percent`` of similarity on.
+    """
+    rows = judged(docs, percent, id_col, text_col, width)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component stays, one with the least doc_id.
+
+    Of several texts in the component that have this id, the one of the least hash stays, and of rows that repeat it one.
+    Rows without words or without a doc_id stay, whether repeated or not.
+    """
+    rows = materialise(judged(docs, percent, id_col, text_col, width).where("n_shingles > 0 and doc_id is not null"))
+    first = rows.where("doc_id = component_id").groupBy("doc_id", "text_hash", "component_id").agg(F.count(F.lit(1)).alias("copies"))
+    stays = first.withColumn("best", F.min("text_hash").over(W.partitionBy("component_id"))).where("text_hash = best")
+    stays = materialise(stays.select("doc_id", "text_hash", "copies"))
+    gone = materialise(rows.select("doc_id", "text_hash").distinct().join(stays, ["doc_id", "text_hash"], "left_anti"))
+    own = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = gone.toDF("_id", "_hash")
+    left = own.join(F.broadcast(gone) if few else gone, ["_id", "_hash"], "left_anti")
+    repeated = stays.where("copies > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if not repeated.isEmpty():
+        once = left.join(repeated, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        left = left.join(repeated, ["_id", "_hash"], "left_anti").unionByName(once)
+    return left.select(docs.columns)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

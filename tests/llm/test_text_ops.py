@@ -180,6 +180,27 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == components({k: shingle_set(t) for k, t in rows}, 85)
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(3, " ".join(a)), (5, " ".join(a + ["x"])), (5, " ".join(b)), (7, " ".join(b + ["x"])), (8, "One"), (8, "one"), (8, "one"), (9, ""), (9, ""), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("clash"))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == Counter([(3, 58, 3, True), (5, 59, 3, False), (5, 58, 5, True), (7, 59, 5, False), (8, 1, 8, True), (8, 1, 8, True), (8, 1, 8, True), (9, 0, 9, True), (9, 0, 9, True), (None, 58, None, True)])
+    left = neardup.deduplicate(docs)
+    assert left.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in left.collect())
+    assert left - Counter([(8, "One"), (8, "one")]) == Counter([rows[0], rows[2], (9, ""), (9, ""), rows[9]]) and sum(left.values()) == 6
+
+
+def test_blocks_split_large_buckets(spark, monkeypatch):
+    """A family of different texts around shared boilerplate, near copies among them, in blocks of eight members."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    shared = [f"s{k}" for k in range(150)]
+    rows = [(k, " ".join(shared + [f"o{k // 3}x{j}" for j in range(50)] + ["end"] * (k % 3))) for k in range(90)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components({k: shingle_set(t) for k, t in rows}, 85)
+
+
 def test_pigeonhole_keys_find_every_pair_within_distance():
     import pyarrow as pa
 
@@ -197,7 +218,7 @@ def test_pigeonhole_keys_find_every_pair_within_distance():
 def test_keys_and_sets_follow_percent_and_width():
     import pyarrow as pa
 
-    assert (neardup.distance(85), neardup.chunks(85), neardup.wide_distance(85)) == (22, 12, 383)
+    assert (neardup.distance(85), neardup.chunks(85)) == (22, 12)
     rng = np.random.default_rng(9)
     for _ in range(50):
         a = rng.integers(0, 65536, neardup.VALUES).astype("<u2")
