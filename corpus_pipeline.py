@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), reads all rows of ``docs`` and returns a
 DataFrame; all but the last return the columns of ``docs``. Null and empty texts
-fail the quality rules; rows that repeat a doc_id within near-dedup leave one.
+fail the quality rules; of rows that repeat id and text near-dedup leaves one, other texts of one id are judged apart.
 Columns of ``docs`` whose names an operator uses for its results are set aside
 and put back. An empty table goes through every stage as one.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheet.llm import decontam, neardup, packing, quality_rules, secret_scan
-from docsheet.llm.common import BROADCAST_IDS, materialise
+from docsheet.llm.common import materialise
 
 #: A document more than half of whose words are test items goes; below that the passages are cut out.
 MAX_COVERAGE = 0.5
@@ -43,12 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the least doc_id."""
-    judged = materialise(neardup.near_duplicates(docs, SIMILAR, width=SHINGLE_WORDS).select("doc_id", "kept"))
-    gone = judged.where("not kept").select("doc_id").distinct()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return neardup.deduplicate(docs, SIMILAR, width=SHINGLE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
