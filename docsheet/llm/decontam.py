@@ -5,8 +5,9 @@ suffix that occurs in some item is known. A suffix of ``window`` words and more,
 or one that is a whole shorter item, marks its words as hit.
 
 Null and empty texts have no words and no hits; items without words match
-nothing. Repeated rows and items are judged one by one (equal items are all
-named). Results travel in one struct column, ``contamination``; a column of that
+nothing. Items without an id are matched like others and only not named. Repeated
+rows and items are judged one by one (equal items are all named). Items and texts may
+be of any length: long items are cut into pieces that overlap by a window less a word. Results travel in one struct column, ``contamination``; a column of that
 name in the input is replaced, all others pass through. An empty table gives an
 empty table; an empty benchmark marks nothing.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, materialise
 
-#: Words of test items in one automaton (some 100 bytes a word): a larger benchmark takes several passes over the documents.
-SHARD_WORDS = 300_000
+#: Words of test items in one automaton (some 600 bytes a word in each Python worker): a larger benchmark takes several passes over the documents.
+SHARD_WORDS = 200_000
 #: ASCII without letters and digits separates words; A-Z are lower-cased; all other bytes are kept.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -39,7 +40,7 @@ def normal_words(text: str | None) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton of word sequences: every run of words of any item is a path from state 0."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.window, self.vocabulary = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -146,48 +147,60 @@ class ItemAutomaton:
                     windows.add(state)
         for s in windows:
             names |= self.items[self.window_state(s)]
+        names.discard(None)
         return runs, names
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in lists of bounded size, one list at a time."""
     shard, held, given = [], 0, False
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = normal_words(row["t"])
-        if words and row["i"] is not None:
-            shard.append((row["i"], words))
-            held += len(words)
-        if held >= SHARD_WORDS:
-            yield shard
-            shard, held, given = [], 0, True
+        at = 0
+        while at < len(words):
+            to = min(len(words), at + max(window, SHARD_WORDS - held))
+            shard.append((row["i"], words[at:to]))
+            held += to - at
+            at = to if to == len(words) else to - window + 1  # windows over the cut are whole in the next piece
+            if held >= SHARD_WORDS:
+                yield shard
+                shard, held, given = [], 0, True
     if shard or not given:
         yield shard
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_col: str = "item_id", item_text: str = "text", carry_text: bool = True) -> DataFrame:
-    """Adds ``contamination``: n_words, n_hit, items (ids as sorted strings) and spans (code points) of the hit runs."""
+    """Adds ``contamination``: n_words, n_hit, items (ids as sorted strings) and spans (code points) of the hit runs.
+
+    A benchmark of one shard is matched in one pass over ``docs``. With more of them ``docs`` is written once with row numbers, each
+    shard adds the numbers, spans and items of the rows that it hits, and these are joined back.
+    """
     docs = docs.drop("contamination")
-    shards = _shards(benchmark, item_col, item_text)
-    shard, more = next(shards), False
+    shards = _shards(benchmark, item_col, item_text, window)
+    shard, following = next(shards), next(shards, None)
+    left = [c for c in docs.columns if carry_text or c != text]
+    schema = T.StructType([*(docs.schema[c] for c in left), T.StructField("contamination", RESULT)])
+    share = docs.sparkSession.sparkContext.broadcast
+    if following is None:
+        return map_arrow(docs, _marker(share(ItemAutomaton(shard, window)), left, text), schema)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = None
     while shard is not None:
-        following = next(shards, None)
-        left = [c for c in docs.columns if c != "_before" and (carry_text or following is not None or c != text)]
-        schema = T.StructType([*(docs.schema[c] for c in left), T.StructField("contamination", RESULT)])
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(shard, window))
-        docs = map_arrow(docs, _marker(shared, left, text, more), schema)
-        if following is not None:
-            docs = materialise(docs.withColumnRenamed("contamination", "_before"))
-        shard, more = following, True
-    return docs
-
-
-def _marker(shared, left: list[str], text: str, more: bool):
+        own = map_arrow(rows.select("_row", text), _marker(share(ItemAutomaton(shard, window)), ["_row"], text), T.StructType([T.StructField("_row", T.LongType()), schema["contamination"]]))
+        hits = own.where("contamination.n_hit > 0").select("_row", F.col("contamination.spans").alias("s"), F.col("contamination.items").alias("i"))
+        hits = materialise(hits)
+        found = hits if found is None else found.unionByName(hits)
+        shard, following = following, next(shards, None)
+    joined = found.groupBy("_row").agg(F.flatten(F.collect_list("s")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("_items"))
+    return map_arrow(rows.join(joined, "_row", "left"), _united(left, text), schema)
+
+
+def _marker(shared, left: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             out = []
-            before = batch.column("_before").to_pylist() if more else None
-            for k, value in enumerate(batch.column(text)):
+            for value in batch.column(text):
                 value = value.as_py()
                 words = normal_words(value)
                 runs, names = automaton.match(words)
@@ -195,17 +208,31 @@ def _marker(shared, left: list[str], text: str, more: bool):
                 if runs:
                     at = [m.span() for m in _WORD.finditer(value)]
                     spans = [(at[a][0], at[b][1]) for a, b in runs]
-                n_hit = sum(b - a + 1 for a, b in runs)
-                if before and before[k]["spans"]:
-                    names |= set(before[k]["items"])
-                    spans = _union(spans + [(s["start"], s["end"]) for s in before[k]["spans"]])
-                    n_hit = sum(len(_WORD.findall(value[a:b])) for a, b in spans)
-                out.append({"n_words": len(words), "n_hit": n_hit, "items": sorted(names), "spans": [{"start": a, "end": b} for a, b in spans]})
+                out.append(_result(len(words), sum(b - a + 1 for a, b in runs), names, spans))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), pa.array(out, _ARROW)], [*left, "contamination"])
 
     return run
 
 
+def _united(left: list[str], text: str):
+    """Results from the spans and items that all shards found together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value, found, names in zip(batch.column(text), batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+                value = value.as_py()
+                spans = _union([(s["start"], s["end"]) for s in found or ()])
+                out.append(_result(len(normal_words(value)), sum(len(_WORD.findall(value[a:b])) for a, b in spans), names or (), spans))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), pa.array(out, _ARROW)], [*left, "contamination"])
+
+    return run
+
+
+def _result(n_words: int, n_hit: int, names, spans: list[tuple[int, int]]) -> dict:
+    return {"n_words": n_words, "n_hit": n_hit, "items": sorted(names), "spans": [{"start": a, "end": b} for a, b in spans]}
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

@@ -248,11 +248,12 @@ def test_near_duplicates_at_eighty_percent_of_five_words(spark, monkeypatch, rou
     assert got == {k: k - k % 2 if k < 100 else k for k in range(120)}
 
 
-ITEMS = [(1, "W1 w2, w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "short item here"), (3, None), (4, ""), (5, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (6, "short item here"), (12, "one")]
+ITEMS = [(1, "W1 w2, w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "short item here"), (3, None), (4, ""), (5, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (6, "short item here"), (12, "one"), (None, "an item that has no id but ten words at least"), (20, " ".join(f"L{k}" for k in range(40)))]
 LEAKS = [
     (0, "aa w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 bb SHORT-item;here x"),
     (1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"),
     (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 x w10"), (3, None), (4, ""), (5, "one é one"), (5, "one é one"), (6, "w1 " * 5000),
+    (7, "see an item that has no id but ten words at least here"), (8, " ".join(f"l{k}" for k in range(3, 33)) + " l5"), (9, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 " * 60_000),
 ]
 
 
@@ -267,7 +268,7 @@ def leaks(text, window=10):
                 if words[i : i + n] == w[k : k + n]:
                     hit.update(range(i, i + n))
                     names.add(str(item))
-    return len(words), len(hit), sorted(names)
+    return len(words), len(hit), sorted(names - {"None"})
 
 
 @pytest.mark.parametrize("shard", [300_000, 5])
@@ -280,13 +281,27 @@ def test_decontamination(spark, monkeypatch, shard):
     assert len(rows) == len(LEAKS)
     for r in rows:
         c = r.contamination
-        assert (c.n_words, c.n_hit, c["items"]) == leaks(r.text)
+        if r.doc_id == 9:
+            assert (c.n_words, c.n_hit, c["items"]) == (600_000, 600_000, ["1"])
+        else:
+            assert (c.n_words, c.n_hit, c["items"]) == leaks(r.text)
     left = {r.doc_id: r.text for r in decontam.remove(marked, 0.85).collect()}
     assert left[0] == "aa  bb  x" and 1 not in left and left[2] == LEAKS[2][1]
     assert decontam.mark(docs.limit(0), items).count() == 0
     assert decontam.mark(docs, items.limit(0)).where("contamination.n_hit > 0").count() == 0
 
 
+def test_decontamination_query(spark, tmp_path):
+    spark.createDataFrame(LEAKS[:-1], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = Counter()
+    for doc, text in LEAKS[:-1]:
+        n, hit, names = leaks(text)
+        want[doc, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0] += 1
+    got = decontam.op6_decontamination(spark, str(tmp_path)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_automaton_against_brute_force():
     rng = np.random.default_rng(11)
     for _ in range(60):
