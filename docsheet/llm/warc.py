@@ -1,11 +1,13 @@
 """WARC archives as chunked record tables, written and read back by Spark.
 
 A record is a group of rows (record_id, chunk_no): payloads longer than a chunk are written as segmented records (WARC
-1.1, "continuation"), so neither writer nor reader holds a whole one, and digests are carried from chunk to chunk. Equal
-payloads of ``least`` bytes and more are stored once; the other records revisit it.
+1.1, "continuation"). They are cut by bytes in the JVM; Python sees one chunk at a time and carries the digest from chunk
+to chunk, both when writing and when reading. Equal payloads of ``least`` bytes and more are stored once; the other records
+revisit it.
 
-Archives are plain text files for Spark: blocks are split at the end of one record and the version line of the next. The
-writer ends a chunk inside any such sequence of a payload, so a block never holds one. Paths may be in any store that Spark reaches.
+Archives are plain text files for Spark, split at record breaks (the end of one record and the version of the next). What
+counts is the stated length: where a payload holds a break itself, the reader walks through the blocks of that file in
+order and gives the record's parts as chunks. Versions 1.0 and 1.1 are read, compressed by file as Spark does it. Paths may be in any store that Spark reaches.
 
 A null payload is empty, a null url an empty one. Repeated rows are records of their own (of equal payloads, the
 largest id and then the last row is the response). Only the id, url and payload columns are read. An empty table gives an empty table.
@@ -14,67 +16,57 @@ largest id and then the last row is the response). Only the id, url and payload
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, shared_folder
 
-#: Fixed values of the format.
+#: Fixed values of the format; a break ends inside the version of the next record.
 VERSION, END = "WARC/1.0\r\n", "\r\n\r\n"
-BREAK = END + VERSION
+BREAK = END + "WARC/1."
+#: Bytes of a chunk.
 CHUNK = 1 << 20
 #: Revisits up to this number (some 120 bytes each) are broadcast, so payloads stay where they are; beyond it the join shuffles.
 BROADCAST_REVISITS = 200_000
-CHUNKS = "record long, page_id long, url string, chunk_no long, last boolean, payload string, bytes long, total_bytes long, digest string"
+CHUNKS = "record long, page_id long, url string, chunk_no long, last boolean, payload binary, bytes long, total_bytes long, digest string"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _chunk_ends(text: str, size: int) -> Iterator[int]:
-    """Ends of chunks of at most ``size`` characters, one inside every version line of the text."""
-    at = 0
-    for cut in [m.start() + 4 for m in re.finditer(re.escape(VERSION), text)] + [len(text)]:
-        while cut - at > size:
-            at += size
-            yield at
-        if cut > at or not cut:
-            at = cut
-            yield at
+def _carry_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds digest, that of all chunks of a record up to each; the chunks of a record come in order."""
+    now, sha = None, hashlib.sha1()
+    for batch in batches:
+        digests = []
+        for record, chunk in zip(batch.column(0).to_pylist(), batch.column("payload"), strict=True):
+            if record != now:
+                now, sha = record, hashlib.sha1()
+            sha.update(chunk.as_buffer())  # no copy
+            digests.append(sha.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, "digest"])
 
 
 def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK) -> DataFrame:
-    """(record, page_id, url, chunk_no, last, payload, bytes, total_bytes, digest) rows: the digest and the total are those of all chunks up to this one."""
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    """(record, page_id, url, chunk_no, last, payload, bytes, total_bytes, digest) rows: the digest and the total are those of all chunks up to this one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        record = (task.partitionId() if task else 0) << 36
-        rows, held = [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        for batch in batches:
-            for page, url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text, at, total, sha = text.as_py() or "", 0, 0, hashlib.sha1()
-                for number, end in enumerate(_chunk_ends(text, size)):
-                    part = text[at:end]
-                    raw = part.encode("utf-8", "replace")
-                    sha.update(raw)
-                    at, total = end, total + len(raw)
-                    rows.append((record, page, url, number, end == len(text), part, len(raw), total, sha.hexdigest()))
-                    held += len(raw)
-                    if held >= 4 * CHUNK or len(rows) >= 5000:
-                        yield out()
-                        rows, held = [], 0
-                record += 1
-        if rows:
-            yield out()
-
-    return map_arrow(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col).cast("string")), run, CHUNKS)
+    Payloads of one chunk are digested where they are; longer ones go to Python chunk by chunk.
+    """
+    whole = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), whole.alias("whole"))
+    total = F.octet_length("whole").cast("long")
+    one = rows.where(total <= size).select(
+        (2 * F.col("n")).alias("record"), "page_id", "url", F.lit(0).cast("long").alias("chunk_no"), F.lit(True).alias("last"), F.col("whole").alias("payload"), total.alias("bytes"), total.alias("total_bytes"), F.sha1("whole").alias("digest")
+    )
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / size)))
+    cut = rows.where(total > size).select("*", total.alias("total"), numbers.alias("chunk_no"))
+    upto = F.least(F.col("total"), (F.col("chunk_no") + 1) * size)
+    parts = cut.select(
+        (2 * F.col("n") + 1).alias("record"), "page_id", "url", "chunk_no", (upto == F.col("total")).alias("last"), F.substring("whole", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("payload"), (upto - F.col("chunk_no") * size).alias("bytes"), upto.alias("total_bytes")
+    )
+    return one.unionByName(map_arrow(parts, _carry_digests, CHUNKS))
 
 
 def resolve(table: DataFrame, least: int = 1000) -> DataFrame:
@@ -109,7 +101,7 @@ def blocks(resolved: DataFrame) -> DataFrame:
         F.when(~revisit & ~whole & F.col("last"), line("WARC-Segment-Total-Length", F.col("total_bytes").cast("string"))).otherwise(""),
         line("Content-Length", F.when(revisit, 0).otherwise(F.col("bytes")).cast("string")), F.lit("\r\n"),
     )
-    body = F.concat(head, F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n\r"))
+    body = F.concat(head, F.when(revisit, "").otherwise(F.col("payload").cast("string")), F.lit("\r\n\r"))
     return resolved.where(~revisit | first).select(body.alias("value"))
 
 
@@ -119,24 +111,70 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, size: int = C
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives under ``path``: record_id, chunk_no (from 0), type, url, refers_to, declared_digest, declared_bytes, payload (binary) and complete (its length is the one stated).
-
-    A record whose payload holds a record break (not from this writer) isn't complete.
-    """
-    head = F.substring_index("value", END, 1)  # of a file's first record with the version line
+    """The chunk table of the archives under ``path``: record_id, chunk_no (segment number times 2^32, from 0, plus the part of the segment), type, url, refers_to, segmented (may have several chunks), declared_digest, declared_bytes, payload (binary) and complete (its length is the one stated)."""
+    order = F.monotonically_increasing_id()  # lines of a split come in order
+    lines = spark.read.option("lineSep", BREAK).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), order.alias("line"))
+    records = _parsed(lines.select("*", F.lit(0).cast("long").alias("part")))
+    # a block that is too short goes on in the next one: then its file is read in order
+    broken = records.where("not complete").select("file").distinct()
+    if not broken.isEmpty():
+        broken = materialise(broken)
+        walked = lines.join(broken, "file").repartition("file").sortWithinPartitions("file", "block", "line").select("file", "block", "line", "value")
+        again = _parsed(materialise(map_arrow(walked, _walk, "file string, block long, line long, value binary, part long, head string, size long, held long")))
+        records = records.join(broken, "file", "left_anti").unionByName(again)
+    return records.drop("file").where("record_id is not null")
+
+
+def _header(value: str | Column) -> Column:
+    """The header of a record as text; a file's first one has the whole version."""
+    return F.substring_index(F.col(value).cast("string"), END, 1)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Chunks from blocks: (value, file, part) and, of walked files, their header, stated size and bytes held in all parts."""
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1), F.lit(""))
-    lines = spark.read.option("lineSep", BREAK).text(path).select(head.alias("head"), F.col("value").cast("binary").alias("all"))
-    raw = F.substring("all", F.octet_length("head") + (len(END) + 1), F.octet_length("all"))
-    # a file's last record still has its end
-    parts = lines.select("head", raw.alias("raw"), field("Content-Length").cast("long").cast("int").alias("size"))
-    over = F.octet_length("raw") - F.col("size")
+    walked = "head" in lines.columns
+    heads = lines if walked else lines.withColumn("head", _header("value"))
+    raw = F.col("value") if walked else F.substring("value", F.octet_length("head") + (len(END) + 1), F.octet_length("value"))
+    parts = heads.select("file", "part", "head", raw.alias("raw"), field("Content-Length").try_cast("long").cast("int").alias("size"), *(["held"] if walked else []))
+    over = (F.col("held") if walked else F.octet_length("raw")) - F.col("size")
+    number = F.coalesce(field("WARC-Segment-Number").try_cast("long"), F.lit(1)) - 1
+    payload = F.col("raw") if walked else F.when(over == len(END), F.substring("raw", F.lit(1), F.col("size"))).otherwise(F.col("raw"))
     return parts.select(
-        F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
-        (F.coalesce(field("WARC-Segment-Number").cast("long"), F.lit(1)) - 1).alias("chunk_no"),
+        "file", F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"),
+        (number * (1 << 32) + F.col("part")).alias("chunk_no"),
         field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers_to"),
-        field("WARC-Segment-Number").isNotNull().alias("segmented"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("X-Payload-Length").cast("long").alias("declared_bytes"),
-        F.when(over == len(END), F.substring("raw", F.lit(1), F.col("size"))).otherwise(F.col("raw")).alias("payload"), over.isin(0, len(END)).alias("complete"),
-    ).where("record_id is not null")
+        (field("WARC-Segment-Number").isNotNull() | F.lit(walked)).alias("segmented"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("X-Payload-Length").try_cast("long").alias("declared_bytes"),
+        payload.alias("payload"), F.coalesce(over.isin(0, len(END)), F.lit(False)).alias("complete"),
+    )
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of files in order as parts of records by their stated lengths: value (bytes of the payload), part (from 0), head, size and held (bytes of the payload up to here, those of its last part beyond the size included)."""
+    names = ["file", "block", "line", "value", "part", "head", "size", "held"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    now, part, head, size, held, between = None, 0, "", 0, 0, BREAK.encode()
+    for batch in batches:
+        for file, block, line, value in zip(*(batch.column(k) for k in range(4)), strict=True):
+            body = memoryview(value.as_buffer())
+            if file.as_py() != now or held >= size:
+                now, part, held = file.as_py(), 0, 0
+                at = value.as_py().find(END.encode())
+                # a payload that begins like a version makes a break with the end of its header
+                between = (BREAK if at >= 0 else BREAK[len(END) :]).encode()
+                at = len(body) if at < 0 else at
+                head = bytes(body[:at]).decode("utf-8", "replace")
+                body = body[at + len(END) :]
+                size = next((int(x.split(":", 1)[1]) for x in head.splitlines() if x.lower().startswith("content-length:") and x.split(":", 1)[1].strip().isdigit()), 0)
+            else:
+                body, between = memoryview(between + bytes(body)), BREAK.encode()
+                part += 1
+            take = bytes(body[: size - held])
+            left = len(body) - len(take)
+            held += len(take)
+            # what is beyond the stated size is counted, but not kept, if it isn't the end of the file's last record
+            row = (now, block.as_py(), line.as_py(), take, part, head, size, held + (left if left not in (0, len(END)) else 0))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
 
 def digests(table: DataFrame) -> DataFrame:
@@ -153,17 +191,20 @@ def digests(table: DataFrame) -> DataFrame:
             if now:
                 first, last, n, total, sha, good = now
                 revisit = first[2] == "revisit"
-                good = good and (revisit or (last[5] in (None, sha.hexdigest()) and last[6] in (None, total)))
-                rows.append((first[0], first[2], first[3], first[4], n, first[6] if revisit else total, first[5] if revisit else sha.hexdigest(), good))
+                good = good and last[7] and (revisit or (last[5] in (None, sha.hexdigest()) and last[6] in (None, total)))
+                rows.append((first[0], first[2], first[3], first[4], n, first[6] if revisit else total, first[5] if revisit else sha.hexdigest(), bool(good)))
 
         for batch in batches:
             for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 5, 6, 8)), strict=True)):
-                payload = batch.column(7)[k].as_py()
+                payload = batch.column(7)[k].as_buffer()
                 if not now or now[0][0] != row[0]:
                     close()
-                    now = [row, row, 0, 0, hashlib.sha1(), True]
+                    now = [row, row, 0, 0, hashlib.sha1(), row[1] == 0]
+                elif row[1] >> 32 != now[1][1] >> 32:  # the next segment: the one before is complete, none is left out
+                    now[5] = now[5] and bool(now[1][7]) and row[1] == (now[1][1] >> 32) + 1 << 32
+                else:
+                    now[5] = now[5] and row[1] == now[1][1] + 1
                 now[4].update(payload)
-                now[5] = now[5] and bool(row[7]) and row[1] == now[2]
                 now[1:4] = row, now[2] + 1, now[3] + len(payload)
             if rows:
                 yield _records(rows)
