@@ -11,12 +11,14 @@ in more with a chance of 3e-5 at most (22 values and 12 chunks at 85 percent).
 Hot buckets are not expanded into all pairs. The members of a group of copies that
 agree most with the others (the sums of their buckets' sizes tell) head their
 buckets: each member meets the head of its largest bucket first, then the heads of
-its other buckets, each time only if the two are still in different components.
-Members whose buckets still hold several components meet by an exact prefix filter:
-two sets of the wanted similarity share one of the rarest shingles of either, as many
-as may be missing and one more; what is common to many texts comes last in that order
-and makes no pairs. So no link between components is lost. Buckets and prefix groups
-of more than ``BLOCK`` members are dealt to several tasks (salted).
+its other buckets, then a few heads drawn by hashes, each time only if the two are
+still in different components. Members whose buckets still hold several components
+meet by an exact prefix filter: two sets of the wanted similarity share one of the
+rarest shingles of either, as many as may be missing and one more; what is common to
+many texts comes last in that order and makes no pairs. There, wide signatures tell
+pairs near the threshold apart before their sets are read. So no link between
+components is lost but by the chances stated with ``distance`` and ``wide_distance``.
+Buckets and prefix groups of more than ``BLOCK`` members are dealt to several tasks (salted).
 
 Null and empty texts have empty sets, are linked with nothing and stay. Rows
 without a doc_id are never linked. Rows that share a doc_id are judged by their
@@ -27,7 +29,7 @@ id and text columns are read. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, having_ids, map_arrow, materialise
 
-#: Values of a signature, and the chance that a pair at the wanted similarity differs in more values than looked for.
-VALUES, CHANCE = 64, 3e-5
+#: Values of a signature, two-bit values of a wide one, and the chance that a pair at the wanted similarity differs in more values than looked for.
+VALUES, WIDE, CHANCE = 64, 1024, 3e-5
 
 
 def distance(percent: int) -> int:
@@ -56,15 +58,24 @@ def chunks(percent: int) -> int:
     return distance(percent) // 2 + 1
 
 
+def wide_distance(percent: int) -> int:
+    """The most two-bit values in which wide signatures may differ: 4.5 standard deviations over the mean."""
+    off = 0.75 * (1 - percent / 100)
+    return int(WIDE * off + 4.5 * sqrt(WIDE * off * (1 - off)))
+
+
 DISTANCE, CHUNKS = distance(85), chunks(85)
-#: Rounds of heads: in the largest bucket of each member, then in all its buckets.
-ROUNDS = ("largest", "all")
+#: Rounds of heads: by weight in the largest bucket of each member, then in all its buckets, then by hashes.
+ROUNDS = ("largest", "all", 1, 2, 3)
 #: Members of a bucket or prefix group that one task takes; more are dealt to several.
 BLOCK = 256
+#: Parts that the rows of one prefix shingle are dealt to before its size is known.
+SALTS = 8
 #: Distinct words whose hashes a task remembers.
 REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, text_hash long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
 PLANES = ("p0", "p1", "p2", "p3")
+WIDE_PLANES = [f"{half}{k}" for half in "uv" for k in range(WIDE // 64)]
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 #: For the words of a shingle by place, and for texts of so many words that have no whole shingle.
@@ -169,6 +180,23 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
 
+def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two bits of each of many MinHash values, from (id, items)."""
+    scale = np.random.default_rng(20240504).integers(1, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        rows = []
+        for items in batch.column(1):
+            items, least = np.frombuffer(items.as_buffer(), np.uint64), np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+            for part in range(0, len(items), 128):
+                h = items[part : part + 128, None] * scale
+                least = np.minimum(least, (h ^ (h >> np.uint64(33))).min(axis=0))
+            least = _spread(least)
+            rows.append(np.concatenate([np.packbits((least >> np.uint64(b) & np.uint64(1)).astype(np.uint8)).view(np.int64) for b in (63, 62)]))
+        if rows:
+            table = np.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(WIDE_PLANES)))], ["id", *WIDE_PLANES])
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, token) from (id, items)."""
     for batch in batches:
@@ -240,13 +268,13 @@ def _block_of(n: str) -> Column:
     return F.pmod(F.xxhash64("id"), _blocks(n))
 
 
-def _with_heads(members: DataFrame) -> DataFrame:
-    """``members`` (key, n, id, c, w, facts) of the buckets that hold several components, with ``head``: its best member.
+def _with_heads(members: DataFrame, draw: int | None = None) -> DataFrame:
+    """``members`` (key, n, id, c, w, facts) of the buckets that hold several components, with ``head``: its best member (the first by hashes of ``draw``, if given).
 
     Buckets of more than a block are grouped per block first, and their heads sent to every block.
     """
     rows = members.withColumn("block", _block_of("n"))
-    rank = F.struct((-F.col("w")).alias("w"), F.col("id").alias("h"), F.col("c").alias("hc"), *[F.col(f).alias(f"h_{f}") for f in ("n_shingles", *PLANES)])
+    rank = F.struct((-F.col("w") if draw is None else F.xxhash64("id", F.lit(draw))).alias("w"), F.col("id").alias("h"), F.col("c").alias("hc"), *[F.col(f).alias(f"h_{f}") for f in ("n_shingles", *PLANES)])
     part = rows.groupBy("key", "block").agg(F.min(rank).alias("head"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("m"))
     whole = part.groupBy("key").agg(F.min("head").alias("head"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("m").alias("m")).where("c0 < c1")
     sent = whole.select("key", "head", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("m") - 1)).alias("block"))
@@ -264,11 +292,17 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = ranked.join(rest, "id").where(F.col("n_shingles") - F.col("common") + F.col("r") <= F.col("n_shingles") - least + 1)
     prefix = materialise(prefix.select("token", "id", "c", "n_shingles", *PLANES))
     groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token", "n")
-    own = prefix.join(groups, "token").withColumn("own", _block_of("n"))
-    every = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = prefix.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(groups, ["token", "salt"]).withColumn("own", _block_of("n"))
+    wide = materialise(map_arrow(having_ids(sets, materialise(own.select("id").distinct())), _wide_signatures, "id long, " + ", ".join(f"{c} long" for c in WIDE_PLANES)))
+    every = own.join(wide, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n", "salt")
     x, y = every.alias("x"), every.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-    found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent))
+    differ = F.lit(0)
+    for k in range(WIDE // 64):
+        u, v = (F.col(f"x.{half}{k}").bitwiseXOR(F.col(f"y.{half}{k}")) for half in "uv")
+        differ = differ + F.bit_count(u.bitwiseOR(v))
+    found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent) & (differ <= wide_distance(percent)))
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
 
 
@@ -311,7 +345,7 @@ def judged(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     rows = members.join(facts.drop("first_doc", "hi", "lo"), "id").withColumn("c", F.col("id"))
     labels = []
     for how in ROUNDS:
-        mixed = materialise(_with_heads(rows.where("key = own") if how == "largest" else rows))
+        mixed = materialise(_with_heads(rows.where("key = own") if how == "largest" else rows, how if isinstance(how, int) else None))
         near = mixed.where("c <> head.hc").where(_close(str, "head.h_{}".format, percent))
         pairs = near.select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"), F.when(F.col("id") < F.col("head.h"), F.col("c")).otherwise(F.col("head.hc")).alias("ca"), F.when(F.col("id") < F.col("head.h"), F.col("head.hc")).otherwise(F.col("c")).alias("cb"))
         labels.append(_merged(pairs, sets, percent))

@@ -218,7 +218,7 @@ def test_pigeonhole_keys_find_every_pair_within_distance():
 def test_keys_and_sets_follow_percent_and_width():
     import pyarrow as pa
 
-    assert (neardup.distance(85), neardup.chunks(85)) == (22, 12)
+    assert (neardup.distance(85), neardup.chunks(85), neardup.wide_distance(85)) == (22, 12, 160)
     rng = np.random.default_rng(9)
     for _ in range(50):
         a = rng.integers(0, 65536, neardup.VALUES).astype("<u2")
