@@ -397,3 +397,17 @@ def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The query in DuckDB SQL: distinct sets, pairs by their common shingles, components by walking over links. For small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, doc_id, array_to_string(w[k : k + 2], ' ') AS gram FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0)),
+z AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS h FROM g GROUP BY r),
+u AS (SELECT h, n, min(r) AS r, min(doc_id) AS doc_id FROM z GROUP BY h, n),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.r < b.r AND a.r IN (SELECT r FROM u) AND b.r IN (SELECT r FROM u) GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN u s ON s.r = x JOIN u t ON t.r = y WHERE 100 * common >= 85 * (s.n + t.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+walk AS (SELECT r AS x, r AS y FROM u UNION SELECT walk.x, e.y FROM walk JOIN e ON walk.y = e.x),
+c AS (SELECT x AS r, min(doc_id) AS component FROM walk JOIN u ON u.r = walk.y GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, d.doc_id = coalesce(c.component, d.doc_id) AS kept FROM d LEFT JOIN z ON z.r = d.r LEFT JOIN u ON u.h = z.h AND u.n = z.n LEFT JOIN c ON c.r = u.r"""

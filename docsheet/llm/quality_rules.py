@@ -101,4 +101,21 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry_text:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judge(docs, carry_text=False).select("doc_id", *[F.col(f"quality.{x}").alias(x) for x in names], F.col("quality.host_rate").alias("host_rate"))
+    return judge(docs, carry_text=False).select("doc_id", *[F.col(f"quality.{x}").alias(x) for x in names], F.round("quality.host_rate", 9).alias("host_rate"))
+
+
+#: The query in DuckDB SQL.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^ \t-\r]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM d),
+g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+m AS (SELECT w.r, doc_id, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(10 * n_symbols > n_words AS INT) + CAST(10 * n_dup_lines > 3 * n_lines AS INT) + CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS INT) AS soft FROM m),
+h AS (SELECT source, count(*) AS n, CAST(sum(CAST(base_failed OR soft > 0 AS INT)) AS DOUBLE) AS f FROM q GROUP BY source),
+a AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * (count(*) - 1) / sum(n) AS spread FROM h),
+p AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM a),
+v AS (SELECT source, mean, (f + mean * strength) / (n + strength) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.8 AND soft < CASE WHEN rate > 2 * mean THEN 1 ELSE 2 END AS kept, round(rate, 9) AS host_rate
+FROM q JOIN v ON q.source IS NOT DISTINCT FROM v.source"""

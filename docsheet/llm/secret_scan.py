@@ -36,35 +36,40 @@ WORDS = (
     "parent password path pattern pointer position previous process profile program property protocol queue range record region remote report request resource response result return root schedule screen script search section "
     "selection server service session setting signal size source stack start state status stream string style symbol system table target task template test thread timer title total transaction type update upload user value variable vector version view visible width window worker"
 ).split()
-#: Parts that run-on words of the supported languages are made of (fixed values, labelled 0).
-SYLLABLES = (
-    "the tion and ing ed er in on es re at en or is it ti st nd ha ou ea le an as of ly ment able ble wh sh th "
-    "la el que de los ci ado ez ción ll rr as os es un boda ja go "
-    "der die und ung keit lich sch ein ge ver be heit ach au st er ie te zu tz pf "
-    "eau oi ai ier eux ment ou elle tre an en on re vi pa que ch"
+#: Common longer words of German, French and Spanish without marks (fixed values, labelled 0).
+FOREIGN = (
+    "gesellschaft entwicklung wissenschaft geschwindigkeit verantwortung wirtschaft freundschaft beziehung unterricht entscheidung verhandlung zusammenarbeit bundesregierung krankenhaus arbeitsplatz schreibtisch nachrichten versicherung "
+    "gouvernement environnement developpement connaissance entreprise maintenant aujourdhui quelquefois probablement heureusement appartement administration bibliotheque changement ensemble lumiere chateau nouveaux "
+    "universidad conocimiento desarrollo gobierno trabajadores posiblemente ciudadanos responsabilidad naturaleza comunidad importante necesario pueblo escuela siguiente historia ayuntamiento felicidades"
 ).split()
+#: Parts of pronounceable syllables, of which invented words are made (labelled 0).
+ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t v w br ch dr fl gr kl pr sch sh st th tr wh".split(), "a e i o u a e i o ai ea ei ie oi ou eu io ue".split(), ["", "", "n", "r", "s", "t", "l", "ng", "nd", "st", "ch", "nt", "rt", "x"]
 
 
-def random_samples(spark: SparkSession, rows: int) -> DataFrame:
-    """``rows`` random strings (label 1): hexadecimal in either case, base 64 and base 64 for URLs, 20 to 64 characters."""
+def random_samples(spark: SparkSession, rows: int, first: int = 0) -> DataFrame:
+    """``rows`` random strings (label 1) of 20 to 64 characters: hexadecimal in either case, base 64, base 64 for URLs, letters of either or of one case, small letters with digits."""
     digest = F.sha2(F.col("id").cast("string"), 512)
     b64 = F.base64(F.unhex(digest))
-    body = F.when(F.col("id") % 4 == 0, digest).when(F.col("id") % 4 == 1, F.upper(digest)).when(F.col("id") % 4 == 2, b64).otherwise(F.translate(b64, "+/", "-_"))
+    letters = F.translate(b64, "0123456789+/=", "QxJzKvBwYfGhP")
+    kinds = [digest, F.upper(digest), b64, F.translate(b64, "+/", "-_"), letters, F.lower(letters), F.upper(letters), F.translate(F.lower(b64), "+/=", "qjz")]
+    body = F.get(F.array(*kinds), (F.col("id") % len(kinds)).cast("int"))
     size = (F.lit(20) + F.pmod(F.xxhash64("id"), F.lit(45))).cast("int")
-    return spark.range(0, rows, 1, 4).select(F.substring(body, F.lit(1), size).alias("text"), F.lit(1).alias("label"))
+    return spark.range(first, first + rows, 1, 4).select(F.substring(body, F.lit(1), size).alias("text"), F.lit(1).alias("label"))
 
 
-def identifier_samples(spark: SparkSession, rows: int) -> DataFrame:
-    """``rows`` ordinary identifiers (label 0): two to six words or syllables joined as snake, kebab, path, camel case or run together, some with a short number."""
+def identifier_samples(spark: SparkSession, rows: int, first: int = 0) -> DataFrame:
+    """``rows`` ordinary identifiers and run-on words (label 0): three words joined as snake, kebab, path, camel case or run together, and invented words of five to eight syllables, some with a short number."""
 
     def pick(words: list[str], salt: int) -> Column:
         return F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))).cast("int"))
 
     few = [F.transform(F.array(*[pick(WORDS, k) for k in range(3)]), f) for f in (lambda x: x, F.initcap, F.upper)]
     snake, camel, shout = few
-    way = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(8))
+    way = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(10))
     tail = F.when(F.col("id") % 5 == 0, F.pmod(F.xxhash64("id", F.lit(98)), F.lit(100)).cast("string")).otherwise("")
-    run = F.concat(*[pick(SYLLABLES, 10 + k) for k in range(6)])
+    syllable = lambda k: F.concat(pick(ONSETS, 10 + 3 * k), pick(VOWELS, 11 + 3 * k), pick(CODAS, 12 + 3 * k))
+    run = F.array_join(F.slice(F.array(*[syllable(k) for k in range(8)]), F.lit(1), (F.pmod(F.xxhash64("id", F.lit(97)), F.lit(4)) + 5).cast("int")), "")
+    words = F.concat(pick(FOREIGN, 90), pick(FOREIGN, 91))
     text = (
         F.when(way == 0, F.array_join(snake, "_"))
         .when(way == 1, F.array_join(snake, "-"))
@@ -72,9 +77,12 @@ def identifier_samples(spark: SparkSession, rows: int) -> DataFrame:
         .when(way == 3, F.array_join(camel, ""))
         .when(way == 4, F.array_join(shout, "_"))
         .when(way == 5, F.upper(run))
+        .when(way == 6, F.initcap(words))
+        .when(way == 7, words)
+        .when(way == 8, F.initcap(run))
         .otherwise(run)
     )
-    return spark.range(0, rows, 1, 4).select(F.concat(text, tail).alias("text"), F.lit(0).alias("label"))
+    return spark.range(first, first + rows, 1, 4).select(F.concat(text, tail).alias("text"), F.lit(0).alias("label"))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -127,18 +135,18 @@ def _score(ratios: list[float], token: Column) -> Column:
     return let(codes, lambda c: sums(c) / (F.size(c) - 1))
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = 1.0) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds ``secret_spans``: an array of (start, end, kind, value), sorted by start and kind.
 
     Markov spans are candidate runs of 20 characters and more whose mean log-likelihood ratio per character pair exceeds
-    ``threshold`` and that have letters and digits (a run of letters alone may be a long word); those that overlap a base span are left out, so base spans stay as they are.
+    ``threshold``; those that overlap a base span are left out, so base spans stay as they are.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.when(t.rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), _spans(t, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6))
     access = F.when(t.contains("AKIA"), _spans(t, ACCESS, "access", lambda m: F.length(m) >= 20))
     # a run of 24 has no non-hexadecimal neighbours inside: the quick test and the full pattern agree on what passes
     hexes = F.when(t.rlike("[0-9a-f]{24}"), _spans(t, HEX, "hex", lambda m: F.length(m) >= 24))
-    rare = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (_score(ratios, m) > threshold)
+    rare = lambda m: _score(ratios, m) > threshold
     marked = F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, "markov", rare))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,value:string>>")
     base = F.concat(*[F.coalesce(x, none) for x in (assign, access, hexes)])

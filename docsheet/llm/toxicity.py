@@ -188,7 +188,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 200, clean_window
         a, b = in_bad[u], in_good[u]
         return 2 * (a * math.log(a / (p * (a + b))) + (b * math.log(b / ((1 - p) * (a + b))) if b else 0))
 
-    seeds = [u for u, n in in_bad.items() if n >= 3 and n > 3 * p * (n + in_good[u]) and chance(u) > 12]
+    seeds = [u for u, n in in_bad.items() if n >= 3 and n * len(good) > 4 * (in_good[u] + 0.5) * len(bad) and chance(u) > 12]
     seeds = sorted(seeds, key=lambda u: (-chance(u), u))[: landmarks // 2]
     if not seeds:
         return blank

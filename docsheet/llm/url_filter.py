@@ -20,13 +20,23 @@ from .common import ascii_lower, let
 
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Parts that labelled URLs are made of, those of unwanted pages and those of others.
-UNWANTED = "casino poker slots bets betting jackpot roulette bonus win free cheap deal track ads click spam farm pills viagra pharmacy loans payday replica adult porn xxx dating escort warez torrent crack keygen clickbait lottery".split()
-WANTED = (
-    "news blog docs wiki forum shop store library science health sport music travel garden school university museum archive research weather recipes history city book photo street market theater "
-    "thther ththan tionble theren erand ingtion onthe thand ououth leque ciones dieung ththin ththst tionsh ththre ererin theron onesan readit"
-).split()
+#: General words that labelled URLs are made of, those of unwanted pages (gambling, drugs, pornography, loans, pirated and harmful software, advertising) and those of others.
+UNWANTED = "casino poker roulette blackjack jackpot slots betting bookmaker lottery bingo viagra cialis pharmacy pills steroids payday loans replica porn xxx escort nude webcam warez torrent crack keygen serials adserver banner popup affiliate clickbait spyware phishing".split()
+WANTED = "news docs wiki forum shop store library science health sport music travel garden school university museum archive research weather recipes history city book photo street market theater engineering kitchen language mountain journal painting".split()
+#: Parts of invented names, which stand for hosts without any known word.
+ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t v w br ch dr fl gr kl pr sh st th tr".split(), "a e i o u ai ea ei ie ou".split(), ["", "n", "r", "s", "t", "l", "ng", "nd", "st"]
 BITS = 12
+#: Urls over this probability are blocked.
+THRESHOLD = 0.6
+#: Factors of the code points of an n-gram in its hash.
+FACTORS = (1, 131, 1371, 2917)
+
+
+def invented(k: int) -> str:
+    """A pronounceable name of two to four syllables, the same for equal ``k``."""
+    draw = lambda salt, options: options[zlib.crc32(f"{salt}:{k}".encode()) % len(options)]
+    bare = draw("b", (0, 0, 0, 1))  # some are abbreviations, with a syllable without vowels
+    return "".join(draw(f"o{j}", ONSETS) + ("" if bare and j == 0 else draw(f"v{j}", VOWELS)) + draw(f"c{j}", CODAS) for j in range(draw("n", (2, 3, 4))))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -35,31 +45,37 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def labelled(rows: int = 1200) -> list[tuple[str, str, int]]:
-    """The small labelled table: (host, path, 1 for unwanted), made by rule from the parts above; prefix, domain and path are drawn alike for both labels."""
+def labelled(rows: int = 4000, first: int = 0, unwanted=UNWANTED, wanted=WANTED) -> list[tuple[str, str, int]]:
+    """The small labelled table: (host, path, 1 for unwanted), made by rule from the words above and invented names; form, domain and path are drawn alike for both labels. ``first`` starts other draws."""
     out = []
-    for k in range(rows):
+    for k in range(first, first + rows):
 
         def pick(options, salt: int, k: int = k):
             return options[zlib.crc32(f"{salt}:{k}".encode()) % len(options)]
 
         bad = k % 2
-        a, b = (pick(UNWANTED, 1), pick(UNWANTED, 2)) if bad else (pick(WANTED, 1), pick(WANTED, 2))
-        stem = pick((f"{a}-{b}", f"{a}{b}", a, f"{a}-{pick(WANTED, 3)}"), 4)
+        plain = lambda salt: invented(17 * k + salt) if pick((0, 1), salt + 40) else pick(wanted, salt)  # noqa: B023, E731
+        a, b = (pick(unwanted, 1), pick((pick(unwanted, 2), plain(2)), 12)) if bad else (plain(1), plain(2))
+        a, b = pick(((a, b), (b, a)), 13)
+        stem = pick((f"{a}-{b}", f"{a}{b}", a if a in unwanted or not bad else b), 4)
         host = pick(("www.", "m.", "blog.", ""), 5) + stem + "." + pick(("example.com", "example.org", "example.net"), 6)
         page = zlib.crc32(f"7:{k}".encode()) % 9973
-        path = pick(("/", "/{0}/{1}", "/{0}/{1}.html", "/{0}/{1}/", "/{0}/{2}/{1}"), 8).format(pick(("en", "de", "fr", "es"), 9), page, pick(WANTED, 10))
+        path = pick(("/", "/{0}/{1}", "/{0}/{1}.html", "/{0}/{1}/", "/{0}/{2}/{1}"), 8).format(pick(("en", "de", "fr", "es"), 9), page, plain(10))
         out.append((host, path, bad))
     return out
 
 
+def bucket(kind: int, gram: str) -> int:
+    """Hash of an n-gram of the host (kind 0) or path (kind 1) by its code points."""
+    return (kind * 1777 + sum(ord(c) * f for c, f in zip(gram, FACTORS))) % (1 << BITS)
+
+
 def _grams(host: str, path: str) -> list[int]:
-    """Buckets of the 3- and 4-grams of host and path, each kind marked by its first letter."""
-    text = [f"{mark}{s[i : i + n]}" for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4) for i in range(len(s) - n + 1)]
-    return [zlib.crc32(g.encode()) % (1 << BITS) for g in text]
+    """Buckets of the 3- and 4-grams of host and path, with a mark at either end."""
+    return [bucket(kind, s[i : i + n]) for kind, s in enumerate((f"^{host}$", f"^{path}$")) for n in (3, 4) for i in range(len(s) - n + 1)]
 
 
-def train(table: list[tuple[str, str, int]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
+def train(table: list[tuple[str, str, int]], epochs: int = 8, rate: float = 0.5, decay: float = 1e-4) -> list[float]:
     """Weights of a logistic regression by stochastic gradients over the small labelled table; the last one is the intercept."""
     weights = [0.0] * ((1 << BITS) + 1)
     rows = [(_grams(h, p), y) for h, p, y in table]
@@ -72,22 +88,26 @@ def train(table: list[tuple[str, str, int]], epochs: int = 12, rate: float = 0.5
             for g in grams:
                 weights[g] += step * (scale * error - decay * weights[g])
             weights[-1] += 0.1 * step * error
-    return weights
+    return [round(w, 6) for w in weights]
 
 
 def score(weights: list[float], host: Column, path: Column) -> Column:
     """Probability that a url is unwanted; 0 without a host."""
     table = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")
 
-    def grams(mark: str, text: Column, n: int) -> Column:
-        return let(F.concat(F.lit("^"), text, F.lit("$")), lambda s: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.get(table, F.pmod(F.crc32(F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))), F.lit(1 << BITS)).cast("int")))).otherwise(F.array().cast("array<double>")))
+    def grams(kind: int, text: Column) -> Column:
+        def of(codes: Column, n: int) -> Column:
+            starts = F.when(F.size(codes) >= n, F.sequence(F.lit(0), F.size(codes) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.get(table, F.pmod(sum((F.get(codes, i + k) * FACTORS[k] for k in range(n)), F.lit(kind * 1777)), F.lit(1 << BITS))))
+
+        return let(F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c)), lambda a: F.concat(of(a, 3), of(a, 4)))
 
-    every = F.concat(grams("h", host, 3), grams("h", host, 4), grams("p", path, 3), grams("p", path, 4))
+    every = F.concat(grams(0, host), grams(1, path))
     z = let(every, lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.sqrt(F.greatest(F.size(a), F.lit(1)))) + F.lit(weights[-1])
     return F.when(host == "", F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
 
 
-def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = 0.5, url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float = THRESHOLD, url: str = "url") -> DataFrame:
     """Adds ``url_verdict``: host, path, rule, score (null where a rule decides) and verdict."""
     host, path = split_url(F.col(url))
 
@@ -108,4 +128,20 @@ def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     v = F.col("url_verdict")
-    return judge(pages, train(labelled())).select("page_id", *[v[c].alias(c) for c in ("host", "path", "rule", "verdict", "score")])
+    return judge(pages, train(labelled())).select("page_id", *[v[c].alias(c) for c in ("host", "path", "rule", "verdict")], F.round(v["score"], 6).alias("score"))
+
+
+def sql() -> str:
+    """The query in DuckDB SQL, the trained weights as a literal list."""
+    weights = "[" + ", ".join(map(repr, train(labelled()))) + "]::DOUBLE[]"
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    first = lambda at: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[at]}'" for f in fits) + " END"
+    of = lambda column, kind, n: f"list_transform(range(1, greatest(1, len({column}) - {n - 2})), lambda i: w[({kind * 1777} + {' + '.join(f'{column}[i + {k}] * {FACTORS[k]}' for k in range(n))}) % {1 << BITS} + 1])"
+    lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+    cut AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{lower[0]}', '{lower[1]}') AS host, regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    fit AS (SELECT *, {first(1)} AS rule, {first(2)} AS ruled, list_transform(string_split('^' || host || '$', ''), lambda c: CAST(unicode(c) AS BIGINT)) AS h, list_transform(string_split('^' || path || '$', ''), lambda c: CAST(unicode(c) AS BIGINT)) AS p, (SELECT {weights}) AS w FROM cut),
+    grams AS (SELECT *, {of('h', 0, 3)} || {of('h', 0, 4)} || {of('p', 1, 3)} || {of('p', 1, 4)} AS g FROM fit),
+    scored AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL WHEN host = '' THEN 0.0 ELSE 1 / (1 + exp(-(list_sum(g) / sqrt(greatest(len(g), 1)) + w[{(1 << BITS) + 1}]))) END AS s FROM grams)
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN s > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(s, 6) AS score FROM scored"""

@@ -236,3 +236,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = digests(read_archives(spark, path))
     page = lambda urn: F.regexp_extract(urn, r"^<urn:record:\d+:(-?\d*):", 1).try_cast("long")
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"), "intact", "n_chunks")
+
+
+#: The query in DuckDB SQL.
+SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to, true AS intact, CAST(CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 1 ELSE greatest(1, ceil(payload_bytes / 1048576.0)) END AS BIGINT) AS n_chunks FROM f"""
