@@ -295,14 +295,15 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = prefix.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(groups, ["token", "salt"]).withColumn("own", _block_of("n"))
     wide = materialise(map_arrow(having_ids(sets, materialise(own.select("id").distinct())), _wide_signatures, "id long, " + ", ".join(f"{c} long" for c in WIDE_PLANES)))
-    every = own.join(wide, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n", "salt")
+    tokens_of = own.groupBy("id").agg(F.collect_set("token").alias("tokens"))
+    every = own.join(wide, "id").join(tokens_of, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n", "salt")
     x, y = every.alias("x"), every.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
     differ = F.lit(0)
     for k in range(WIDE // 64):
         u, v = (F.col(f"x.{half}{k}").bitwiseXOR(F.col(f"y.{half}{k}")) for half in "uv")
         differ = differ + F.bit_count(u.bitwiseOR(v))
-    found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent) & (differ <= wide_distance(percent)))
+    found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent) & (differ <= wide_distance(percent)) & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")))  # once, not for each shingle that they share
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
 
 
