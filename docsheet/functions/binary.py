@@ -42,21 +42,79 @@ def x_varint(data: Column, offset) -> Column:
 
 
 def little(value: Column, size: int) -> Column:
-    """The bytes of an unsigned integer."""
-    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)]))
+    """The bytes of an unsigned integer; null for what doesn't fit."""
+    whole = value.cast("long")
+    digits = F.lpad(F.hex(whole), 2 * size, "0")
+    return F.when((whole >= 0) & (F.lit(True) if size == 8 else whole < 1 << 8 * size), F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)])))
 
 
 def s_encode(value: Column) -> Column:
-    """Up to 0x1FFF; null beyond."""
+    """0 to 0x1FFF; null beyond."""
     return F.when(value < 0x40, little(value * 4 + 2, 1)).when(value < 0x2000, little(value * 8 + 5, 2))
 
 
 def x_encode(value: Column) -> Column:
-    """Up to 0x1FFFFFFF; null beyond."""
+    """0 to 0x1FFFFFFF; null beyond."""
     return F.when(value < 0x80, little(value * 2, 1)).when(value < 0x4000, little(value * 4 + 1, 2)).when(value < 0x20000000, little(value * 8 + 3, 4))
 
 
+def boolean(data: Column, offset) -> Column:
+    """A byte that is 0 or true."""
+    return uint(data, offset, 1) != 0
+
+
+def bool_encode(value: Column) -> Column:
+    return little(value.cast("int"), 1)
+
+
+def double(data: Column, offset) -> Column:
+    """IEEE double, little-endian, from its sign, exponent and fraction."""
+    low, high = uint(data, offset, 4), uint(data, _at(offset) + 4, 4)
+    exponent = F.shiftright(high, 20).bitwiseAND(0x7FF)
+    fraction = (high.bitwiseAND(0xFFFFF) * float(1 << 32) + low) / float(1 << 52)
+    size = F.when(exponent == 0, fraction * F.lit(2.0**-1022)).when(exponent < 0x7FF, (1 + fraction) * F.pow(F.lit(2.0), exponent - 1023)).when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(high >= 1 << 31, -size).otherwise(size)
+
+
+def counted_string(data: Column, offset, length: Column) -> Column:
+    """``length`` bytes of text at ``offset``; null if they go beyond the end."""
+    part = F.substring(data, (_at(offset) + 1).cast("int"), length.cast("int"))
+    return F.when((F.length(part) == length) & (_at(offset) >= 0), F.decode(part, "UTF-8"))
+
+
+def short_string(data: Column, offset) -> Column:
+    """(value, size): one byte with the number of bytes, and the text."""
+    n = uint(data, offset, 1)
+    return F.struct(counted_string(data, _at(offset) + 1, n).alias("value"), (n + 1).alias("size"))
+
+
+def s_string(data: Column, offset) -> Column:
+    """(value, size): an S integer with the number of bytes, and the text."""
+    n = s_varint(data, offset)
+    return F.struct(counted_string(data, _at(offset) + n["size"], n["value"]).alias("value"), (n["value"] + n["size"]).alias("size"))
+
+
+def s_string_encode(text: Column) -> Column:
+    """Up to 0x1FFF bytes; null beyond."""
+    raw = F.encode(text, "UTF-8")
+    return F.concat(s_encode(F.length(raw)), raw)
+
+
+def cell_offset(raw: Column) -> Column:
+    """(offset, absolute) of half a packed cell reference of 16 bits: bit 15 the sign, bit 14 set for absolute, 14 bits of size."""
+    size = raw.bitwiseAND(0x3FFF)
+    return F.struct(F.when(raw.bitwiseAND(0x8000) != 0, -size).otherwise(size).alias("offset"), (raw.bitwiseAND(0x4000) != 0).alias("absolute"))
+
+
+def length_raw(cm: Column) -> Column:
+    """The 1/1440 inches of a length, to the nearest."""
+    return F.floor(cm * 1440 / F.lit(2.54) + 0.5)
+
+
+def size_raw(points: Column) -> Column:
+    return F.floor(points * 20 + 0.5)
+
+
 def length_cm(raw: Column) -> Column:
     """Centimetres of a length in 1/1440 inch."""
     return raw * F.lit(2.54) / 1440
@@ -87,6 +145,34 @@ def unpack_bits(packed: Column, bits: int, count: int) -> Column:
     return F.array(*[F.shiftright(packed, k * bits).bitwiseAND((1 << bits) - 1) for k in range(count)])
 
 
+def unpack_rows(data: Column, width: Column, bits: int) -> Column:
+    """Pixels of a picture, row by row: each row's pixels of ``bits`` (1, 2, 4 or 8) bits lie from the low bits on in bytes, and rows begin at multiples of four bytes."""
+    a_byte = 8 // bits
+    row = F.ceil(width * bits / 32).cast("int") * 4
+    byte = lambda k: F.conv(F.hex(F.substring(data, k + 1, F.lit(1))), 16, 10).cast("int")
+    value = lambda y, x: F.floor(byte(y * row + F.floor(x / a_byte).cast("int")) / F.pow(F.lit(2), (x % a_byte) * bits)).cast("int") % (1 << bits)
+    rows = F.sequence(F.lit(0), F.floor(F.length(data) / row).cast("int") - 1)
+    return F.when((width > 0) & (F.length(data) >= row), F.flatten(F.transform(rows, lambda y: F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda x: value(y, x)))))
+
+
+def grey_rgb(pixel: Column, depth: int) -> Column:
+    """Red, green and blue from 0 to 1 of a grey value of ``depth`` bits."""
+    g = pixel / F.lit(float((1 << depth) - 1))
+    return F.struct(g.alias("red"), g.alias("green"), g.alias("blue"))
+
+
+def split_rgb(pixel: Column, red: int, green: int, blue: int) -> Column:
+    """Red, green and blue from 0 to 1 of a pixel with so many bits of each, red lowest."""
+    part = lambda at, bits: F.shiftright(pixel, at).bitwiseAND((1 << bits) - 1) / F.lit(float((1 << bits) - 1))
+    return F.struct(part(0, red).alias("red"), part(red, green).alias("green"), part(red + green, blue).alias("blue"))
+
+
+def palette_rgb(pixel: Column, palette: list[tuple[float, float, float]]) -> Column:
+    """The palette's colour of a pixel (256 at most); its first one for pixels beyond the palette."""
+    colours = F.array(*[F.struct(F.lit(r).alias("red"), F.lit(g).alias("green"), F.lit(b).alias("blue")) for r, g, b in palette[:256]])
+    return F.coalesce(F.when(pixel >= 0, F.get(colours, pixel.cast("int"))), F.get(colours, F.lit(0)))
+
+
 def luma(red: Column, green: Column, blue: Column) -> Column:
     """Grey value of a colour (fixed weights)."""
     return 0.212671 * red + 0.715160 * green + 0.072169 * blue

@@ -25,6 +25,31 @@ def failed(code: int) -> Column:
     return cell(F.lit("error"), error=F.lit(code))
 
 
+def failed_as(code: Column) -> Column:
+    """An error cell of a computed code."""
+    return cell(F.lit("error"), error=code)
+
+
+def guarded(operands: list[Column], numbers: list[Column], result: Column) -> Column:
+    """``result``, unless an operand is an error (the first one wins) or one of ``numbers`` is missing (#VALUE!)."""
+    out = None
+    for c in operands:
+        out = F.when(is_error(c), c) if out is None else out.when(is_error(c), c)
+    for x in numbers:
+        out = F.when(x.isNull(), failed(3)) if out is None else out.when(x.isNull(), failed(3))
+    return result if out is None else out.otherwise(result)
+
+
+def info(attribute: str, c: Column, row: Column, column: Column) -> Column:
+    """CELL: the ``row``, ``column``, ``address``, ``contents`` (as text) or ``type`` (b blank, l label, v value) of a cell, as a cell."""
+    from .formula import address
+
+    if attribute in ("row", "column"):
+        return cell(F.lit("int"), num=row if attribute == "row" else column)
+    kinds = {"address": address(row, column), "contents": text(c), "type": F.when(is_blank(c), "b").when(is_text(c), "l").otherwise("v")}
+    return cell(F.lit("string"), text=kinds[attribute])
+
+
 def number(c: Column) -> Column:
     """The number of a cell: a blank is 0, a flag 0 or 1, text that reads as a number that number, else null."""
     return F.when(c["kind"] == "blank", 0.0).when(c["kind"] == "bool", c["bool"].cast("double")).when(c["kind"] == "string", F.trim(c["str"]).try_cast("double")).otherwise(c["num"])
@@ -38,11 +63,7 @@ def combine(op: Callable[[Column, Column], Column], a: Column, b: Column, none:
     """``op`` on the numbers of two cells: the first error wins, unreadable text is #VALUE!, a missing result the error ``none``."""
     x, y = number(a), number(b)
     result = op(x, y)
-    return (
-        F.when(a["kind"] == "error", a).when(b["kind"] == "error", b)
-        .when(x.isNull() | y.isNull(), failed(3)).when(result.isNull(), failed(none))
-        .otherwise(cell(F.lit("float"), num=result))
-    )
+    return guarded([a, b], [x, y], F.when(result.isNull(), failed(none)).otherwise(cell(F.lit("float"), num=result)))
 
 
 def is_blank(c: Column) -> Column:

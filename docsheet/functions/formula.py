@@ -13,6 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Days from 1899-12-31 to 1970-01-01.
+EPOCH_DAYS = 25568
+
+
 def _epoch() -> Column:
     return F.to_date(F.lit("1899-12-31"))
 
@@ -178,12 +182,22 @@ def npv_at(rate: Column, flows: Column) -> Column:
 
 
 def irr(flows: Column, guess: float = 0.1, steps: int = 40) -> Column:
-    """Internal rate of return of an array (first flow now) by Newton steps folded over a sequence; null without convergence."""
+    """Internal rate of return of an array (first flow now) by Newton steps folded over a sequence; where these don't converge, by halving between -0.99 and 10 if the value changes its sign there, else null."""
     sums = lambda r, order: F.aggregate(F.transform(flows, lambda x, i: x * (1 if order == 0 else -i) * F.pow(1 + r, -(i + order))), F.lit(0.0), lambda a, x: a + x)
     move = lambda r: F.greatest(F.lit(-0.99), r - F.coalesce(F.try_divide(sums(r, 0), sums(r, 1)), F.lit(0.0)))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(guess), lambda r, _: move(r))
     scale = F.aggregate(F.transform(flows, lambda x: F.abs(x)), F.lit(1.0), lambda a, x: a + x)
-    return F.when(F.abs(npv_at(found, flows)) * (1 + found) <= scale * 1e-9, found)
+    low, high = F.lit(-0.99), F.lit(10.0)
+    rising = sums(low, 0) < sums(high, 0)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["a"] + acc["b"]) / 2
+        above = (sums(middle, 0) > 0) == rising
+        return F.struct(F.when(above, acc["a"]).otherwise(middle).alias("a"), F.when(above, middle).otherwise(acc["b"]).alias("b"))
+
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(low.alias("a"), high.alias("b")), halve, lambda acc: (acc["a"] + acc["b"]) / 2)
+    good = F.abs(npv_at(found, flows)) * (1 + found) <= scale * 1e-9
+    return F.when(good, found).when(F.signum(sums(low, 0)) * F.signum(sums(high, 0)) < 0, halved)
 
 
 # references

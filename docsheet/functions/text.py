@@ -63,6 +63,11 @@ def paragraphs(text: Column, mark: str = "\x06") -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def section(paragraphs: Column) -> Column:
+    """Text section of an array of paragraphs: a 06 after each; without any text the bytes 06 02."""
+    return F.when(F.size(paragraphs) > 0, F.concat(F.array_join(F.transform(paragraphs, lambda p: F.coalesce(p, F.lit(""))), "\x06"), F.lit("\x06"))).otherwise(F.lit("\x06\x02"))
+
+
 def encode(text: Column, charset: str) -> Column:
-    """Bytes in UTF8, UCS2 (big-endian) or ASCII."""
-    return {"UTF8": F.encode(text, "UTF-8"), "UCS2": F.encode(text, "UTF-16BE"), "ASCII": F.encode(ascii_only(text), "US-ASCII")}[charset]
+    """Bytes in UTF8, UCS2 (big-endian; a question mark for characters that take more than 16 bits) or ASCII."""
+    return {"UTF8": F.encode(text, "UTF-8"), "UCS2": F.encode(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "?"), "UTF-16BE"), "ASCII": F.encode(ascii_only(text), "US-ASCII")}[charset]

@@ -30,18 +30,33 @@ def split_paragraphs(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def consume_pool(owners: DataFrame, pool: DataFrame, by: str, order: str, count: str, pool_order: str) -> DataFrame:
-    """Deals the rows of ``pool`` in order to owners that take ``count`` rows each: pool rows with the ``order`` of their owner. Both sides are numbered per ``by``; the range join runs on that key."""
+    """Deals the rows of ``pool`` in order to owners that take ``count`` rows each: pool rows with the ``order`` of their owner.
+
+    Both sides are numbered per ``by`` and go through one sort of their union, in which a pool row takes the last owner that starts at or before it: no pair is formed.
+    """
     upto = F.sum(count).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    taken = owners.select(F.col(by), F.col(order), upto.alias("_to"), F.col(count).alias("_n")).where("_n > 0")
-    numbered = pool.withColumn("_no", F.row_number().over(W.partitionBy(by).orderBy(pool_order)))
-    inside = (F.col("_no") <= F.col("_to")) & (F.col("_no") > F.col("_to") - F.col("_n"))
-    return numbered.join(taken, by).where(inside).drop("_no", "_to", "_n")
+    taken = owners.select(F.col(by), upto.alias("_to"), F.col(order).alias("_owner"), F.col(count).alias("_n")).where("_n > 0")
+    starts = taken.select(by, (F.col("_to") - F.col("_n") + 1).cast("long").alias("_no"), F.struct(F.col("_to").cast("long").alias("to"), "_owner").alias("_o"), F.lit(None).cast(pool.schema.simpleString()).alias("_p"))
+    numbered = pool.select(by, F.row_number().over(W.partitionBy(by).orderBy(pool_order)).cast("long").alias("_no"), F.lit(None).cast(starts.schema["_o"].dataType).alias("_o"), F.struct(*pool.columns).alias("_p"))
+    window = W.partitionBy(by).orderBy("_no", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = starts.unionByName(numbered).withColumn("_o", F.last("_o", ignorenulls=True).over(window)).where("_p is not null and _no <= _o.to")
+    return found.select("_p.*", F.col("_o._owner").alias(order))
 
 
 def dictionary(rows: DataFrame, values: list[str], order: str) -> DataFrame:
-    """Distinct ``values`` with ``code`` numbered from 1 by first appearance in ``order``: the distinct rows are grouped before they are numbered, so one task sorts no more than the dictionary."""
-    firsts = rows.groupBy(*values).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses"))
-    return firsts.withColumn("code", F.row_number().over(W.orderBy("first", *values)).cast("long"))
+    """Distinct ``values`` with ``code`` numbered from 1 by first appearance in ``order``."""
+    return numbered(rows.groupBy(*values).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses")), ["first", *values], "code")
+
+
+def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
+    """Adds ``number`` from 1 in ``order``: rows are dealt by ranges and sorted there, and each range starts where the counts of those before it end (only these counts meet in one task)."""
+    from ..sources.shared import written
+
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(number, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
 def encode_with(rows: DataFrame, codes: DataFrame, values: list[str]) -> DataFrame:
@@ -93,6 +108,18 @@ def run_lengths(rows: DataFrame, by: list[str], items: Column) -> DataFrame:
     return rows.select(*by, F.posexplode(runs).alias("run_no", "_r")).select(*by, "run_no", "_r.value", "_r.start", "_r.n")
 
 
+def run_summary(items: Column) -> Column:
+    """(n_runs, n_items, longest) of the runs of equal values in an array, in one pass without a row for each."""
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("runs"), F.lit(0).alias("longest"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = (acc["now"] > 0) & acc["last"].eqNullSafe(x)
+        now = F.when(same, acc["now"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), now.alias("now"), (acc["runs"] + F.when(same, 0).otherwise(1)).alias("runs"), F.greatest(acc["longest"], now).alias("longest"))
+
+    return F.aggregate(items, zero, step, lambda acc: F.struct(acc["runs"].alias("n_runs"), F.size(items).alias("n_items"), acc["longest"].alias("longest")))
+
+
 def rle8_size(runs: DataFrame, by: list[str]) -> DataFrame:
     """(by, encoded): bytes of the run-length coding of byte runs: a run of two and more takes 2 bytes per 128, a stretch of single bytes one more byte per 128."""
     window = W.partitionBy(*by).orderBy("run_no")
@@ -102,6 +129,67 @@ def rle8_size(runs: DataFrame, by: list[str]) -> DataFrame:
     return stretch.groupBy(*by).agg(F.sum(cost).cast("long").alias("encoded"))
 
 
+def style_number(name: Column, names: list[str]) -> Column:
+    """The number of the first style of this name; null if there is none."""
+    out = F.lit(None).cast("int")
+    for k, n in reversed(style_numbers(names)):
+        out = F.when(name == n, k).otherwise(out)
+    return out
+
+
+def from_tail(cells: DataFrame, formulas: DataFrame, by: list[str], number: str, reference: str) -> DataFrame:
+    """``cells`` with the row of ``formulas`` (numbered from 0 per ``by``) that their ``reference`` counts from the tail: the last one is 0. An equi-join on count - 1 - number."""
+    sizes = formulas.groupBy(*by).agg(F.max(number).alias("_last"))
+    turned = formulas.join(sizes, by).withColumn(reference, F.col("_last") - F.col(number)).drop("_last")
+    return cells.join(turned, [*by, reference], "left")
+
+
+def fold_codes(rows: DataFrame, by: list[str], order: list[str], base: dict[int, Column], append: tuple[int, ...] = ()) -> DataFrame:
+    """One row per group with a column ``c<code>`` for each code of ``base``: the value of the last of its rows (code, value) in ``order``, else that of ``base``; codes of ``append`` gather their values in order behind those of ``base`` (arrays)."""
+    place = F.struct(*order)
+    found = [
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("code") == c, F.struct(place.alias("o"), F.col("value").alias("v"))))), lambda x: x["v"]).alias(f"c{c}") if c in append else F.max_by("value", F.when(F.col("code") == c, place)).alias(f"c{c}")
+        for c in base
+    ]
+    folded = rows.groupBy(*by).agg(*found)
+    return folded.select(*by, *[(F.concat(v, F.col(f"c{c}")) if c in append else F.coalesce(f"c{c}", v)).alias(f"c{c}") for c, v in base.items()])
+
+
+def code_deltas(folded: DataFrame, by: list[str], base: dict[int, Column]) -> DataFrame:
+    """The inverse of a fold without appended codes: (by, code, value) for each column ``c<code>`` that differs from ``base``."""
+    changed = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"c{c}").alias("value"), F.col(f"c{c}").eqNullSafe(v).alias("same")) for c, v in base.items()]), lambda x: ~x["same"])
+    return folded.select(*by, F.explode(changed).alias("_c")).select(*by, "_c.code", "_c.value")
+
+
+def linked_text(pages: DataFrame, targets: DataFrame, id_col: str, text: str, reference: str, link: str) -> DataFrame:
+    """``pages`` with each match of ``reference`` whose name (group 1) is one of ``targets`` (name, first) put as ``link``, in which {name} and {first} are filled in; other matches stay.
+
+    Names are joined once per page; a page's text is cut at its references and put together again inside its row.
+    """
+    names = F.regexp_extract_all(text, F.lit(reference), F.lit(1))
+    used = pages.select(id_col, F.explode(F.array_distinct(names)).alias("name")).join(targets.select("name", F.col("first").cast("string").alias("first")), "name")
+    known = used.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("name", "first"))).alias("_first"))
+    whole, gaps = F.regexp_extract_all(text, F.lit(reference), F.lit(0)), F.split(F.col(text), reference, -1)
+
+    def put(x: Column) -> Column:
+        first = F.try_element_at("_first", x["name"])
+        parts = [first if p == "{first}" else x["name"] if p == "{name}" else F.lit(p) for p in _placeholders(link)]
+        return F.concat(x["gap"], F.when(first.isNull(), x["whole"]).otherwise(F.concat(*parts)))
+
+    pieces = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(names)).alias("gap"), whole.alias("whole"), names.alias("name")), put)
+    joined = pages.join(known, id_col, "left")
+    return joined.withColumn(text, F.when(F.col("_first").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1)))).drop("_first")
+
+
+def _placeholders(link: str) -> list[str]:
+    out = [""]
+    for ch in link:
+        if ch == "{" or out[-1].endswith("}"):
+            out.append("")
+        out[-1] += ch
+    return [p for p in out if p]
+
+
 def link_names(pages: DataFrame, id_col: str, text: str, target: str, reference: str) -> DataFrame:
     """(id, name, first, uses): for each name that a page refers to (group 1 of ``reference``), the least id of a page that defines it (group 1 of ``target``), null if none does."""
     names = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("name")

@@ -319,11 +319,9 @@ def _(t):
 
 @query("formula_eval", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(-(l_quantity + l_extendedprice) * (1 - l_discount) / nullif(l_tax, 0), 6) AS result FROM lineitem")
 def _(t):
-    """Postfix tokens with one value of each line: -(quantity + price) * (1 - discount) / tax."""
-    number = lambda x: F.struct(F.lit(0x1F).alias("marker"), x.cast("double").alias("number"))
-    op = lambda m: F.struct(F.lit(m).alias("marker"), F.lit(None).cast("double").alias("number"))
-    tokens = F.array(number(c("l_quantity")), number(c("l_extendedprice")), op(0x07), op(0x12), op(0x0D), number(F.lit(1)), number(c("l_discount")), op(0x08), op(0x09), number(c("l_tax")), op(0x0A))
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(E.evaluate(tokens), 6).alias("result"))
+    """Postfix tokens that all lines share, as one expression: -(quantity + price) * (1 - discount) / tax."""
+    tokens = [(0x1F, c("l_quantity")), (0x1F, c("l_extendedprice")), (0x07,), (0x12,), (0x0D,), (0x20, 1), (0x1F, c("l_discount")), (0x08,), (0x09,), (0x1F, c("l_tax")), (0x0A,)]
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(E.plain(tokens), 6).alias("result"))
 
 
 @query(
@@ -554,8 +552,9 @@ _CHARS = "(SELECT doc_id, i, text[i] AS ch FROM (SELECT doc_id, text, unnest(ran
     "n AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2) SELECT doc_id, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_chars, max(n) AS longest FROM n GROUP BY doc_id",
 )
 def _(t):
-    runs = R.run_lengths(t("documents").where("length(text) > 0"), ["doc_id"], F.split("text", ""))
-    return runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n").cast("long").alias("n_chars"), F.max("n").cast("long").alias("longest"))
+    runs = R.run_summary(F.split("text", ""))
+    docs = t("documents").where("length(text) > 0").select("doc_id", runs.alias("r"))
+    return docs.select("doc_id", *[c(f"r.{k}").cast("long").alias(n) for k, n in (("n_runs", "n_runs"), ("n_items", "n_chars"), ("longest", "longest"))])
 
 
 @query("rle8_size", None)
@@ -599,3 +598,6 @@ def _(t):
 def _(t):
     style = F.when(c("role") == "user", "Heading 2").otherwise("Body")
     return K.to_html5(t("conversations"), ["conv_id"], "turn", style, "text").select("conv_id", F.md5("body").alias("hash"))
+
+
+from . import more_queries as _more  # noqa: E402, F401  registers its queries here

@@ -45,3 +45,33 @@ def last_of_section(table: DataFrame, section_id: int) -> DataFrame:
 def subrange(data: Column, start: Column, length: Column) -> Column:
     """Part of a binary column; null if it doesn't lie inside."""
     return F.when((start >= 0) & (start + length <= F.length(data)), F.substring(data, (start + 1).cast("int"), length.cast("int")))
+
+
+def application_is(name: Column, wanted: str) -> Column:
+    """Whether an application's name is the wanted one, in either case."""
+    return F.lower(name) == wanted.lower()
+
+
+def jump_table(data: Column, offset: Column) -> Column:
+    """The 32-bit offsets of a jump table: their number (32 bits) and then each; null if the file ends before."""
+    count = uint(data, offset, 4)
+    whole = (count >= 0) & (offset + 4 + 4 * count <= F.length(data))
+    return F.when(whole & (count > 0), F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda k: uint(data, offset + 4 + 4 * k, 4))).when(whole, F.array().cast("array<bigint>"))
+
+
+def status(files: DataFrame, table: DataFrame, password_section: int) -> DataFrame:
+    """Adds ``status``: ``encrypted`` for files with a password section, ``error`` for those of kind error, else ``ok``."""
+    locked = table.where(F.col("section_id") == password_section).select("path").distinct().withColumn("_locked", F.lit(True))
+    kind = F.when(F.col("_locked"), "encrypted").when(F.col("kind") == "error", "error").otherwise("ok")
+    return files.join(locked, "path", "left").withColumn("status", kind).drop("_locked")
+
+
+#: Levels of messages (fixed values), the gravest first.
+LEVELS = ("fatal", "error", "warn", "progress", "debug")
+
+
+def messages(files: DataFrame, found: list[tuple[str, Column, Column, Column]], by: list[str], level: str = "warn") -> DataFrame:
+    """Diagnostics as rows (by, level, offset, message) from (level, condition, offset, message), those of ``level`` and graver ones."""
+    kept = [x for x in found if LEVELS.index(x[0]) <= LEVELS.index(level)]
+    rows = F.array(*[F.when(condition, F.struct(F.lit(name).alias("level"), offset.cast("long").alias("offset"), message.alias("message"))) for name, condition, offset, message in kept])
+    return files.select(*by, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("_m")).select(*by, "_m.*")

@@ -49,3 +49,10 @@ def css_difference(own: dict[str, Column], base: dict[str, Column]) -> Column:
 
 #: Writers by lower-case name: the way to add one is to put it here.
 WRITERS: dict[str, Callable[..., DataFrame]] = {"text": to_text, "html4": to_html4, "xhtml": to_xhtml, "html5": to_html5}
+
+
+def writer(name: str) -> Callable[..., DataFrame]:
+    """The writer of this name, in either case."""
+    if name.lower() not in WRITERS:
+        raise ValueError(f"no writer is called {name}; there are {', '.join(WRITERS)}")
+    return WRITERS[name.lower()]
