@@ -1,129 +1,253 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word bigrams, trained on trusted text.
 
-Counts are aggregated per document in the tasks and summed in hash shards; the lower orders count distinct left
-extensions. Joins of counts with the statistics of their contexts and with the order below give one sharded
-probability table per order, and joins of each document's distinct trigrams with these tables give its perplexity, at
-every size: no table reaches the driver or is broadcast by this module.
+Counts are aggregated per document block in the tasks and summed in hash shards; the lower order counts distinct words
+before a word. A text's log-probability is a sum over its distinct words and bigrams: each word that was counted adds what it is
+likelier than a word never seen, and the weight it leaves to the lower order as a context; each bigram that was counted adds what it is likelier
+than by that lower order. So one table of values, sharded by key, serves the whole model, and one join of each document's distinct words and
+bigrams with it gives its perplexity, at every size. Words and bigrams that make up more than 1 in ``HOT`` of all counted ones (so no more than ``HOT`` of
+each) are looked up in the tasks; no other part of the model reaches the driver or is broadcast.
 
-A trusted document's trigrams are in the tables, so its own perplexity says nothing of new text. Every fifth trusted
+Counting goes in ``SLICES`` (by the first word) and scoring in ``BATCHES`` (by the text), each written before the next, and shuffle files go
+with their query, so the disk in use is a fraction of what a single pass would shuffle; each batch reads the documents' files again.
+
+A trusted document's words are in the table, so its own perplexity says nothing of new text. Every fifth trusted
 document (by a hash of its id) is therefore left out of the counts, and the thresholds are quantiles of those.
 
-Words are what ASCII white space separates, with digits alike; they are known by 64-bit hashes. Two start marks stand
-before every text. Null, empty and blank texts have no perplexity (null) and aren't kept. Rows that repeat a doc_id are
-scored one by one. A null language is a language of its own; one with fewer than ``least_trusted`` held-out documents
+Words are what ASCII white space separates, with digits alike; they are known by hashes of 40 bits. A start mark stands
+before every text. Null, empty and blank texts have no perplexity (null) and aren't kept. Rows that repeat an id and text share
+their score. A null language is a language of its own; one with fewer than ``least_trusted`` held-out documents
 uses the quantile of all. Without held-out text nothing is rejected. Results travel in one struct column,
 ``quality_model``; a column of that name is replaced, all others pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import having_ids, map_arrow, materialise
+from .common import having_ids, map_arrow, materialise, shared_folder
 from .neardup import _MIX, _spread, _WordHashes
-from .quality_model import _NORMAL, _discounts, verdicts
 
-ORDER = 3
 #: One of so many trusted documents is held out for the thresholds.
 FOLDS = 5
-#: Distinct grams that a task holds before it hands them on.
+#: Distinct rows that a task holds before it hands them on.
 HELD = 1 << 18
-#: c0 is the last word, c1 the one before it.
-WORDS = [f"c{k}" for k in range(ORDER - 1, -1, -1)]
-
-
-def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, words, n): the distinct grams of each text with their counts."""
-    hashes = _WordHashes()
-    rows, grams, counts, held = [], [], [], 0
-
-    def out() -> pa.RecordBatch:
-        columns = np.concatenate(grams, axis=1).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), *map(pa.array, columns), pa.array(np.concatenate(counts))], ["_row", *WORDS, "n"])
-
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or "").encode("utf-8", "replace").translate(_NORMAL).split()
-            if not words:
-                continue
-            w = np.zeros(len(words) + ORDER - 1, np.uint64)
-            w[ORDER - 1 :] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            own = np.stack([w[k : k + len(words)] for k in range(ORDER)])
-            _, first, n = np.unique(_spread((own * _MIX[:ORDER, None]).sum(axis=0, dtype=np.uint64)), return_index=True, return_counts=True)
-            rows.append(np.full(len(n), row, np.int64))
-            grams.append(own[:, first])
-            counts.append(n.astype(np.int64))
-            held += len(n)
-            if held >= HELD:
-                yield out()
-                rows, grams, counts, held = [], [], [], 0
-    if held:
-        yield out()
-
-
-def _grams(docs: DataFrame, row: Column, text: str) -> DataFrame:
-    return map_arrow(docs.select(row.alias("_row"), F.col(text).alias("_text")), _document_grams, f"_row long, {', '.join(f'{c} long' for c in WORDS)}, n long")
-
-
-def train(trusted: DataFrame, text: str = "text") -> tuple[list[DataFrame], list[DataFrame], float]:
-    """Tables of (words, lp) by order from 1, tables of (context words, lg) by order from 2, and the logarithm for a word never seen."""
-    levels = [materialise(_grams(trusted, F.lit(0).cast("long"), text).groupBy(*WORDS).agg(F.sum("n").alias("n")))]
-    for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, materialise(levels[0].groupBy(*WORDS[-k:]).agg(F.count(F.lit(1)).alias("n"))))
-    grams, weights, unseen = [], [], 0.0
-    for k, level in enumerate(levels, 1):
-        d = _discounts(level)
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        if k == 1:
-            all_words = level.agg(F.sum("n").alias("total"), F.sum(off).alias("off"), F.count(F.lit(1)).alias("words")).first()
-            left = (all_words["off"] / all_words["total"] if all_words["total"] else 1.0) / (all_words["words"] + 1)
-            unseen = float(np.log(left))
-            grams.append(materialise(level.select("c0", F.log((F.col("n") - off) / F.lit(all_words["total"] or 1) + F.lit(left)).alias("lp"))))
-            continue
-        context, below = WORDS[-k:-1], WORDS[-k + 1 :]
-        stats = level.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-        joined = level.join(stats, context).join(grams[-1].withColumnRenamed("lp", "lower"), below)
-        p = (F.col("n") - off) / F.col("total") + F.col("off") / F.col("total") * F.exp("lower")
-        grams.append(materialise(joined.select(*WORDS[-k:], F.log(p).alias("lp"))))
-        weights.append(materialise(stats.select(*context, F.log(F.col("off") / F.col("total")).alias("lg"))))
-    return grams, weights, unseen
-
-
-def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` without their text, with _n (words) and _logp, by joins of the distinct grams of each document with the sharded tables."""
-    grams, weights, unseen = model
-    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = _grams(docs, F.col("_row"), text)
-    lp = F.lit(unseen)
-    for k in range(1, ORDER + 1):
-        rows = rows.join(grams[k - 1].withColumnRenamed("lp", f"_p{k}"), WORDS[-k:], "left")
-        if k > 1:
-            rows = rows.join(weights[k - 2].withColumnRenamed("lg", f"_w{k}"), WORDS[-k:-1], "left")
-            lp = F.coalesce(F.col(f"_w{k}"), F.lit(0.0)) + lp
-        lp = F.coalesce(F.col(f"_p{k}"), lp)
-        rows = rows.select("_row", *WORDS, "n", lp.alias("_lp"))
-        lp = F.col("_lp")
-    sums = rows.groupBy("_row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_lp")).alias("_logp"))
-    out = docs.drop(text).join(sums, "_row", "left").drop("_row")
+#: Passes of the counting and of the scoring, and least number of shards of the table of values.
+SLICES, BATCHES, SHARDS = 4, 8, 64
+#: Bound of the words, and of the bigrams, that tasks look up themselves: those that are more than one in so many.
+HOT = 20_000
+#: Rows of the table that stand for no word: every document has one of them.
+ANCHORS = 1024
+#: Digits are alike, other white space is a space.
+_NORMAL = bytes(48 if 48 <= c <= 57 else 32 if c in b"\0\t\n\x0b\x0c\r" else c for c in range(256))
+WORD, ANCHOR = -1, -2
+
+
+def _codes(text: str | None, hashes: dict) -> np.ndarray:
+    """40-bit hashes of the words of a text."""
+    words = (text or "").encode("utf-8", "replace").translate(_NORMAL).split()
+    return (np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) >> np.uint64(24)).astype(np.int64)
+
+
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _spread(first.astype(np.uint64) * _MIX[0] + second.astype(np.uint64) * _MIX[1])
+
+
+def _summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs with the sums of ``n``."""
+    _, at, back = np.unique(_mixed(first, second), return_index=True, return_inverse=True)
+    return first[at], second[at], np.bincount(back, n, len(at)).astype(np.int64)
+
+
+def _counted(slice_no: int):
+    """(c1, c0, n): bigrams of the texts whose first word is of this slice, summed in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _WordHashes(), [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*map(np.concatenate, zip(*held, strict=True)))], ["c1", "c0", "n"])
+        for batch in batches:
+            for text in batch.column(0):
+                c0 = _codes(text.as_py(), hashes)
+                c1 = np.concatenate([np.zeros(1, np.int64), c0[:-1]])[: len(c0)]
+                own = c1 % SLICES == slice_no
+                if own.any():
+                    held.append(_summed(c1[own], c0[own], np.ones(int(own.sum()))))
+                    size += len(held[-1][0])
+                    if size >= HELD:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _asked(model):
+    """(_row, c1, c0, n, m, s): per text its anchor (n its words, s what the tasks know), and its distinct words (n times predicted, m times a context) and bigrams whose values the table has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, unseen, words, word_values, word_weights, pairs, pair_values = model.value
+        hashes, held, size = _WordHashes(), [], 0
+
+        def known(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(table):
+                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            return at, table[at] == keys
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["_row", "c1", "c0", "n", "m", "s"])
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                c0 = _codes(text.as_py(), hashes)
+                if not len(c0):
+                    continue
+                word, n = np.unique(c0, return_counts=True)
+                m = n - (word == c0[-1])
+                at, there = known(words, word)
+                s = start + unseen * len(c0) + float((n * word_values[at] + m * word_weights[at])[there].sum()) if len(words) else start + unseen * len(c0)
+                word, n, m = word[~there], n[~there], m[~there]
+                b1, b0, b = _summed(np.concatenate([np.zeros(1, np.int64), c0[:-1]]), c0, np.ones(len(c0)))
+                at, there = known(pairs, _mixed(b1, b0))
+                s += float((b * pair_values[at])[there].sum()) if len(pairs) else 0.0
+                b1, b0, b = b1[~there], b0[~there], b[~there]
+                total = 1 + len(word) + len(b)
+                held.append((
+                    np.full(total, row, np.int64), np.concatenate([[ANCHOR], np.full(len(word), WORD), b1]).astype(np.int64), np.concatenate([[row % ANCHORS], word, b0]).astype(np.int64),
+                    np.concatenate([[len(c0)], n, b]).astype(np.int64), np.concatenate([[0], m, np.zeros(len(b), np.int64)]).astype(np.int64), np.concatenate([[s], np.zeros(total - 1)]),
+                ))
+                size += total
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _discounts(table: DataFrame) -> tuple[float, float, float]:
+    """The three discounts of an order from its counts of counts."""
+    t = table.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"t{k}") for k in (1, 2, 3, 4)]).first()
+    t1, t2, t3, t4 = ((t[f"t{k}"] or 0) for k in (1, 2, 3, 4))
+    if not (t1 and t2 and t3):  # too little text for the estimates
+        return 0.5, 0.75, 0.9
+    y = t1 / (t1 + 2 * t2)
+    return tuple(min(max(d, 0.05), k) for k, d in ((0.95, 1 - 2 * y * t2 / t1), (1.95, 2 - 3 * y * t3 / t2), (2.95, 3 - 4 * y * t4 / t3)))
+
+
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files go with their query."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def train(trusted: DataFrame, text: str = "text"):
+    """(value tables by key: v and g, rows that the tasks look up themselves, log-probability of a word never seen, weight left by the start mark)."""
+    slices = [materialise(map_arrow(trusted.select(text), _counted(k), "c1 long, c0 long, n long").groupBy("c1", "c0").agg(F.sum("n").alias("n")), "zstd") for k in range(SLICES)]
+    pairs = reduce(DataFrame.unionByName, slices)
+    off = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    upper = off(_discounts(pairs))
+    words = materialise(pairs.groupBy("c0").agg(F.count(F.lit(1)).alias("n")))
+    lower = off(_discounts(words))
+    every = words.agg(F.sum("n").alias("total"), F.sum(lower).alias("off"), F.count(F.lit(1)).alias("words")).first()
+    left = (every["off"] / every["total"] if every["total"] else 1.0) / (every["words"] + 1)
+    unseen = float(np.log(left))
+    words = words.select("c0", F.log((F.col("n") - lower) / F.lit(every["total"] or 1) + F.lit(left)).alias("lp"))
+    contexts = materialise(pairs.groupBy("c1").agg(F.sum("n").alias("total"), F.sum(upper).alias("off")).select("c1", "total", F.log(F.col("off") / F.col("total")).alias("lg")))
+    tokens = contexts.agg(F.sum("total")).first()[0] or 0
+    start = contexts.where("c1 = 0").first()
+    tables = []
+    for own in slices:
+        p = (F.col("n") - upper) / F.col("total") + F.exp(F.col("lg") + F.col("lp"))
+        joined = own.join(contexts, "c1").join(words, "c0")
+        tables.append(materialise(joined.select("c1", "c0", "n", (F.log(p) - F.col("lg") - F.col("lp")).cast("float").alias("v")), "zstd"))
+    both = words.join(contexts.withColumnRenamed("c1", "c0"), "c0", "full").where("c0 <> 0")
+    single = materialise(both.select("c0", F.coalesce("total", F.lit(0)).alias("n"), (F.coalesce("lp", F.lit(unseen)) - unseen).cast("float").alias("v"), F.coalesce("lg", F.lit(0.0)).cast("float").alias("g")))
+    pairs = reduce(DataFrame.unionByName, tables)
+    frequent = lambda table: table.where(F.col("n") * HOT > F.lit(tokens))  # noqa: E731  fewer than HOT rows
+    hot_words, hot_pairs = frequent(single).select("c0", "v", "g").toPandas().sort_values("c0"), frequent(pairs).select("c1", "c0", "v").toPandas()
+    mixed = _mixed(hot_pairs["c1"].to_numpy(np.int64), hot_pairs["c0"].to_numpy(np.int64))
+    order = np.argsort(mixed)
+    hot = (hot_words["c0"].to_numpy(np.int64), hot_words["v"].to_numpy(float), hot_words["g"].to_numpy(float), mixed[order], hot_pairs["v"].to_numpy(float)[order])
+    spark = trusted.sparkSession
+    anchors = spark.range(ANCHORS).select(F.lit(ANCHOR).cast("long").alias("c1"), F.col("id").alias("c0"), F.lit(0.0).cast("float").alias("v"), F.lit(0.0).cast("float").alias("g"))
+    values = single.select(F.lit(WORD).cast("long").alias("c1"), "c0", "v", "g").unionByName(pairs.select("c1", "c0", "v", F.lit(0.0).cast("float").alias("g"))).unionByName(anchors)
+    return values.select(F.xxhash64("c1", "c0").alias("key"), "v", "g"), (start["lg"] if start else 0.0, unseen, *hot)
+
+
+@contextmanager
+def _sharded(values: DataFrame):
+    """``values`` as a table bucketed and sorted by key, so that joins with it move only the other side; dropped at the end."""
+    spark = values.sparkSession
+    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"values_{uuid.uuid4().hex}"
+    values.repartition(shards, "key").write.bucketBy(shards, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_folder(spark)}/tables/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def score(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without their text, with _n (words) and _logp, by joins of the distinct words and bigrams of each document with the sharded values."""
+    values, known = model
+    spark = docs.sparkSession
+    rows = docs.withColumn("_row", F.xxhash64(id_col, text))
+    shared = spark.sparkContext.broadcast(known)
+    parts = []
+    with _sharded(values) as table:
+        for k in range(BATCHES):
+            own = rows.where(F.pmod("_row", F.lit(BATCHES)) == k).select("_row", F.col(text).alias("_text"))
+            asked = map_arrow(own, _asked(shared), "_row long, c1 long, c0 long, n long, m long, s double")
+            keyed = asked.select("_row", F.xxhash64("c1", "c0").alias("key"), "n", "m", "s", (F.col("c1") == ANCHOR).alias("anchor"))
+            found = keyed.join(table, "key").groupBy("_row").agg(F.sum(F.col("n") * F.col("v") + F.col("m") * F.col("g") + F.col("s")).alias("_logp"), F.sum(F.when(F.col("anchor"), F.col("n"))).alias("_n"), F.count_if("anchor").alias("_copies"))
+            parts.append(materialise(found.select("_row", (F.col("_logp") / F.col("_copies")).alias("_logp"), (F.col("_n") / F.col("_copies")).cast("long").alias("_n"))))
+    out = rows.drop(text).join(reduce(DataFrame.unionByName, parts), "_row", "left").drop("_row")
     return out.withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_logp", F.coalesce("_logp", F.lit(0.0)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.02, least_trusted: int = 20, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least_trusted: int = 20, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` without their text and with ``quality_model``: n_words, perplexity, threshold and kept.
 
     Trusted are documents that ``labels`` (doc_id, quality) marks 1. A document is kept if its perplexity is at most
-    ``slack`` times the ``quantile`` of the held-out trusted documents of its language.
+    the ``quantile`` of the held-out trusted documents of its language.
     """
     docs = docs.drop("quality_model")
-    trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
-    held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
-    model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), materialise(trusted.where(~held_out))))
-    return verdicts(score(docs, model, text), materialise(trusted.where(held_out)), "n_words", quantile, slack, least_trusted, id_col, lang)
+    with _tidy(docs.sparkSession):
+        trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
+        held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
+        model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), materialise(trusted.where(~held_out))))
+        scored = materialise(score(docs, model, id_col, text))
+        return verdicts(scored, materialise(trusted.where(held_out)), "n_words", quantile, least_trusted, id_col, lang)
+
+
+def verdicts(scored: DataFrame, trusted: DataFrame, unit: str, quantile: float, least_trusted: int, id_col: str, lang: str) -> DataFrame:
+    """``quality_model`` from _n and _logp: ``unit`` (of _n), perplexity, threshold and kept."""
+    scored = materialise(scored.withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))))
+    own = having_ids(scored.select(F.col(id_col).alias("id"), F.col(lang).alias("_lang"), F.col("_ppl")).where("_ppl is not null"), trusted)
+    limit = F.percentile_approx("_ppl", F.lit(quantile), F.lit(10_000)).alias("_limit")
+    every = own.agg(limit).first()["_limit"]
+    limits = own.groupBy("_lang").agg(limit, F.count(F.lit(1)).alias("_many")).where(F.col("_many") >= least_trusted).drop("_many")
+    threshold = F.coalesce(F.col("_limit"), F.lit(every).cast("double"))
+    out = scored.join(limits, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    kept = F.coalesce((F.col("_n") > 0) & (threshold.isNull() | (F.col("_ppl") <= threshold)), F.lit(False))
+    verdict = F.struct(F.col("_n").alias(unit), F.col("_ppl").alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
+    return out.withColumn("quality_model", verdict).drop("_n", "_logp", "_ppl", "_lang", "_limit")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
