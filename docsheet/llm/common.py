@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +28,45 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local runs)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session uses a temporary one and a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, so lost executors cost no recomputation of what came before."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that ``materialise`` wrote inside (but for those to be kept); what is read from them must be written by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def note(path: str, kept: bool = False) -> None:
+    """``path`` is to be deleted at the end of the scope (of the one around it, if ``kept``), if there is one."""
+    if len(_scopes) > kept:
+        _scopes[-1 - kept].append(path)
+
+
+def materialise(df: DataFrame, compression: str = "snappy", kept: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, so lost executors cost no recomputation of what came before. ``kept`` tables outlive the scope they are made in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    note(path, kept)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, having_ids, map_arrow, materialise
+from .common import BROADCAST_IDS, having_ids, map_arrow, materialise, scratch
 
 #: Values of a signature, two-bit values of a wide one, and the chance that a pair at the wanted similarity differs in more values than looked for.
 VALUES, WIDE, CHANCE = 64, 1024, 3e-5
@@ -324,8 +324,19 @@ def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles and component_id (null without a doc_id)."""
-    n_chunks = chunks(percent)
     made = materialise(features(docs, id_col, text_col, width))
+    with scratch(docs.sparkSession):
+        placed = materialise(_placed(made, docs, percent, id_col, text_col, width), kept=True)
+    least = placed.groupBy("c").agg(F.min("first_doc").alias("component_id"))
+    of_set = placed.join(least, "c").select("hi", "lo", "n_shingles", "component_id")
+    out = made.select("doc_id", "text_hash", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def _placed(made: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(hi, lo, n_shingles, first_doc, c): every distinct set with the least doc_id that has it and the number of its component."""
+    n_chunks = chunks(percent)
     nodes = (
         made.where("n_shingles > 0 and doc_id is not null")
         .groupBy("hi", "lo", "n_shingles")
@@ -357,12 +368,7 @@ def judged(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col:
     placed = nodes.select("hi", "lo", "n_shingles", "first_doc", F.col("id").alias("c"))
     for step in labels:
         placed = _relabelled(placed, step)
-    placed = materialise(placed)
-    least = placed.groupBy("c").agg(F.min("first_doc").alias("component_id"))
-    of_set = placed.join(least, "c").select("hi", "lo", "n_shingles", "component_id")
-    out = made.select("doc_id", "text_hash", "n_shingles", "hi", "lo").join(of_set, ["hi", "lo", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+    return placed
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, shared_folder
+from .common import map_arrow, materialise, scratch, shared_folder
 
 #: Fixed values of the format; a break ends inside the version of the next record.
 VERSION, END = "WARC/1.0\r\n", "\r\n\r\n"
@@ -107,7 +107,8 @@ def blocks(resolved: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000, size: int = CHUNK, **columns: str) -> None:
     """Writes ``pages`` as uncompressed WARC files under ``path``, one per partition."""
-    blocks(resolve(materialise(chunks(pages, size=size, **columns), "zstd"), least)).write.option("lineSep", "\n").text(path)
+    with scratch(pages.sparkSession):
+        blocks(resolve(materialise(chunks(pages, size=size, **columns), "zstd"), least)).write.option("lineSep", "\n").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import having_ids, map_arrow, materialise, shared_folder
+from .common import having_ids, map_arrow, materialise, note, scratch, shared_folder
 from .neardup import _MIX, _spread, _WordHashes
 
 #: One of so many trusted documents is held out for the thresholds.
@@ -196,11 +196,12 @@ def _sharded(values: DataFrame):
     spark = values.sparkSession
     shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"values_{uuid.uuid4().hex}"
+    note(f"{shared_folder(spark)}/tables/{name}")
     values.repartition(shards, "key").write.bucketBy(shards, "key").sortBy("key").option("compression", "zstd").option("path", f"{shared_folder(spark)}/tables/{name}").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP TABLE {name}")  # its files go with the scope
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,17 +229,17 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least_trus
     the ``quantile`` of the held-out trusted documents of its language.
     """
     docs = docs.drop("quality_model")
-    with _tidy(docs.sparkSession):
+    with _tidy(docs.sparkSession), scratch(docs.sparkSession):
         trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
         held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
         model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), materialise(trusted.where(~held_out))))
-        scored = materialise(score(docs, model, id_col, text))
-        return verdicts(scored, materialise(trusted.where(held_out)), "n_words", quantile, least_trusted, id_col, lang)
+        scored = materialise(score(docs, model, id_col, text).withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))), kept=True)
+        held_out_ids = materialise(trusted.where(held_out), kept=True)
+    return verdicts(scored, held_out_ids, "n_words", quantile, least_trusted, id_col, lang)
 
 
 def verdicts(scored: DataFrame, trusted: DataFrame, unit: str, quantile: float, least_trusted: int, id_col: str, lang: str) -> DataFrame:
-    """``quality_model`` from _n and _logp: ``unit`` (of _n), perplexity, threshold and kept."""
-    scored = materialise(scored.withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))))
+    """``quality_model`` from _n, _logp and _ppl: ``unit`` (of _n), perplexity, threshold and kept."""
     own = having_ids(scored.select(F.col(id_col).alias("id"), F.col(lang).alias("_lang"), F.col("_ppl")).where("_ppl is not null"), trusted)
     limit = F.percentile_approx("_ppl", F.lit(quantile), F.lit(10_000)).alias("_limit")
     every = own.agg(limit).first()["_limit"]
