@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheet.llm import decontam, neardup, packing, quality_rules, secret_scan
-from docsheet.llm.common import materialise
+from docsheet.llm.common import materialise, scratch
 
 #: A document more than half of whose words are test items goes; below that the passages are cut out.
 MAX_COVERAGE = 0.5
@@ -77,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; each writes Parquet that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):  # what a stage wrote on its way goes with it
+            docs = materialise(stage(spark, docs, sf_dir), kept=True)
     return docs
