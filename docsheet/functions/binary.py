@@ -106,6 +106,16 @@ def cell_offset(raw: Column) -> Column:
     return F.struct(F.when(raw.bitwiseAND(0x8000) != 0, -size).otherwise(size).alias("offset"), (raw.bitwiseAND(0x4000) != 0).alias("absolute"))
 
 
+def sint_encode(value: Column) -> Column:
+    """32 bits, the highest of them the sign; null beyond 31 bits of size."""
+    return F.when(F.abs(value) < 1 << 31, little(F.abs(value.cast("long")) + F.when(value < 0, F.lit(1 << 31)).otherwise(F.lit(0)).cast("long"), 4))
+
+
+def flags(value: Column, names: list[str]) -> Column:
+    """A struct of booleans, the first name for the lowest bit; empty names are bits without one."""
+    return F.struct(*[(F.shiftright(value, k).bitwiseAND(1) == 1).alias(n) for k, n in enumerate(names) if n])
+
+
 def length_raw(cm: Column) -> Column:
     """The 1/1440 inches of a length, to the nearest."""
     return F.floor(cm * 1440 / F.lit(2.54) + 0.5)

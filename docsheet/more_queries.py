@@ -296,6 +296,50 @@ def _(t):
     return t("part").select("p_partkey", B.cell_offset(raw)["offset"].alias("offset"), B.cell_offset(raw)["absolute"].alias("absolute"))
 
 
+@query("sint_roundtrip", "SELECT * FROM (VALUES (0, '00000000', 0), (1, '01000000', 1), (-1, '01000080', -1), (2147483647, 'FFFFFF7F', 2147483647), (-2147483647, 'FFFFFFFF', -2147483647)) v(n, code, back)")
+def _(t):
+    """Signed numbers as sign and size."""
+    rows = values(t("region").sparkSession, "n int", [(n,) for n in (0, 1, -1, 2147483647, -2147483647)])
+    coded = rows.select("n", B.sint_encode(c("n")).alias("code"))
+    return coded.select("n", F.hex("code").alias("code"), B.sint(c("code"), 0).cast("int").alias("back"))
+
+
+@query("status_flags", "SELECT p_partkey, p_size % 2 = 1 AS tabs, p_size // 4 % 2 = 1 AS spaces, p_size // 8 % 2 = 1 AS hyphens FROM part")
+def _(t):
+    """Status bits; the second one has no name."""
+    found = B.flags(c("p_size"), ["tabs", "", "spaces", "hyphens"])
+    return t("part").select("p_partkey", *[found[n].alias(n) for n in ("tabs", "spaces", "hyphens")])
+
+
+@query("subbuffer", "SELECT p_partkey, CASE WHEN p_size + 5 <= length(p_name || p_type) THEN substr(p_name || p_type, p_size + 1, 5) END AS part FROM part")
+def _(t):
+    data = F.encode(F.concat("p_name", "p_type"), "UTF-8")
+    return t("part").select("p_partkey", F.decode(P.subrange(data, c("p_size"), F.lit(5)), "UTF-8").alias("part"))
+
+
+@query(
+    "style_patch",
+    "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 7 = 0 THEN NULL ELSE 'Normal' END AS font, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 10 END AS size FROM part",
+)
+def _(t):
+    """Named styles over the normal one, field by field; the normal style itself lacks a font for some."""
+    own = F.when(c("p_size") % 6 != 1, F.struct(F.when(c("p_size") % 3 == 0, c("p_brand")).alias("font"), F.when(c("p_size") % 2 == 0, c("p_size")).alias("size")))
+    normal = F.struct(F.when(c("p_size") % 7 != 0, F.lit("Normal")).alias("font"), F.lit(10).alias("size"))
+    made = R.patched(own, normal, ["font", "size"])
+    return t("part").select("p_partkey", made["font"].alias("font"), made["size"].alias("size"))
+
+
+@query(
+    "line_defaults",
+    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE n_regionkey END AS width, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, n_name) AS style FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+)
+def _(t):
+    """Customers as lines of the sheets of their nations."""
+    lines = t("customer").select("c_custkey", c("c_nationkey").alias("sheet"), F.struct(F.when(c("c_custkey") % 4 == 0, c("c_custkey")).alias("width"), F.when(c("c_custkey") % 3 == 0, c("c_mktsegment")).alias("style")).alias("layout"))
+    sheets = t("nation").select(c("n_nationkey").alias("sheet"), F.struct(c("n_regionkey").cast("long").alias("width"), c("n_name").alias("style")).alias("layout"))
+    return R.line_defaults(lines, sheets, ["sheet"], ["width", "style"]).select("c_custkey", c("layout.width").alias("width"), c("layout.style").alias("style"))
+
+
 @query("length_raw", "SELECT p_partkey, CAST(p_partkey AS BIGINT) AS twips, CAST(p_size AS BIGINT) AS points FROM part")
 def _(t):
     return t("part").select("p_partkey", B.length_raw(B.length_cm(c("p_partkey"))).alias("twips"), B.size_raw(B.size_pt(c("p_size"))).alias("points"))

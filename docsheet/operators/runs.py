@@ -92,6 +92,17 @@ def style_numbers(names: list[str]) -> list[tuple[int, str]]:
     return [(0, "Normal"), *((255 - k, n) for k, n in enumerate(names))]
 
 
+def patched(own: Column, base: Column, fields: list[str]) -> Column:
+    """A layout with those fields of ``own`` that aren't null, and those of ``base`` for the others; ``own`` may be null as a whole."""
+    return F.struct(*[F.coalesce(own[f], base[f]).alias(f) for f in fields])
+
+
+def line_defaults(lines: DataFrame, sheets: DataFrame, by: list[str], fields: list[str], layout: str = "layout") -> DataFrame:
+    """``lines`` (rows or columns of a sheet, with a ``layout`` that may have null fields) patched over the layout of their sheet."""
+    base = sheets.select(*by, F.col(layout).alias("_base"))
+    return lines.join(base, by, "left").withColumn(layout, patched(F.col(layout), F.col("_base"), fields)).drop("_base")
+
+
 def nearest_colour(pixels: DataFrame, palette: list[tuple[float, float, float]]) -> DataFrame:
     """Adds ``colour``: index of the palette entry (256 at most) at the least squared distance of (red, green, blue); of equals the first. The palette is part of the expression."""
     if len(palette) > 256:

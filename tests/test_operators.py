@@ -11,7 +11,7 @@ from docsheet.functions import formula as X
 from docsheet.functions import text as T
 from docsheet.operators import runs, sheet
 from docsheet.plans import evaluate
-from docsheet.sources import files
+from docsheet.sources import files, sinks
 from docsheet.streaming import ingest
 
 HEADERS = {"word": "370000106D0000107F000010FE9F0855", "texted": "370000106D00001085000010F4630855", "sketch": "370000106D0000107D0000109CF90855", "sheet": "370000106D00001088000010A8150855", "mbm": "37000010420000100000000039643947", "clipart": "41000010"}
@@ -120,3 +120,35 @@ def test_lookup_last(spark):
     table = spark.createDataFrame([("g", 1, "a"), ("g", 3, "b"), ("g", 3, "c"), ("h", 2, "d"), ("g", None, "e")], "g string, k int, v string")
     probes = spark.createDataFrame([(0, "g", 0), (1, "g", 1), (2, "g", 2), (3, "g", 9), (4, "h", 1), (5, "x", 5), (6, "g", None), (6, "g", None)], "id int, g string, k int")
     assert sorted((r.id, r.v) for r in sheet.lookup_last(probes, table, ["g"], "k", "v").collect()) == [(0, None), (1, "a"), (2, "a"), (3, "c"), (4, None), (5, None), (6, None), (6, None)]
+
+
+def test_functions_of_the_moment(spark):
+    row = spark.range(1).select(X.FUNCTIONS["NOW"][1]().alias("now"), X.FUNCTIONS["TODAY"][1]().alias("today"), X.FUNCTIONS["RAND"][1]().alias("rand")).first()
+    assert row.today <= row.now < row.today + 1 and row.today > 45_000 and 0 <= row.rand < 1
+
+
+def test_subranges_and_writers(spark):
+    row = spark.range(1).select(*[files.subrange(F.lit(b"abcdef"), F.lit(a), F.lit(n)).alias(f"s{a}{n}") for a, n in ((0, 6), (2, 3), (4, 3), (6, 0))]).first()
+    assert [bytes(x) if x is not None else None for x in row] == [b"abcdef", b"cde", None, b""]
+    assert sinks.writer("XHTML") is sinks.to_xhtml
+    with pytest.raises(ValueError):
+        sinks.writer("rtf")
+
+
+def test_plain_formulas():
+    for wrong in ([(0x07,)], [(0x1F, 1), (0x1F, 2)], []):
+        with pytest.raises(ValueError):
+            evaluate.plain(wrong)
+
+
+def test_irr_without_newton(spark):
+    """Flows on which Newton steps run away: the rate is found by halving."""
+    flows = F.array(*[F.lit(float(x)) for x in (-1000, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 5)])
+    found = spark.range(1).select(X.irr(flows).alias("r")).first().r
+    assert found == pytest.approx((5 / 1000) ** (1 / 11) - 1, abs=1e-6)
+
+
+def test_numbering_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 3).alias("b"))
+    got = runs.numbered(rows, ["b", "a"], "no").collect()
+    assert [(r.b, r.a) for r in sorted(got, key=lambda r: r.no)] == sorted((r.b, r.a) for r in got) and sorted(r.no for r in got) == list(range(1, 1001))
