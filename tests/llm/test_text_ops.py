@@ -71,7 +71,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs, block_tokens=30_000).collect()
     for doc_id, text, _ in texts():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -95,8 +94,7 @@ def test_encoder_equals_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode = packing._file_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(5)
     chars = list("aä ß\n\t'sé漢字🙂0129_-%$#<|>  ſ\x00") + ["<|endoftext|>", "  ", "don't", "\r\n"]
     for _ in range(300):
