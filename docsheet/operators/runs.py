@@ -119,16 +119,10 @@ def run_lengths(rows: DataFrame, by: list[str], items: Column) -> DataFrame:
     return rows.select(*by, F.posexplode(runs).alias("run_no", "_r")).select(*by, "run_no", "_r.value", "_r.start", "_r.n")
 
 
-def run_summary(items: Column) -> Column:
-    """(n_runs, n_items, longest) of the runs of equal values in an array, in one pass without a row for each."""
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("runs"), F.lit(0).alias("longest"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["now"] > 0) & acc["last"].eqNullSafe(x)
-        now = F.when(same, acc["now"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), now.alias("now"), (acc["runs"] + F.when(same, 0).otherwise(1)).alias("runs"), F.greatest(acc["longest"], now).alias("longest"))
-
-    return F.aggregate(items, zero, step, lambda acc: F.struct(acc["runs"].alias("n_runs"), F.size(items).alias("n_items"), acc["longest"].alias("longest")))
+def run_summary(text: Column) -> Column:
+    """(n_runs, n_items, longest) of the runs of equal characters of a text, found by one pattern without a row for each."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    return F.struct(F.size(runs).alias("n_runs"), F.length(text).alias("n_items"), F.array_max(F.transform(runs, lambda r: F.length(r))).alias("longest"))
 
 
 def rle8_size(runs: DataFrame, by: list[str]) -> DataFrame:

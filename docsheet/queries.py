@@ -552,7 +552,7 @@ _CHARS = "(SELECT doc_id, i, text[i] AS ch FROM (SELECT doc_id, text, unnest(ran
     "n AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2) SELECT doc_id, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_chars, max(n) AS longest FROM n GROUP BY doc_id",
 )
 def _(t):
-    runs = R.run_summary(F.split("text", ""))
+    runs = R.run_summary(c("text"))
     docs = t("documents").where("length(text) > 0").select("doc_id", runs.alias("r"))
     return docs.select("doc_id", *[c(f"r.{k}").cast("long").alias(n) for k, n in (("n_runs", "n_runs"), ("n_items", "n_chars"), ("longest", "longest"))])
 
