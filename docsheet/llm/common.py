@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,27 +41,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: Open scopes, innermost last: of this thread or task alone, so that one query never deletes what another still reads.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that ``materialise`` wrote inside (but for those to be kept); what is read from them must be written by then."""
     made: list[str] = []
-    _scopes.append(made)
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.reset(before)
         for path in made:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Where the tables that ``materialise`` has read back lie.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def delete_table(df: DataFrame) -> None:
+    """Deletes the files of a table of ``materialise`` before its scope ends: nothing reads it any more."""
+    _delete(df.sparkSession, _places[df])
 
 
 def note(path: str, kept: bool = False) -> None:
     """``path`` is to be deleted at the end of the scope (of the one around it, if ``kept``), if there is one."""
-    if len(_scopes) > kept:
-        _scopes[-1 - kept].append(path)
+    scopes = _scopes.get()
+    if len(scopes) > kept:
+        scopes[-1 - kept].append(path)
 
 
 def materialise(df: DataFrame, compression: str = "snappy", kept: bool = False) -> DataFrame:
@@ -68,7 +85,9 @@ def materialise(df: DataFrame, compression: str = "snappy", kept: bool = False)
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     note(path, kept)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
 
 
 #: Lists of ids up to this length (16 bytes each) are broadcast; beyond it joins with them shuffle.
@@ -84,11 +103,27 @@ def having_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package sent to the executors first (once per application)."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors (once per application)."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/docsheet", "zip", root, "docsheet"))
         _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package sent to the executors first."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, near ``names``, that ``df`` doesn't have (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
