@@ -90,6 +90,19 @@ def materialise(df: DataFrame, compression: str = "snappy", kept: bool = False)
     return out
 
 
+@contextmanager
+def sharded_table(df: DataFrame, key: str, shards: int) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed and sorted by ``key``, so that what is grouped or joined by it moves the other side only; dropped at the end, with its files."""
+    spark, name = df.sparkSession, f"sharded_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}"
+    df.write.bucketBy(shards, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        _delete(spark, path)
+
+
 #: Lists of ids up to this length (16 bytes each) are broadcast; beyond it joins with them shuffle.
 BROADCAST_IDS = 1_000_000
 

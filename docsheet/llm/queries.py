@@ -6,6 +6,7 @@ from . import chat_format, clustering, decontam, neardup, quality_rules, spellin
 from .chat_format import op5_chat_format
 from .clustering import op11_centroid_clustering
 from .decontam import op6_decontamination
+from .deleted_interpolation import op13_lm_scoring
 from .neardup import op3_minhash_neardup
 from .packing import op2_packing
 from .quality_rules import op7_quality_rules
@@ -18,10 +19,10 @@ from .word_model import op8_quality_classifier
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_packing, op3_minhash_neardup, op4_url_filter, op5_chat_format, op6_decontamination, op7_quality_rules, op8_quality_classifier, op9_toxicity, op10_warc, op11_centroid_clustering, op12_spelling_variants)
+    for f in (op1_secret_scan, op2_packing, op3_minhash_neardup, op4_url_filter, op5_chat_format, op6_decontamination, op7_quality_rules, op8_quality_classifier, op9_toxicity, op10_warc, op11_centroid_clustering, op12_spelling_variants, op13_lm_scoring)
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for those queries that SQL can express; tests hold the others (op1, op2, op8, op9) against brute force."""
+    """DuckDB SQL for those queries that SQL can express; tests hold the others (op1, op2, op8, op9, op13) against brute force."""
     return {"op3_minhash_neardup": neardup.SQL, "op4_url_filter": url_filter.sql(), "op5_chat_format": chat_format.SQL, "op6_decontamination": decontam.SQL, "op7_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_centroid_clustering": clustering.sql(), "op12_spelling_variants": spelling.SQL}
