@@ -1,0 +1,179 @@
+"""Clustering, spelling variants and language-model scoring against plain Python and SQL."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+from threading import Thread
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docsheet.llm import clustering, common, deleted_interpolation, spelling
+from tests.oracle import compare
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("module, name", [(clustering, "op11_centroid_clustering"), (spelling, "op12_spelling_variants")])
+def test_queries_equal_their_sql(spark, module, name):
+    from docsheet.llm import queries
+
+    assert compare(spark, DIR, queries.QUERIES[name], queries.oracle_sql()[name]) == ""
+
+
+def test_clusters_are_those_of_full_scans(spark):
+    """Ties, repeats, bad rows, null ids and clashing names; three dimensions, five centroids."""
+    rng = np.random.default_rng(5)
+    good = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 3, (300, 3)) / 2)]
+    good += [good[0], good[0], (None, [0.5, 0.25, -0.001]), (7000, [float(x) for x in (0.1, -0.1, 1e-5)])]
+    bad = [(1, None), (2, [1.0, 2.0]), (3, [1.0, None, 2.0]), (4, [float("nan"), 0.0, 0.0]), (5, [0.0, float("inf"), 0.0]), (6, [])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in good + bad], "vec_id long, embedding array<float>, id string, a int")
+    got = clustering.cluster(table, k=5, rounds=6, dim=3).collect()
+    v = np.floor(np.array([np.array(x, np.float32).astype(float) for _, x in good]) * 1024).astype(np.int64)
+    order = sorted(range(len(good)), key=lambda i: (hashlib.sha256(f"3:{'' if good[i][0] is None else good[i][0]}".encode()).hexdigest(), v[i].tolist()))
+    centroids = v[order[:5]]
+    for n in range(7):
+        d = np.stack([((v - c) ** 2).sum(1) for c in centroids], 1)
+        a = d.argmin(1)
+        if n < 6:
+            centroids = np.array([v[a == c].sum(0) // (a == c).sum() if (a == c).any() else centroids[c] for c in range(5)])
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    own = np.bincount(a, d.min(1), 5).astype(int)
+    want = Counter((i, int(x), int(y), int(own[x]), int(d.min(1).sum()), sha[x]) for (i, _), x, y in zip(good, a, d.min(1)))
+    assert Counter((r["vec_id"], r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in got) == want
+
+
+def test_clusters_of_few_and_no_vectors(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)], "vec_id long, embedding array<double>")
+    assert [(r["cluster"], r["distance"]) for r in clustering.cluster(table, k=5, dim=2).collect()] == [(0, 0), (0, 0)]
+    assert clustering.cluster(table.where("false"), dim=2).collect() == []
+    with pytest.raises(Exception, match="beyond"):
+        clustering.cluster(spark.createDataFrame([(1, [1e9, 0.0])], "vec_id long, embedding array<double>"), dim=2).collect()
+
+
+def _near(words: dict[str, int]) -> dict[str, set[str]]:
+    def one(a: str, b: str) -> bool:
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    return {a: {b for b in words if one(a, b)} for a in words}
+
+
+def test_variants_equal_all_comparisons(spark):
+    """Repeated letters, accents, ties, chains of forms, long words; ranges of a few words, so that halves reach over them."""
+    rng = np.random.default_rng(7)
+    base = ["banana", "banane", "bananas", "ananas", "aaaaa", "aaaaaa", "aaaab", "abaaa", "éclair", "eclair", "Éclair", "zebra", "zebras", "zebrús", "x" * 300, "x" * 301, "short", "tiny"]
+    docs = [(i, " ".join(base[k] for k in rng.integers(0, len(base), 40))) for i in range(60)] + [(None, "banana 5zebra-zebra"), (3, None), (4, ""), (5, "Banana BANANA banana"), (5, "Banana BANANA banana")]
+    table = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, word string")
+    counts: Counter = Counter()
+    for i, text in docs:
+        for w in spelling.RUN.findall(text or ""):
+            w = w.encode().lower().decode()
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = _near(words)
+    form = {w: min(((-words[v], v) for v in near[w]), default=(0, None)) for w in words}
+    form = {w: v if v and -n >= 2 * words[w] else None for w, (n, v) in form.items()}
+
+    def root(w: str) -> str:
+        return root(form[w]) if form[w] else w
+
+    want = {(w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
+    for shard in (3, 1000):
+        got = spelling.variants(table, shard=shard).select("word", "form", "root", "n", "n_near", "form_n").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_forms_lead_to_roots(spark):
+    links = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(21)] + [("a", "b")], "word string, form string")
+    with common.scratch(spark):
+        assert {tuple(r) for r in spelling.roots(links).collect()} == {*((f"w{k}", "w21") for k in range(21)), ("a", "b")}
+
+
+def test_no_words(spark):
+    table = spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "doc_id long, text string")
+    assert spelling.variants(table).collect() == [] and spelling.variants(table.where("false")).collect() == []
+
+
+def test_scores_equal_plain_counts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.4, 60) if k < 400) for _ in range(300)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (900, None), (901, ""), (902, " \t "), (903, "W1 w2\x0bnew É é"), (1, texts[1]), (1, texts[1]), (904, "w1 " * 3000)]
+    table = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, block int")
+    df, weights = deleted_interpolation.score(table)
+    rows = df.collect()
+    tokens = [(i, [*(t or "").encode().lower().split(), None], zlib.crc32(("" if i is None else str(i)).encode())) for i, t in docs]
+    uni, bi, tri, n_texts = Counter(), Counter(), Counter(), 0
+    for _, x, crc in tokens:
+        if crc % 10:
+            n_texts += 1
+            uni.update(x)
+            bi.update(zip([0, *x], x))
+            tri.update(zip([0, *x], x, x[1:]))
+    total, types = sum(uni.values()), len(uni)
+    weight = lambda order, context: weights[order][int(math.log2(context))]
+    want: Counter = Counter()
+    for i, x, crc in tokens:
+        base = logp = 0.0
+        for j, w in enumerate(x):
+            base += math.log10((uni[w] + 0.1) / (total + 0.1 * (types + 1)))
+            p, share = 1 / (types + 1), weight(0, total)
+            p = share * uni[w] / total + (1 - share) * p
+            before = uni[x[j - 1]] if j else n_texts
+            if before:
+                share = weight(1, before)
+                p = share * bi[(x[j - 1] if j else 0, w)] / before + (1 - share) * p
+            pair = (x[j - 2] if j > 1 else 0, x[j - 1])
+            if j and bi[pair] >= deleted_interpolation.LEAST:
+                share = weight(2, bi[pair])
+                p = share * tri[(*pair, w)] / bi[pair] + (1 - share) * p
+            logp += math.log10(p)
+        want[(i, crc % 10 == 0, len(x), sum(uni[w] > 0 for w in x), total, round(base, 6), round(logp, 6))] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows) == want
+
+
+def test_weights_are_those_of_the_likeliest_mixture():
+    rng = np.random.default_rng(1)
+    ratios = rng.choice([-1, 900, 1024, 1100, 1180], 400, p=[0.3, 0.1, 0.2, 0.2, 0.2])
+    histogram = [(4, int(r), int(n)) for r, n in Counter(ratios.tolist()).items()]
+    got = deleted_interpolation.learned(histogram)
+    value = lambda s: sum(n * math.log(s * (0 if r < 0 else 2 ** ((r - 1024) / 16)) + 1 - s) for _, r, n in histogram)
+    best = max((k / 1000 for k in range(1, 1000)), key=value)
+    assert abs(got[4] - best) < 2e-3 and got[3] == 0.5 and got[5] == got[4]
+
+
+def test_model_beats_single_words_on_held_out_text(spark):
+    df, _ = deleted_interpolation.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    base, own, n = df.where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert own / n > base / n + 0.5
+
+
+def test_scores_without_rows_or_training_text(spark):
+    table = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert deleted_interpolation.score(table.where("false"))[0].collect() == []
+    rows = deleted_interpolation.score(table)[0].collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in rows) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+
+
+def test_scopes_of_two_threads(spark):
+    """What one thread wrote outlives the scope of another."""
+    said: list = []
+
+    def other():
+        with common.scratch(spark):
+            common.materialise(spark.range(3))
+
+    with common.scratch(spark):
+        mine = common.materialise(spark.range(5))
+        thread = Thread(target=other)
+        thread.start()
+        thread.join()
+        said.append(mine.count())
+    assert said == [5]
