@@ -130,6 +130,16 @@ class Grams:
         return at[before[at - 1] >= least]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what is zero in most of them then compresses to nothing."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard begins among sorted keys."""
     step = (1 << 64) // shards
@@ -146,7 +156,7 @@ def _totals(answers: pa.Table, which: str) -> dict[int, np.ndarray]:
     """The totals of a block's grams by order, in the order of its keys."""
     parts: dict[int, list] = {}
     for order, _, data, width in sorted(zip(*(answers.column(c).to_pylist() for c in ("order", "shard", which, "width")), strict=True), key=lambda r: r[:2]):
-        parts.setdefault(order, []).append(np.frombuffer(data, f"u{width}").astype(np.int64))
+        parts.setdefault(order, []).append(_numbers(data, f"u{width}").astype(np.int64))
     return {order: np.concatenate(x) for order, x in parts.items()}
 
 
@@ -168,7 +178,7 @@ def _asked(orders: list[int], shards: int, least: int):
                     before = _token_counts(grams, _totals(answers, "every"), order - 1, least, first=min(2, order - 1))[-1]
                 keys, _, n = grams.keys(order, grams.ends(order, before, least))
                 at = [*_cut(keys, shards), len(keys)]
-                rows += [(order, s, block, block < 0, keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                rows += [(order, s, block, block < 0, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         columns = list(zip(*rows, strict=True)) or [()] * len(ASKED)
         return pa.table([pa.array(x, f.type) for x, f in zip(columns, ASKED, strict=True)], schema=ASKED)
 
@@ -178,14 +188,15 @@ def _asked(orders: list[int], shards: int, least: int):
 def _summed(key, asked):
     """Answers to the blocks: the totals of their keys over all training texts, and for blocks of the fold over the texts outside it; two rows without a block have the number of counted grams and their sum, over all and (``most`` is set) outside the fold."""
     blocks, folds = asked.column("block").to_pylist(), asked.column("fold").to_pylist()
-    keys, counts = ([np.frombuffer(x, t) for x in asked.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("n", np.uint32)))
+    keys = [np.cumsum(_numbers(x, "u8"), dtype=np.uint64) for x in asked.column("keys").to_pylist()]
+    counts = [_numbers(x, "u4") for x in asked.column("n").to_pylist()]
     order, shard = asked.column("order")[0].as_py(), asked.column("shard")[0].as_py()
     distinct, mine = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.concatenate(counts).astype(np.int64)
     every = np.bincount(mine, n, len(distinct)).astype(np.int64)
     outside = np.bincount(mine, np.where(np.repeat(folds, [len(k) for k in keys]), 0, n), len(distinct)).astype(np.int64)
     at, width = np.cumsum([0, *(len(k) for k in keys)]), 4 if every.max(initial=0) < 1 << 32 else 8
-    sent = lambda totals, own: totals[own].astype(f"u{width}").tobytes()
+    sent = lambda totals, own: _planes(totals[own].astype(f"u{width}"))
     rows = [(order, shard, b, sent(outside, mine[x:y]) if f else None, sent(every, mine[x:y]), width, None, None) for b, f, x, y in zip(blocks, folds, at, at[1:])]
     rows += [(order, shard, None, mark, None, None, int((n > 0).sum()), int(n.sum())) for mark, n in ((None, every), (b"", outside))]
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ANSWERED, strict=True)], schema=ANSWERED)
