@@ -57,6 +57,11 @@ def string(number: Column, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", number)
 
 
+def string_to(number: Column, decimals: Column) -> Column:
+    """The same with a column of decimals (below 0: none)."""
+    return F.call_function("format_string", F.concat(F.lit("%."), F.greatest(decimals.cast("int"), F.lit(0)).cast("string"), F.lit("f")), number.cast("double"))
+
+
 def trim(text: Column) -> Column:
     """Without outer spaces; inner runs become one."""
     return F.trim(F.regexp_replace(text, " +", " "))
@@ -132,6 +137,12 @@ def trunc(x: Column) -> Column:
     return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
 
 
+def round_to(x: Column, decimals: Column) -> Column:
+    """``x`` to a column of decimals, halves away from zero."""
+    scale = F.pow(F.lit(10.0), F.floor(decimals))
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 # finance; rates are per period
 def cterm(rate: Column, fv: Column, pv: Column) -> Column:
     return _real(F.try_divide(F.ln(F.try_divide(fv, pv)), F.ln(1 + rate)))
@@ -181,11 +192,11 @@ def npv_at(rate: Column, flows: Column) -> Column:
     return F.aggregate(F.transform(flows, lambda x, i: x / F.pow(1 + rate, i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
-def irr(flows: Column, guess: float = 0.1, steps: int = 40) -> Column:
+def irr(flows: Column, guess: float | Column = 0.1, steps: int = 40) -> Column:
     """Internal rate of return of an array (first flow now) by Newton steps folded over a sequence; where these don't converge, by halving between -0.99 and 10 if the value changes its sign there, else null."""
     sums = lambda r, order: F.aggregate(F.transform(flows, lambda x, i: x * (1 if order == 0 else -i) * F.pow(1 + r, -(i + order))), F.lit(0.0), lambda a, x: a + x)
     move = lambda r: F.greatest(F.lit(-0.99), r - F.coalesce(F.try_divide(sums(r, 0), sums(r, 1)), F.lit(0.0)))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(guess), lambda r, _: move(r))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _n(guess).cast("double"), lambda r, _: move(r))
     scale = F.aggregate(F.transform(flows, lambda x: F.abs(x)), F.lit(1.0), lambda a, x: a + x)
     low, high = F.lit(-0.99), F.lit(10.0)
     rising = sums(low, 0) < sums(high, 0)
@@ -202,11 +213,11 @@ def irr(flows: Column, guess: float = 0.1, steps: int = 40) -> Column:
 
 # references
 def column_letters(column: Column) -> Column:
-    """A to Z, AA and on, of a column number from 1 (up to three letters)."""
+    """A to Z, AA and on, of a column number from 1; null beyond three letters."""
     n = column.cast("int")
     letter = lambda x: F.chr(F.lit(65) + x)
     one, two = letter((n - 1) % 26), letter(((n - 27) / 26).cast("int") % 26)
-    return F.when(n <= 26, one).when(n <= 702, F.concat(two, one)).otherwise(F.concat(letter(((n - 703) / 676).cast("int")), two, one))
+    return F.when(n <= 26, one).when(n <= 702, F.concat(two, one)).when(n <= 18278, F.concat(letter(((n - 703) / 676).cast("int")), two, one))
 
 
 def address(row: Column, column: Column) -> Column:
