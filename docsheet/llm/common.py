@@ -7,13 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 from pathlib import Path
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete_path, delete_table, note, scratch, shared_folder  # noqa: F401  for the operators
+from ..sources.shared import written as materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,67 +30,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session uses a temporary one and a cluster raises."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-#: Open scopes, innermost last: of this thread or task alone, so that one query never deletes what another still reads.
-_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that ``materialise`` wrote inside (but for those to be kept); what is read from them must be written by then."""
-    made: list[str] = []
-    before = _scopes.set((*_scopes.get(), made))
-    try:
-        yield
-    finally:
-        _scopes.reset(before)
-        for path in made:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Where the tables that ``materialise`` has read back lie.
-_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def delete_table(df: DataFrame) -> None:
-    """Deletes the files of a table of ``materialise`` before its scope ends: nothing reads it any more."""
-    _delete(df.sparkSession, _places[df])
-
-
-def note(path: str, kept: bool = False) -> None:
-    """``path`` is to be deleted at the end of the scope (of the one around it, if ``kept``), if there is one."""
-    scopes = _scopes.get()
-    if len(scopes) > kept:
-        scopes[-1 - kept].append(path)
-
-
-def materialise(df: DataFrame, compression: str = "snappy", kept: bool = False) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, so lost executors cost no recomputation of what came before. ``kept`` tables outlive the scope they are made in."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    note(path, kept)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _places[out] = path
-    return out
-
-
 @contextmanager
 def sharded_table(df: DataFrame, key: str, shards: int) -> Iterator[DataFrame]:
     """``df`` as a table bucketed and sorted by ``key``, so that what is grouped or joined by it moves the other side only; dropped at the end, with its files."""
@@ -100,7 +40,7 @@ def sharded_table(df: DataFrame, key: str, shards: int) -> Iterator[DataFrame]:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE {name}")
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
 #: Lists of ids up to this length (16 bytes each) are broadcast; beyond it joins with them shuffle.
