@@ -178,8 +178,10 @@ def split_rgb(pixel: Column, red: int, green: int, blue: int) -> Column:
 
 
 def palette_rgb(pixel: Column, palette: list[tuple[float, float, float]]) -> Column:
-    """The palette's colour of a pixel (256 at most); its first one for pixels beyond the palette."""
-    colours = F.array(*[F.struct(F.lit(r).alias("red"), F.lit(g).alias("green"), F.lit(b).alias("blue")) for r, g, b in palette[:256]])
+    """The palette's colour of a pixel (256 at most, else an error); its first one for pixels beyond the palette. Palettes that are tables: ``operators.palettes``."""
+    if len(palette) > 256:
+        raise ValueError("a palette has 256 colours at most")
+    colours = F.array(*[F.struct(F.lit(r).alias("red"), F.lit(g).alias("green"), F.lit(b).alias("blue")) for r, g, b in palette])
     return F.coalesce(F.when(pixel >= 0, F.get(colours, pixel.cast("int"))), F.get(colours, F.lit(0)))
 
 

@@ -42,6 +42,16 @@ def css_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[\x00-\x20\x7f-\xa0]", "_")
 
 
+def attribute(text: Column) -> Column:
+    """Text as part of a quoted attribute."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+
+
+def css_class(name: Column) -> Column:
+    """The class of a style by its name, for an attribute; without a name that of the normal style."""
+    return attribute(css_name(F.coalesce(name, F.lit("Normal"))))
+
+
 def heading_level(name: Column) -> Column:
     """1 to 6 for styles named like "Heading 2", else null."""
     return F.regexp_extract(name, r"Heading.([1-6])", 1).try_cast("int")

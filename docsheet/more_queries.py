@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import binary as B
@@ -180,8 +181,9 @@ def _(t):
 
 
 def _layouts():
+    """Layouts with null fields: some have no colour, some no family."""
     bold, size = c("p_size") % 2 == 0, (c("p_size") % 5 + 8).cast("double")
-    character = F.struct(F.lit("#000000").alias("color"), F.when(c("p_size") > 40, "#ffff00").otherwise("#ffffff").alias("back_color"), size.alias("font_size"), F.lit(False).alias("italic"), bold.alias("bold"), F.lit(None).cast("string").alias("super_sub"), (c("p_size") % 3 == 0).alias("underline"), (c("p_size") % 7 == 0).alias("strikethrough"), F.lit("serif").alias("family"))
+    character = F.struct(F.when(c("p_size") % 10 != 9, "#000000").alias("color"), F.when(c("p_size") > 40, "#ffff00").otherwise("#ffffff").alias("back_color"), size.alias("font_size"), F.lit(False).alias("italic"), bold.alias("bold"), F.lit(None).cast("string").alias("super_sub"), (c("p_size") % 3 == 0).alias("underline"), (c("p_size") % 7 == 0).alias("strikethrough"), F.when(c("p_size") % 10 != 8, "serif").alias("family"))
     paragraph = F.struct(F.lit("#ffffff").alias("back_color"), (c("p_size") % 4).cast("double").alias("indent_left"), F.lit(0.0).alias("indent_right"), F.lit(1.0).alias("indent_first"), F.lit("left").alias("justify"), (c("p_size") % 2 == 1).alias("bullet"), F.lit(0.0).alias("space_above"), F.lit(0.0).alias("space_below"))
     return character, paragraph
 
@@ -233,7 +235,7 @@ def _(t):
     """A document per brand: paragraphs of two runs, the second with rules of its own, under the brand's style sheet."""
     (character, _), (base_c, _) = _layouts(), _base_layouts()
     rows = t("part").select("p_brand", "p_partkey", K.character_css(character, base_c).alias("s"), F.explode(F.array(F.struct(F.lit(1).alias("k"), c("p_name").alias("x")), F.struct(F.lit(2).alias("k"), F.concat(F.lit(" <"), "p_type", F.lit(">")).alias("x")))).alias("r"))
-    runs = rows.select("p_brand", "p_partkey", c("r.k").alias("k"), c("r.x").alias("text"), F.when(c("r.k") == 1, "").otherwise(c("s")).alias("s"))
+    runs = rows.select("p_brand", "p_partkey", c("r.k").alias("k"), c("r.x").alias("text"), F.when(c("r.k") != 1, c("s")).alias("s"))
     paragraphs = K.styled_paragraphs(runs, ["p_brand"], "p_partkey", "k", c("s"))
     style = F.when(c("p_partkey") % 10 == 0, "Heading 2").otherwise("Body")
     return K.styled_document(paragraphs, _style_sheets(t), ["p_brand"], "p_partkey", style, headings=True).select("p_brand", F.md5("body").alias("hash"))
@@ -283,10 +285,15 @@ def _(t):
     return read.select("p_partkey", c("s.value").alias("s"), c("short.value").alias("short"), B.double(c("head"), 0).alias("d"), B.boolean(c("head"), 8).alias("b"), c("s.size").cast("long").alias("s_size"))
 
 
-@query("little_range", "SELECT * FROM (VALUES (0, '00', '0000', '02'), (63, '3F', '3F00', 'FE'), (64, '40', '4000', '0502'), (255, 'FF', 'FF00', 'FD07'), (300, NULL, '2C01', '6509'), (8191, NULL, 'FF1F', 'FDFF'), (8192, NULL, '0020', NULL), (70000, NULL, NULL, NULL), (-1, NULL, NULL, NULL)) v(n, u8, u16, s)")
+_LE16 = "printf('%02X%02X', n % 256, n // 256)"
+_LITTLE = f"SELECT n, CASE WHEN n < 256 THEN printf('%02X', n) END AS u8, {_LE16} AS u16, CASE WHEN n < 64 THEN printf('%02X', n * 4 + 2) WHEN n < 8192 THEN printf('%02X%02X', (n * 8 + 5) % 256, (n * 8 + 5) // 256) END AS s FROM (SELECT CAST(p_partkey * 37 % 9000 AS INTEGER) AS n FROM part)"
+
+
+@query("little_range", "SELECT * FROM (VALUES (0, '00', '0000', '02'), (63, '3F', '3F00', 'FE'), (64, '40', '4000', '0502'), (255, 'FF', 'FF00', 'FD07'), (300, NULL, '2C01', '6509'), (8191, NULL, 'FF1F', 'FDFF'), (8192, NULL, '0020', NULL), (70000, NULL, NULL, NULL), (-1, NULL, NULL, NULL)) v(n, u8, u16, s) UNION ALL " + _LITTLE)
 def _(t):
     """Encoders at the ends of their ranges; what doesn't fit is null."""
-    rows = values(t("region").sparkSession, "n int", [(n,) for n in (0, 63, 64, 255, 300, 8191, 8192, 70000, -1)])
+    planted = values(t("part").sparkSession, "n int", [(n,) for n in (0, 63, 64, 255, 300, 8191, 8192, 70000, -1)])
+    rows = t("part").select((c("p_partkey") * 37 % 9000).cast("int").alias("n")).unionByName(planted)
     return rows.select("n", F.hex(B.little(c("n"), 1)).alias("u8"), F.hex(B.little(c("n"), 2)).alias("u16"), F.hex(B.s_encode(c("n"))).alias("s"))
 
 
@@ -296,10 +303,11 @@ def _(t):
     return t("part").select("p_partkey", B.cell_offset(raw)["offset"].alias("offset"), B.cell_offset(raw)["absolute"].alias("absolute"))
 
 
-@query("sint_roundtrip", "SELECT * FROM (VALUES (0, '00000000', 0), (1, '01000000', 1), (-1, '01000080', -1), (2147483647, 'FFFFFF7F', 2147483647), (-2147483647, 'FFFFFFFF', -2147483647)) v(n, code, back)")
+@query("sint_roundtrip", "SELECT * FROM (VALUES (0, '00000000', 0), (1, '01000000', 1), (-1, '01000080', -1), (2147483647, 'FFFFFF7F', 2147483647), (-2147483647, 'FFFFFFFF', -2147483647)) v(n, code, back) UNION ALL SELECT n, printf('%02X%02X%02X%02X', abs(n) % 256, abs(n) // 256 % 256, abs(n) // 65536 % 256, abs(n) // 16777216 + CASE WHEN n < 0 THEN 128 ELSE 0 END), n FROM (SELECT CAST(CASE WHEN p_size % 2 = 1 THEN -p_partkey ELSE p_partkey END AS INTEGER) AS n FROM part)")
 def _(t):
     """Signed numbers as sign and size."""
-    rows = values(t("region").sparkSession, "n int", [(n,) for n in (0, 1, -1, 2147483647, -2147483647)])
+    planted = values(t("part").sparkSession, "n int", [(n,) for n in (0, 1, -1, 2147483647, -2147483647)])
+    rows = t("part").select((c("p_partkey") * F.when(c("p_size") % 2 == 1, -1).otherwise(1)).cast("int").alias("n")).unionByName(planted)
     coded = rows.select("n", B.sint_encode(c("n")).alias("code"))
     return coded.select("n", F.hex("code").alias("code"), B.sint(c("code"), 0).cast("int").alias("back"))
 
@@ -373,48 +381,59 @@ def _(t):
     return t("nation").select("n_nationkey", P.application_is(c("n_name"), "NATION_3").alias("own"))
 
 
-@query("text_section", "SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN chr(6) || chr(2) ELSE array_to_string(string_split(text, chr(10)), chr(6)) || chr(6) END) AS hash FROM documents")
+@query("text_section", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10)), chr(6)) || chr(6)) AS hash FROM documents UNION ALL SELECT -1, md5(chr(6) || chr(2))")
 def _(t):
-    """Paragraphs with their marks; documents of some numbers are taken as empty."""
-    paragraphs = F.when(c("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
-    return t("documents").select("doc_id", F.md5(T.section(paragraphs)).alias("hash"))
+    """Paragraphs with their marks; a planted document has none."""
+    docs = t("documents").select("doc_id", F.split("text", "\n", -1).alias("p"))
+    paragraphs = c("p")
+    docs = docs.unionByName(values(docs.sparkSession, "doc_id long, p array<string>", [(-1, [])]))
+    return docs.select("doc_id", F.md5(T.section(paragraphs)).alias("hash"))
 
 
-@query("ctrl_codes", "SELECT * FROM (VALUES (6, chr(10), '<br/>', '_'), (7, chr(10), '<br/>', '_'), (8, chr(10), '<br/>', '_'), (9, chr(9), ' ', '_'), (10, chr(9), ' ', '_'), (11, '-', '-', '_'), (12, '-', '-', '_'), (14, '', '', '_'), (15, ' ', ' ', '_'), (32, ' ', ' ', '_'), (65, 'A', 'A', 'A'), (128, chr(128), chr(128), '_'), (160, chr(160), chr(160), '_'), (233, 'é', 'é', 'é')) v(code, plain, html, css)")
+@query("ctrl_codes", "SELECT * FROM (VALUES (6, chr(10), '<br/>', '_'), (7, chr(10), '<br/>', '_'), (8, chr(10), '<br/>', '_'), (9, chr(9), ' ', '_'), (10, chr(9), ' ', '_'), (11, '-', '-', '_'), (12, '-', '-', '_'), (14, '', '', '_'), (15, ' ', ' ', '_'), (32, ' ', ' ', '_'), (65, 'A', 'A', 'A'), (128, chr(128), chr(128), '_'), (160, chr(160), chr(160), '_'), (233, 'é', 'é', 'é')) v(code, plain, html, css) UNION ALL SELECT unicode(p_name), p_name[1], p_name[1], p_name[1] FROM part")
 def _(t):
     """Every control code, and the characters that are no part of class names."""
-    rows = values(t("region").sparkSession, "code int, ch string", [(k, chr(k)) for k in (6, 7, 8, 9, 10, 11, 12, 14, 15, 32, 65, 128, 160, 233)])
+    rows = t("part").select(F.ascii("p_name").alias("code"), F.left("p_name", F.lit(1)).alias("ch"))
+    rows = rows.unionByName(values(rows.sparkSession, "code int, ch string", [(k, chr(k)) for k in (6, 7, 8, 9, 10, 11, 12, 14, 15, 32, 65, 128, 160, 233)]))
     return rows.select("code", T.render_text(c("ch")).alias("plain"), T.render_html(c("ch")).alias("html"), T.css_name(c("ch")).alias("css"))
 
 
-@query("encode_planted", "SELECT * FROM (VALUES ('a', '61', '0061', '61'), ('é', 'C3A9', '00E9', '3F'), ('漢', 'E6BCA2', '6F22', '3F'), ('🙂', 'F09F9982', '003F', '3F')) v(ch, utf8, ucs2, ascii)")
+@query("encode_planted", "SELECT * FROM (VALUES ('a', '61', '0061', '61'), ('é', 'C3A9', '00E9', '3F'), ('漢', 'E6BCA2', '6F22', '3F'), ('🙂', 'F09F9982', '003F', '3F')) v(ch, utf8, ucs2, ascii) UNION ALL SELECT p_name, hex(encode(p_name)), regexp_replace(hex(encode(p_name)), '(..)', '00\\1', 'g'), hex(encode(p_name)) FROM part")
 def _(t):
-    rows = values(t("region").sparkSession, "ch string", [(x,) for x in "aé漢🙂"])
+    rows = t("part").select(c("p_name").alias("ch"))
+    rows = rows.unionByName(values(rows.sparkSession, "ch string", [(x,) for x in "aé漢🙂"]))
     return rows.select("ch", *[F.hex(T.encode(c("ch"), k.upper())).alias(k) for k in ("utf8", "ucs2", "ascii")])
 
 
 @query(
     "sheet_chain",
-    "SELECT * FROM (SELECT i AS cell, CAST(i + 1 AS DOUBLE) AS value, CAST(i AS INTEGER) AS level FROM range(0, 200) r(i) UNION ALL SELECT * FROM (VALUES (1000, NULL, NULL), (1001, NULL, NULL), (1002, NULL, NULL), (1003, NULL, NULL)) v)",
+    "SELECT * FROM (SELECT i AS cell, CAST(i + 1 AS DOUBLE) AS value, CAST(i AS INTEGER) AS level FROM range(0, 200) r(i) UNION ALL SELECT * FROM (VALUES (1000, NULL, NULL), (1001, NULL, NULL), (1002, NULL, NULL), (1003, NULL, NULL)) v UNION ALL SELECT c_custkey + 10000, sum(CAST(c_custkey % 7 AS DOUBLE)) OVER w, CAST(count(*) OVER w - 1 AS INTEGER) FROM customer WINDOW w AS (PARTITION BY c_custkey // 50 ORDER BY c_custkey))",
 )
 def _(t):
-    """A chain of 200 cells, each one more than the one before, a cycle of two, a cell behind it and one that needs what isn't there."""
-    spark = t("region").sparkSession
+    """Chains of up to 50 customers, a chain of 200 cells, each one more than the one before, a cycle of two, a cell behind it and one that needs what isn't there."""
+    own = t("customer")
+    spark = own.sparkSession
     cells = spark.range(200).select(c("id").alias("cell"), F.lit(1.0).alias("base")).unionByName(values(spark, "cell long, base double", [(k, 1.0) for k in range(1000, 1004)]))
     edges = spark.range(1, 200).select(c("id").alias("cell"), (c("id") - 1).alias("needs"), F.lit(1.0).alias("weight")).unionByName(values(spark, "cell long, needs long, weight double", [(1000, 1001, 1.0), (1001, 1000, 1.0), (1002, 1001, 1.0), (1003, 5000, 1.0)]))
+    cells = cells.unionByName(own.select((c("c_custkey") + 10000).alias("cell"), (c("c_custkey") % 7).cast("double").alias("base")))
+    linked = own.select("c_custkey", F.lag("c_custkey").over(W.partitionBy(F.floor(c("c_custkey") / 50)).orderBy("c_custkey")).alias("before")).where("before is not null")
+    edges = edges.unionByName(linked.select((c("c_custkey") + 10000).alias("cell"), (c("before") + 10000).alias("needs"), F.lit(1.0).alias("weight")))
     return E.evaluate_levels(cells, edges)
 
 
 @query(
     "sheet_graph",
-    "WITH RECURSIVE v AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b UNION ALL SELECT i + 1, b, 1 + 0.5 * (a + b) FROM v WHERE i < 13) SELECT CAST(i AS BIGINT) AS cell, round(a, 6) AS value, CAST(greatest(0, i - 1) AS INTEGER) AS level FROM v UNION ALL SELECT * FROM (VALUES (1000, NULL, NULL), (1001, NULL, NULL)) w",
+    "WITH RECURSIVE v AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b UNION ALL SELECT i + 1, b, 1 + 0.5 * (a + b) FROM v WHERE i < 13) SELECT CAST(i AS BIGINT) AS cell, round(a, 6) AS value, CAST(greatest(0, i - 1) AS INTEGER) AS level FROM v UNION ALL SELECT * FROM (VALUES (1000, NULL, NULL), (1001, NULL, NULL)) w UNION ALL SELECT 2000 + s_suppkey, round(s_acctbal + 0.5 * a, 6), 3 FROM supplier, v WHERE i = 3",
 )
 def _(t):
-    """Cells that need the two before them, and a cycle whose cells need a settled one, too."""
-    spark = t("region").sparkSession
+    """Cells that need the two before them, suppliers that need one of those, and a cycle whose cells need a settled one, too."""
+    own = t("supplier")
+    spark = own.sparkSession
     cells = spark.range(14).select(c("id").alias("cell"), F.lit(1.0).alias("base")).unionByName(values(spark, "cell long, base double", [(1000, 1.0), (1001, 1.0)]))
     two = spark.range(2, 14).select(c("id").alias("cell"), F.explode(F.array(c("id") - 1, c("id") - 2)).alias("needs"), F.lit(0.5).alias("weight"))
     edges = two.unionByName(values(spark, "cell long, needs long, weight double", [(1000, 1001, 1.0), (1001, 1000, 1.0), (1001, 3, 1.0)]))
+    cells = cells.unionByName(own.select((c("s_suppkey") + 2000).alias("cell"), c("s_acctbal").cast("double").alias("base")))
+    edges = edges.unionByName(own.select((c("s_suppkey") + 2000).alias("cell"), F.lit(3).cast("long").alias("needs"), F.lit(0.5).alias("weight")))
     return E.evaluate_levels(cells, edges).withColumn("value", F.round("value", 6))
 
 

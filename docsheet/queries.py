@@ -575,29 +575,38 @@ def _(t):
 
 
 # Sinks: documents from their turns.
+#: Turns of the conversations and a planted one, whose paragraphs and styles are null.
+_TURNS = "(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, NULL, 'a<b'), (-1, 1, 'user', NULL), (-1, 2, NULL, NULL)) v)"
+
+
+def _turns(t) -> DataFrame:
+    own = t("conversations").select("conv_id", c("turn").cast("long").alias("turn"), "role", "text")
+    return own.unionByName(own.sparkSession.createDataFrame([(-1, 0, None, "a<b"), (-1, 1, "user", None), (-1, 2, None, None)], "conv_id long, turn long, role string, text string"))
+
+
 _TURN = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _BODY = lambda before, after: f"string_agg({before} || replace({_TURN}, chr(10), ' ') || {after}, '' ORDER BY turn)"
 
 
-@query("doc_to_text", "SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN '*   ' ELSE '' END || replace(text, chr(10), chr(9)) || chr(10), '' ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id")
+@query("doc_to_text", f"SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN '*   ' ELSE '' END || replace(coalesce(text, ''), chr(10), chr(9)) || chr(10), '' ORDER BY turn)) AS hash FROM {_TURNS} GROUP BY conv_id")
 def _(t):
-    return K.to_text(t("conversations"), ["conv_id"], "turn", "text", F.when(c("role") == "user", F.lit("*"))).select("conv_id", F.md5("body").alias("hash"))
+    return K.to_text(_turns(t), ["conv_id"], "turn", "text", F.when(c("role") == "user", F.lit("*"))).select("conv_id", F.md5("body").alias("hash"))
 
 
-@query("doc_to_html4", f"SELECT conv_id, md5('<HTML><BODY>' || chr(10) || {_BODY(chr(39) + '<P>' + chr(39), chr(39) + '</P>' + chr(39) + ' || chr(10)')} || '</BODY></HTML>' || chr(10)) AS hash FROM conversations GROUP BY conv_id")
+@query("doc_to_html4", f"SELECT conv_id, md5('<HTML><BODY>' || chr(10) || {_BODY(chr(39) + '<P>' + chr(39), chr(39) + '</P>' + chr(39) + ' || chr(10)')} || '</BODY></HTML>' || chr(10)) AS hash FROM {_TURNS} GROUP BY conv_id")
 def _(t):
-    return K.to_html4(t("conversations"), ["conv_id"], "turn", "text").select("conv_id", F.md5("body").alias("hash"))
+    return K.to_html4(_turns(t), ["conv_id"], "turn", "text").select("conv_id", F.md5("body").alias("hash"))
 
 
-@query("doc_to_xhtml", f"""SELECT conv_id, md5('<html xmlns="http://www.w3.org/1999/xhtml"><body>' || chr(10) || {_BODY("'<p class=" + chr(34) + "style-' || role || '" + chr(34) + ">'", "'</p>' || chr(10)")} || '</body></html>' || chr(10)) AS hash FROM conversations GROUP BY conv_id""")
+@query("doc_to_xhtml", f"""SELECT conv_id, md5('<html xmlns="http://www.w3.org/1999/xhtml"><body>' || chr(10) || {_BODY("'<p class=" + chr(34) + "style-' || coalesce(role, 'Normal') || '" + chr(34) + ">'", "'</p>' || chr(10)")} || '</body></html>' || chr(10)) AS hash FROM {_TURNS} GROUP BY conv_id""")
 def _(t):
-    return K.to_xhtml(t("conversations"), ["conv_id"], "turn", c("role"), "text").select("conv_id", F.md5("body").alias("hash"))
+    return K.to_xhtml(_turns(t), ["conv_id"], "turn", c("role"), "text").select("conv_id", F.md5("body").alias("hash"))
 
 
-@query("doc_to_html5", f"""SELECT conv_id, md5('<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || {_BODY("CASE WHEN role = 'user' THEN '<h2>' ELSE '<p>' END", "CASE WHEN role = 'user' THEN '</h2>' ELSE '</p>' END || chr(10)")} || '</body></html>' || chr(10)) AS hash FROM conversations GROUP BY conv_id""")
+@query("doc_to_html5", f"""SELECT conv_id, md5('<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || {_BODY("CASE WHEN role = 'user' THEN '<h2>' ELSE '<p>' END", "CASE WHEN role = 'user' THEN '</h2>' ELSE '</p>' END || chr(10)")} || '</body></html>' || chr(10)) AS hash FROM {_TURNS} GROUP BY conv_id""")
 def _(t):
     style = F.when(c("role") == "user", "Heading 2").otherwise("Body")
-    return K.to_html5(t("conversations"), ["conv_id"], "turn", style, "text").select("conv_id", F.md5("body").alias("hash"))
+    return K.to_html5(_turns(t), ["conv_id"], "turn", style, "text").select("conv_id", F.md5("body").alias("hash"))
 
 
 from . import more_queries as _more  # noqa: E402, F401  registers its queries here

@@ -1,4 +1,4 @@
-"""Documents from paragraphs: plain text and HTML. A document is an ordered group of bounded size: paragraphs are rendered as rows and joined once."""
+"""Documents from paragraphs: plain text and HTML. A null paragraph is an empty one, a null style the normal one. A document is an ordered group of bounded size: paragraphs are rendered as rows and joined once."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def _text(para: str) -> Column:
+    return F.coalesce(F.col(para), F.lit(""))
+
+
 def _joined(paras: DataFrame, by: list[str], order: str, rendered: Column) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), rendered.alias("t"))))
     return paras.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("body"))
@@ -18,23 +22,23 @@ def _joined(paras: DataFrame, by: list[str], order: str, rendered: Column) -> Da
 def to_text(paras: DataFrame, by: list[str], order: str, para: str = "para", bullet: Column | None = None) -> DataFrame:
     """(by, body): each paragraph and a line feed; a bullet and three spaces before it where ``bullet`` isn't null."""
     mark = F.concat(bullet, F.lit("   ")) if bullet is not None else F.lit(None)
-    return _joined(paras, by, order, F.concat(F.coalesce(mark, F.lit("")), T.render_text(F.col(para)), F.lit("\n")))
+    return _joined(paras, by, order, F.concat(F.coalesce(mark, F.lit("")), T.render_text(_text(para)), F.lit("\n")))
 
 
 def to_html4(paras: DataFrame, by: list[str], order: str, para: str = "para") -> DataFrame:
-    return _wrapped(_joined(paras, by, order, F.concat(F.lit("<P>"), T.render_html(F.col(para), "<BR>"), F.lit("</P>\n"))), by, "<HTML><BODY>\n", "</BODY></HTML>\n")
+    return _wrapped(_joined(paras, by, order, F.concat(F.lit("<P>"), T.render_html(_text(para), "<BR>"), F.lit("</P>\n"))), by, "<HTML><BODY>\n", "</BODY></HTML>\n")
 
 
 def to_xhtml(paras: DataFrame, by: list[str], order: str, style: Column, para: str = "para") -> DataFrame:
-    one = F.concat(F.lit('<p class="style-'), T.css_name(style), F.lit('">'), T.render_html(F.col(para)), F.lit("</p>\n"))
+    one = F.concat(F.lit('<p class="style-'), T.css_class(style), F.lit('">'), T.render_html(_text(para)), F.lit("</p>\n"))
     return _wrapped(_joined(paras, by, order, one), by, '<html xmlns="http://www.w3.org/1999/xhtml"><body>\n', "</body></html>\n")
 
 
 def to_html5(paras: DataFrame, by: list[str], order: str, style: Column, para: str = "para") -> DataFrame:
     """As XHTML, but styles named like headings become headings."""
-    level = T.heading_level(style)
+    level = T.heading_level(F.coalesce(style, F.lit("")))
     tag = F.when(level.isNotNull(), F.concat(F.lit("h"), level.cast("string"))).otherwise("p")
-    one = F.concat(F.lit("<"), tag, F.lit('>'), T.render_html(F.col(para)), F.lit("</"), tag, F.lit(">\n"))
+    one = F.concat(F.lit("<"), tag, F.lit(">"), T.render_html(_text(para)), F.lit("</"), tag, F.lit(">\n"))
     return _wrapped(_joined(paras, by, order, one), by, "<!DOCTYPE html>\n<html><body>\n", "</body></html>\n")
 
 
