@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def merge_runs(runs: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
     """Adjacent rows of a group with equal ``same`` columns become one: the columns of ``by`` and ``same``, run_no from 1, n_rows, and the first and last of ``order[0]``. Nulls equal nulls."""
-    window = W.partitionBy(*by).orderBy(*order)
     value = F.struct(*same)
-    starts = F.when(F.row_number().over(window) == 1, 1).when(F.lag(value).over(window).eqNullSafe(value), 0).otherwise(1)
-    marked = runs.withColumn("run_no", F.sum(starts.cast("long")).over(window.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    seen = scanned(runs, by, order, previous={"_before": value})
+    starts = F.when(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(value), 1).otherwise(0)
+    marked = scanned(seen, by, order, sums={"run_no": starts.cast("long")})
     return marked.groupBy(*by, "run_no", *same).agg(F.count(F.lit(1)).alias("n_rows"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
 def clip_runs(runs: DataFrame, by: list[str], order: list[str], length: str, limit: str) -> DataFrame:
     """Adds ``start`` and ``clipped``: runs laid end to end, cut where their group's ``limit`` ends."""
-    window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.sum(length).over(window)
+    runs = scanned(runs, by, order, sums={"_end": F.col(length)})
+    end = F.col("_end")
     start = end - F.col(length)
-    return runs.withColumn("start", start).withColumn("clipped", F.greatest(F.lit(0), F.least(end, F.col(limit)) - start))
+    return runs.withColumn("start", start).withColumn("clipped", F.greatest(F.lit(0), F.least(end, F.col(limit)) - start)).drop("_end")
 
 
 def split_paragraphs(docs: DataFrame, text: Column) -> DataFrame:
@@ -32,14 +34,15 @@ def split_paragraphs(docs: DataFrame, text: Column) -> DataFrame:
 def consume_pool(owners: DataFrame, pool: DataFrame, by: str, order: str, count: str, pool_order: str) -> DataFrame:
     """Deals the rows of ``pool`` in order to owners that take ``count`` rows each: pool rows with the ``order`` of their owner.
 
-    Both sides are numbered per ``by`` and go through one sort of their union, in which a pool row takes the last owner that starts at or before it: no pair is formed.
+    Both sides are numbered per ``by`` and go through one sort of their union, in which a pool row takes the last owner that starts at or before it: no pair is formed, and groups may be of any size.
     """
-    upto = F.sum(count).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    taken = owners.select(F.col(by), upto.alias("_to"), F.col(order).alias("_owner"), F.col(count).alias("_n")).where("_n > 0")
+    upto = scanned(owners.select(by, order, count), [by], [order], sums={"_to": F.col(count)})
+    taken = upto.select(F.col(by), "_to", F.col(order).alias("_owner"), F.col(count).alias("_n")).where("_n > 0")
     starts = taken.select(by, (F.col("_to") - F.col("_n") + 1).cast("long").alias("_no"), F.struct(F.col("_to").cast("long").alias("to"), "_owner").alias("_o"), F.lit(None).cast(pool.schema.simpleString()).alias("_p"))
-    numbered = pool.select(by, F.row_number().over(W.partitionBy(by).orderBy(pool_order)).cast("long").alias("_no"), F.lit(None).cast(starts.schema["_o"].dataType).alias("_o"), F.struct(*pool.columns).alias("_p"))
-    window = W.partitionBy(by).orderBy("_no", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = starts.unionByName(numbered).withColumn("_o", F.last("_o", ignorenulls=True).over(window)).where("_p is not null and _no <= _o.to")
+    ranked = scanned(pool.select(by, F.col(pool_order).alias("_at"), F.struct(*pool.columns).alias("_p")), [by], ["_at"], sums={"_no": F.lit(1).cast("long")})
+    numbered = ranked.select(by, "_no", F.lit(None).cast(starts.schema["_o"].dataType).alias("_o"), "_p")
+    both = starts.unionByName(numbered).withColumn("_asks", F.col("_p").isNotNull())
+    found = scanned(both, [by], ["_no", "_asks"], lasts={"_o": F.col("_o")}).where("_asks and _no <= _o.to")
     return found.select("_p.*", F.col("_o._owner").alias(order))
 
 
@@ -74,8 +77,7 @@ def resolve_references(refs: DataFrame, targets: DataFrame, key: str, offset: st
 
 def part_offsets(parts: DataFrame, by: list[str], order: str, length: str) -> DataFrame:
     """Adds ``base``: where each part begins when the parts of a group are joined."""
-    before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return parts.withColumn("base", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    return scanned(parts, by, [order], sums={"base": F.col(length)}).withColumn("base", F.col("base") - F.coalesce(F.col(length), F.lit(0)))
 
 
 def fallback(rows: DataFrame, levels: list[tuple[DataFrame, str]], default: Column, value: str) -> DataFrame:

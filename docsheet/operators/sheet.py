@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def cells_in_blocks(cells: DataFrame, blocks: DataFrame, width: int = 256) -> DataFrame:
     """Cells (row, column, value) joined with the blocks (block, r1, r2, c1, c2) they lie in: an equi-join on bands of ``width`` rows, then exact bounds."""
@@ -37,14 +38,14 @@ def lookup_exact(probes: DataFrame, table: DataFrame, key: str, value: str) -> D
 def lookup_last(probes: DataFrame, table: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """VLOOKUP, HLOOKUP and LOOKUP: probes with the ``value`` of the last table row of their group whose ``key`` isn't greater.
 
-    Both sides go through one sort per group, so no pair is ever formed. Of table rows with equal keys the greatest value counts.
+    Both sides go through one sort, in ranges of group and key, so no pair is ever formed and a group may be of any size. Of table rows with equal keys the greatest value counts.
     """
     one = table.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.max(value).alias("_v"))
     right = one.select(*by, key, F.struct(F.col("_v").alias("v")).alias("_t"), F.lit(None).cast(probes.schema.simpleString()).alias("_p"))
     left = probes.select(*by, key, F.lit(None).cast(right.schema["_t"].dataType).alias("_t"), F.struct(*probes.columns).alias("_p"))
-    window = W.partitionBy(*by).orderBy(F.col(key).asc_nulls_first(), F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = right.unionByName(left).withColumn(value, F.last("_t", ignorenulls=True).over(window)["v"])
-    return found.where("_p is not null").select("_p.*", value)
+    both = right.unionByName(left).withColumn("_asks", F.col("_p").isNotNull())
+    found = scanned(both, by, [key, "_asks"], lasts={"_found": F.col("_t")}, ties=True)
+    return found.where("_asks").select("_p.*", F.col("_found.v").alias(value))
 
 
 def bracket(value: Column, bounds: list[float], names: list[str]) -> Column:
