@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import formula as X
 from ..operators import sheet as S
-from ..sources.shared import delete_table, scratch, written
+from ..sources.shared import delete_table, scratch, written, written_together
 from . import evaluate as E
 
 TEMPLATES = 10_000
@@ -277,6 +277,7 @@ class Workbook:
             raise ValueError(f"more than {TEMPLATES} templates")
         trees = [tree(json.loads(t)) for t in kinds]
         self.templates = [Template(t, self._variables(trees, variables)) for t in trees]
+        self.led = any(mode == "via" for t in self.templates for _, mode, _ in t.inputs)
         if any(len(t.parts) > self.WIDE for t in self.templates):
             raise ValueError(f"a formula has {self.WIDE - 1} computed references at most")
         number = F.broadcast(cells.sparkSession.createDataFrame(list(zip(kinds, range(len(kinds)), strict=True)), "t string, template int"))
@@ -332,8 +333,8 @@ class Workbook:
         """(sheet, row, column, cell) of every formula."""
         W, key = written, [*PLACE, "part"]
         parts = _chain({n: F.array(*[F.lit(k) for k in range(len(t.parts))]) for n, t in enumerate(self.templates)}, "template", F.lit(None).cast("array<int>"))
-        pending = W(self.formulas.select("*", F.explode(parts).alias("part")))
-        single, blocks = W(self._inputs(("cell",))), W(self._inputs(("part", "list", "wait")))
+        pending, single, blocks = written_together(self.formulas.select("*", F.explode(parts).alias("part")), self._inputs(("cell",)), self._inputs(("part", "list", "wait")))
+        expression = self._expression()
         spot = [F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("column")]
         need = lambda df: df.select(F.col("sheet").alias("n_sheet"), F.col("row").alias("n_row"), F.col("column").alias("n_column"))
         on_place = [F.col("sheet") == F.col("n_sheet"), F.col("r1") == F.col("n_row"), F.col("c1") == F.col("n_column")]
@@ -358,7 +359,7 @@ class Workbook:
         lookups = any(p[0] in LOOKUPS for t in self.templates for p in t.parts)
         while True:
             ready = pending.join(edges.select(*key).distinct(), key, "left_anti")
-            fresh = W(self._evaluated(ready, pieces, key, done, lookups))
+            fresh = W(self._evaluated(ready, pieces, key, done, expression, lookups))
             if fresh.isEmpty():
                 core = self._core(pending, edges)
                 if core.isEmpty():
@@ -393,16 +394,20 @@ class Workbook:
         made = members.where("mode in ('part', 'list')").groupBy(*key, "k").agg(F.when(F.first("mode") == "part", parts_of(F.col("cell"))).alias("part_"), items.cast(LIST).alias("items"))
         return made.select(*key, "k", F.lit(None).cast(CELL).alias("cell"), "part_", "items")
 
-    def _evaluated(self, ready: DataFrame, pieces: DataFrame, key: list[str], done: DataFrame | None, lookups: bool) -> DataFrame:
-        """(key, cell, to) of the parts that are ready: all templates in one expression."""
-        each = pieces.groupBy(*key, "k").agg(F.first("cell", ignorenulls=True).alias("cell"), total(F.collect_list("part_")).alias("whole"), F.flatten(F.collect_list("items")).alias("list"))
-        operands = each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("cell", F.col("whole").alias("part"), "list")))).alias("operands"))
-        table = ready.join(operands, key, "left").withColumn("program", F.col("template") * self.WIDE + F.col("part"))
+    def _expression(self) -> Column:
+        """The result of a part by its ``program`` and ``operands``: all templates in one expression."""
         cases = {}
         for n, t in enumerate(self.templates):
             for k, (kind, made) in enumerate(t.parts):
                 cases[n * self.WIDE + k] = _result(made) if kind == "value" else made
-        out = table.select(*key, "program", _chain(cases, "program", _result()).alias("r")).select(*key, "program", "r.*")
+        return _chain(cases, "program", _result())
+
+    def _evaluated(self, ready: DataFrame, pieces: DataFrame, key: list[str], done: DataFrame | None, expression: Column, lookups: bool) -> DataFrame:
+        """(key, cell, to) of the parts that are ready."""
+        each = pieces.groupBy(*key, "k").agg(F.first("cell", ignorenulls=True).alias("cell"), total(F.collect_list("part_")).alias("whole"), F.flatten(F.collect_list("items")).alias("list"))
+        operands = each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("cell", F.col("whole").alias("part"), "list")))).alias("operands"))
+        table = ready.join(operands, key, "left").withColumn("program", F.col("template") * self.WIDE + F.col("part"))
+        out = table.select(*key, "program", expression.alias("r")).select(*key, "program", "r.*")
         if not lookups:
             return out.select(*key, "cell", "to")
         searching = [n * self.WIDE + k for n, t in enumerate(self.templates) for k, (kind, _) in enumerate(t.parts) if kind in LOOKUPS]
@@ -447,6 +452,10 @@ class Workbook:
         open_edges = edges.join(needed, on, "left_anti").select(*edge)
         operand = lambda df: df.select(*key, "k", "cell", none.cast(PART).alias("part_"), none.cast(LIST).alias("items"))
         direct = operand(fired.where("mode = 'cell'"))
+        ready = fresh.select(*key)
+        rest = pieces.join(ready, key, "left_anti").unionByName(direct).unionByName(self._gathered(fired, key))
+        if not self.led:
+            return tuple(written_together(pending.join(ready, key, "left_anti"), open_edges, rest))
         addressed = fired.where("mode = 'via'").withColumn("mode", F.lit("cell"))
         failed = operand(addressed.where("to.err is not null").withColumn("cell", C.failed_as(F.col("to.err"))))
         led = addressed.where("to.err is null").drop("cell", "n_row", "n_column", "n_part").select("*", F.col("to.row").alias("n_row"), F.col("to.column").alias("n_column"))
@@ -457,9 +466,7 @@ class Workbook:
         reached = W(reached.select(*key, "k", "mode", "n_row", "n_column", F.lit(0).alias("n_part"), zero.alias("o_row"), zero.alias("o_column"), "cell", (F.col("waits") & F.col("cell").isNull()).alias("waits")))
         new_edges = reached.where("waits").select(*edge)
         arrived = operand(reached.where("waits is null or not waits").withColumn("cell", F.coalesce("cell", C.cell(F.lit("blank")))))
-        ready = fresh.select(*key)
-        rest = pieces.join(ready, key, "left_anti").unionByName(direct).unionByName(failed).unionByName(arrived).unionByName(self._gathered(fired, key))
-        return W(pending.join(ready, key, "left_anti")), W(open_edges.unionByName(new_edges)), W(rest)
+        return tuple(written_together(pending.join(ready, key, "left_anti"), open_edges.unionByName(new_edges), rest.unionByName(failed).unionByName(arrived)))
 
     def _core(self, pending: DataFrame, edges: DataFrame) -> DataFrame:
         """Of the parts that wait for each other those of cycles and on ways between cycles: parts that nothing open waits for go, again and again. A part that a formula still has to get the address from counts as waited for."""

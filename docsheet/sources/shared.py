@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,12 @@ def written(df: DataFrame, compression: str = "snappy", kept: bool = False) -> D
     return out
 
 
+def written_together(*tables: DataFrame) -> list[DataFrame]:
+    """``written`` of several tables at once: they don't wait for each other."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda c, t: c.run(written, t), [copy_context() for _ in tables], tables))
+
+
 def delete_table(df: DataFrame) -> None:
     """Deletes the files of a table of ``written`` before its scope ends: nothing reads it any more."""
     delete_path(df.sparkSession, _places[df])
