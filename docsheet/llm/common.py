@@ -71,6 +71,20 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with those of its columns renamed that are called like columns of our own (in any case), and what gives them their names back."""
+    own = {n.lower() for n in names}
+    clashes = [c for c in df.columns if c.lower() in own]
+    free, taken = [], {c.lower() for c in df.columns} | own
+    for c in clashes:
+        name = f"{c}_own"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return df.withColumnsRenamed(dict(zip(clashes, free, strict=True))), lambda out: out.withColumnsRenamed(dict(zip(free, clashes, strict=True)))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own, near ``names``, that ``df`` doesn't have (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

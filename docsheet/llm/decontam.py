@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialise
+from .common import map_arrow, materialise, set_aside
 
 #: Words of test items in one automaton (some 600 bytes a word in each Python worker): a larger benchmark takes several passes over the documents.
 SHARD_WORDS = 200_000
@@ -175,14 +175,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     A benchmark of one shard is matched in one pass over ``docs``. With more of them ``docs`` is written once with row numbers, each
     shard adds the numbers, spans and items of the rows that it hits, and these are joined back.
     """
-    docs = docs.drop("contamination")
+    docs, back = set_aside(docs.drop("contamination"), "_row", "_spans", "_items")
     shards = _shards(benchmark, item_col, item_text, window)
     shard, following = next(shards), next(shards, None)
     left = [c for c in docs.columns if carry_text or c != text]
     schema = T.StructType([*(docs.schema[c] for c in left), T.StructField("contamination", RESULT)])
     share = docs.sparkSession.sparkContext.broadcast
     if following is None:
-        return map_arrow(docs, _marker(share(ItemAutomaton(shard, window)), left, text), schema)
+        return back(map_arrow(docs, _marker(share(ItemAutomaton(shard, window)), left, text), schema))
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = None
     while shard is not None:
@@ -192,7 +192,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
         found = hits if found is None else found.unionByName(hits)
         shard, following = following, next(shards, None)
     joined = found.groupBy("_row").agg(F.flatten(F.collect_list("s")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("_items"))
-    return map_arrow(rows.join(joined, "_row", "left"), _united(left, text), schema)
+    return back(map_arrow(rows.join(joined, "_row", "left"), _united(left, text), schema))
 
 
 def _marker(shared, left: list[str], text: str):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, materialise
+from .common import SPACES, let, materialise, unused
 
 #: Hosts up to this number are broadcast (a row is under 200 bytes); beyond it the join shuffles.
 BROADCAST_HOSTS = 20_000
@@ -88,14 +88,16 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry_text:
     The measured rows are written once and read for both the host counts and the join; ``carry_text=False`` leaves the
     text out of them. The join broadcasts the hosts if they are few, else it shuffles and leaves hot hosts to adaptive skew splitting.
     """
+    host_, verdict = unused(docs, "_host", "_verdict")
     measured = measure(docs, text)
     measured = materialise(measured if carry_text else measured.drop(text))
-    hosts = host_verdicts(measured, host).select(F.col("host").alias("_host"), F.struct("rate", "rejected", "watched").alias("_verdict"))
+    hosts = host_verdicts(measured, host).select(F.col("host").alias(host_), F.struct("rate", "rejected", "watched").alias(verdict))
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = measured.join(F.broadcast(hosts) if few else hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    limit = F.when(F.col("_verdict.watched"), 1).otherwise(2)
-    kept = ~F.col("quality.base_failed") & ~F.col("_verdict.rejected") & (F.col("quality.soft") < limit)
-    return joined.withColumn("quality", F.col("quality").withField("host_rate", F.col("_verdict.rate")).withField("kept", kept)).drop("_host", "_verdict")
+    joined = measured.join(F.broadcast(hosts) if few else hosts, F.col(host).eqNullSafe(F.col(host_)), "left")
+    found = F.col(verdict)
+    limit = F.when(found["watched"], 1).otherwise(2)
+    kept = ~F.col("quality.base_failed") & ~found["rejected"] & (F.col("quality.soft") < limit)
+    return joined.withColumn("quality", F.col("quality").withField("host_rate", found["rate"]).withField("kept", kept)).drop(host_, verdict)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

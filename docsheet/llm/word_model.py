@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import having_ids, map_arrow, materialise, note, scratch, shared_folder
+from .common import having_ids, map_arrow, materialise, note, scratch, set_aside, shared_folder
 from .neardup import _MIX, _spread, _WordHashes
 
 #: One of so many trusted documents is held out for the thresholds.
@@ -228,14 +228,14 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, least_trus
     Trusted are documents that ``labels`` (doc_id, quality) marks 1. A document is kept if its perplexity is at most
     the ``quantile`` of the held-out trusted documents of its language.
     """
-    docs = docs.drop("quality_model")
+    docs, back = set_aside(docs.drop("quality_model"), "_row", "_text", "_n", "_logp", "_ppl", "_lang", "_limit")
     with _tidy(docs.sparkSession), scratch(docs.sparkSession):
         trusted = materialise(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct())
         held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
         model = train(having_ids(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), materialise(trusted.where(~held_out))))
         scored = materialise(score(docs, model, id_col, text).withColumn("_ppl", F.when(F.col("_n") > 0, F.exp(-F.col("_logp") / F.col("_n")))), kept=True)
         held_out_ids = materialise(trusted.where(held_out), kept=True)
-    return verdicts(scored, held_out_ids, "n_words", quantile, least_trusted, id_col, lang)
+    return back(verdicts(scored, held_out_ids, "n_words", quantile, least_trusted, id_col, lang))
 
 
 def verdicts(scored: DataFrame, trusted: DataFrame, unit: str, quantile: float, least_trusted: int, id_col: str, lang: str) -> DataFrame:

@@ -177,3 +177,40 @@ def test_scopes_of_two_threads(spark):
         thread.join()
         said.append(mine.count())
     assert said == [5]
+
+
+def _with(spark, *names):
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    return rows.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+
+
+def _kept(out, names):
+    return all(r[n] == f"{n}:{r['doc_id']}" for r in out.collect() for n in names)
+
+
+def test_columns_of_our_own_names_pass_through(spark):
+    from docsheet.llm import decontam, neardup, quality_rules, word_model
+
+    names = ["_id", "_hash", "_ROW"]
+    assert _kept(neardup.deduplicate(_with(spark, *names)), names)
+    names = ["_host", "_verdict", "_Host_"]
+    assert _kept(quality_rules.judge(_with(spark, *names)), names)
+    names = ["_n", "_row", "_lang", "_limit"]
+    assert _kept(word_model.judge(_with(spark, *names), spark.read.parquet(f"{DIR}/labels.parquet")), names)
+    names = ["_row", "_spans", "_items"]
+    shard, decontam.SHARD_WORDS = decontam.SHARD_WORDS, 200
+    try:
+        assert _kept(decontam.mark(_with(spark, *names), spark.read.parquet(f"{DIR}/benchmark.parquet")), names)
+    finally:
+        decontam.SHARD_WORDS = shard
+
+
+def test_pipeline_leaves_its_result_alone(spark):
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    folder = Path(common.shared_folder(spark).removeprefix("file:")) / "tables"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    corpus_pipeline.run(spark, DIR).count()
+    assert len(set(folder.iterdir()) - before) == 1
