@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, having_ids, map_arrow, materialise, scratch
+from .common import BROADCAST_IDS, having_ids, map_arrow, materialise, scratch, unused
 
 #: Values of a signature, two-bit values of a wide one, and the chance that a pair at the wanted similarity differs in more values than looked for.
 VALUES, WIDE, CHANCE = 64, 1024, 3e-5
@@ -307,13 +307,16 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
 
 
-def _merged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the components that those of ``pairs`` (a, b, ca, cb) join whose full sets are similar enough."""
+def _merged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of the components that those of ``pairs`` (a, b, ca, cb) join whose full sets are similar enough; null without any."""
     pairs = materialise(pairs.distinct())
+    if pairs.isEmpty():
+        return None
     own = having_ids(sets, materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("id")))
     full = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("ca", "cb", "x", "y")
     links = map_arrow(full, _confirm(percent), "ca long, cb long")
-    return materialise(components(materialise(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())))
+    links = materialise(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    return None if links.isEmpty() else materialise(components(links))
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,10 +363,17 @@ def _placed(made: DataFrame, docs: DataFrame, percent: int, id_col: str, text_co
         mixed = materialise(_with_heads(rows.where("key = own") if how == "largest" else rows, how if isinstance(how, int) else None))
         near = mixed.where("c <> head.hc").where(_close(str, "head.h_{}".format, percent))
         pairs = near.select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"), F.when(F.col("id") < F.col("head.h"), F.col("c")).otherwise(F.col("head.hc")).alias("ca"), F.when(F.col("id") < F.col("head.h"), F.col("head.hc")).otherwise(F.col("c")).alias("cb"))
-        labels.append(_merged(pairs, sets, percent))
-        rows = _relabelled(rows if how == "largest" else mixed.drop("head"), labels[-1])
+        found = _merged(pairs, sets, percent)
+        if found is None:
+            if how in (2, 3):  # another draw found nothing: what is left goes to the exact filter
+                break
+            continue
+        labels.append(found)
+        rows = _relabelled(rows if how == "largest" else mixed.drop("head"), found)
     rest = materialise(_with_heads(rows).select("id", "c", "n_shingles", *PLANES).distinct())
-    labels.append(_merged(_prefix_pairs(rest, sets, percent), sets, percent))
+    found = _merged(_prefix_pairs(rest, sets, percent), sets, percent)
+    if found is not None:
+        labels.append(found)
 
     placed = nodes.select("hi", "lo", "n_shingles", "first_doc", F.col("id").alias("c"))
     for step in labels:
@@ -391,14 +401,15 @@ def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     stays = first.withColumn("best", F.min("text_hash").over(W.partitionBy("component_id"))).where("text_hash = best")
     stays = materialise(stays.select("doc_id", "text_hash", "copies"))
     gone = materialise(rows.select("doc_id", "text_hash").distinct().join(stays, ["doc_id", "text_hash"], "left_anti"))
-    own = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
+    key = unused(docs, "_id", "_hash")
+    own = docs.withColumn(key[0], F.col(id_col).cast("long")).withColumn(key[1], F.xxhash64(text_col))
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = gone.toDF("_id", "_hash")
-    left = own.join(F.broadcast(gone) if few else gone, ["_id", "_hash"], "left_anti")
-    repeated = stays.where("copies > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = gone.toDF(*key)
+    left = own.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    repeated = stays.where("copies > 1").select("doc_id", "text_hash").toDF(*key)
     if not repeated.isEmpty():
-        once = left.join(repeated, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-        left = left.join(repeated, ["_id", "_hash"], "left_anti").unionByName(once)
+        once = left.join(repeated, key, "left_semi").dropDuplicates(key)
+        left = left.join(repeated, key, "left_anti").unionByName(once)
     return left.select(docs.columns)
 
 
