@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsheet.llm import decontam, neardup, packing, quality_rules, secret_scan
-from docsheet.llm.common import materialise, scratch
+from docsheet.llm.common import delete_table, materialise, scratch, set_aside
 
 #: A document more than half of whose words are test items goes; below that the passages are cut out.
 MAX_COVERAGE = 0.5
@@ -23,12 +23,10 @@ MAX_COVERAGE = 0.5
 SIMILAR, SHINGLE_WORDS = 80, 5
 
 
-def _aside(docs: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with any column called ``name`` renamed, and what selects the columns as they were."""
-    if name not in docs.columns:
-        return docs, lambda df: df.select(docs.columns)
-    columns = [F.col(f"_own_{c}").alias(c) if c == name else F.col(c) for c in docs.columns]
-    return docs.withColumnRenamed(name, f"_own_{name}"), lambda df: df.select(columns)
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with any columns called like one of ``names`` renamed, and what selects the columns as they were."""
+    own, back = set_aside(docs, *names)
+    return own, lambda df: back(df.select(own.columns))
 
 
 def _rewritten(changed: Column) -> Column:
@@ -48,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of test items are cut out; documents over ``MAX_COVERAGE`` go."""
-    own, back = _aside(docs, "contamination")
+    own, back = _aside(docs, "contamination", "_hit")
     marked = decontam.mark(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     cut = decontam.remove(marked.withColumn("_hit", F.col("contamination.n_hit") > 0), MAX_COVERAGE)
     return back(cut.withColumn("n_chars", _rewritten(F.col("_hit"))))
@@ -56,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
-    own, back = _aside(docs, "secret_spans")
+    own, back = _aside(docs, "secret_spans", "_hit")
     scanned = secret_scan.scan(own, secret_scan.default_model(spark))
     clean = secret_scan.redact(scanned.withColumn("_hit", F.size("secret_spans") > 0))
     return back(clean.withColumn("n_chars", _rewritten(F.col("_hit"))))
@@ -75,8 +73,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; each writes Parquet that the next one reads."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         with scratch(spark):  # what a stage wrote on its way goes with it
             docs = materialise(stage(spark, docs, sf_dir), kept=True)
+        if before is not None:
+            delete_table(before)
+        before = docs
     return docs
