@@ -58,7 +58,8 @@ class DocumentWriter(DataSourceWriter):
                 raise ValueError("a document has no name")
             names.append(file_name(row["name"], self.ending))
             with store.open_output_stream(f"{folder}/{names[-1]}") as out:
-                out.write((row["body"] or "").encode(self.encoding, "xmlcharrefreplace" if "html" in self.ending else "replace"))
+                body = row["body"] or ""
+                out.write(body.encode(self.encoding, "xmlcharrefreplace" if "html" in self.ending else "replace") if isinstance(body, str) else bytes(body))
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -92,7 +93,7 @@ class DocumentWriter(DataSourceWriter):
 
 
 class Documents(DataSource):
-    """Takes rows of ``name`` and ``body``; options are path, ending and encoding."""
+    """Takes rows of ``name`` and ``body`` (text or bytes); options are path, ending and encoding."""
 
     @classmethod
     def name(cls) -> str:
