@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,6 +91,21 @@ def fallback(rows: DataFrame, levels: list[tuple[DataFrame, str]], default: Colu
     return rows.withColumn(value, F.coalesce(*found, default)).drop(*found)
 
 
+def style_by_number(rows: DataFrame, styles: DataFrame, by: list[str], number: str, fields: list[str]) -> DataFrame:
+    """``rows`` with the ``fields`` of the style of their ``number``, else those of number 0 of the same document. A style table has one row for each document and number; null keys are equal."""
+    own = styles.select(*[F.col(b).alias(f"_{b}") for b in by], F.col(number).alias("_number"), F.struct(*fields).alias("_style"))
+    same = lambda side: reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"{side}.{f'_{b}'}")) for b in by], F.lit(True))
+    met = rows.join(own.alias("own"), same("own") & (F.col(number) == F.col("own._number")), "left").join(own.where("_number = 0").alias("normal"), same("normal"), "left")
+    return met.select(*[rows[c] for c in rows.columns if c not in fields], *[F.coalesce(F.col(f"own._style.{f}"), F.col(f"normal._style.{f}")).alias(f) for f in fields])
+
+
+def style_by_name(rows: DataFrame, styles: DataFrame, by: list[str], name: str, number: str, order: str) -> DataFrame:
+    """``rows`` with the ``number`` of the first style (by ``order``) of their ``name`` in the same document; null if there is none."""
+    first = styles.groupBy(*by, name).agg(F.min_by(number, order).alias("_found")).select(*[F.col(c).alias(f"_{c}") for c in (*by, name)], "_found")
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.col(name) == F.col(f"_{name}"))
+    return rows.join(first, same, "left").select(*[c for c in rows.columns if c != number], F.col("_found").alias(number))
+
+
 def style_numbers(names: list[str]) -> list[tuple[int, str]]:
     """(number, name): 0 for the normal style, then 255, 254 and on in order."""
     return [(0, "Normal"), *((255 - k, n) for k, n in enumerate(names))]

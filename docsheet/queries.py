@@ -611,3 +611,4 @@ def _(t):
 
 from . import more_queries as _more  # noqa: E402, F401  registers its queries here
 from . import sheet_queries as _sheets  # noqa: E402, F401
+from . import document_queries as _documents  # noqa: E402, F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,13 @@ def _joined(paras: DataFrame, by: list[str], order: str, rendered: Column) -> Da
     return paras.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("body"))
 
 
+def with_regions(body: DataFrame, by: list[str], order: str, header: DataFrame | None = None, footer: DataFrame | None = None) -> DataFrame:
+    """Paragraphs of a document's header, body and footer as one ordered set for any writer: ``order`` becomes (region, order)."""
+    regions = [(k, df) for k, df in enumerate((header, body, footer)) if df is not None]
+    placed = [df.withColumn(order, F.struct(F.lit(k).alias("region"), F.col(order).alias("at"))) for k, df in regions]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+
+
 def to_text(paras: DataFrame, by: list[str], order: str, para: str = "para", bullet: Column | None = None) -> DataFrame:
     """(by, body): each paragraph and a line feed; a bullet and three spaces before it where ``bullet`` isn't null."""
     mark = F.concat(bullet, F.lit("   ")) if bullet is not None else F.lit(None)
