@@ -9,6 +9,10 @@ Archives are plain text files for Spark, split at record breaks (the end of one
 counts is the stated length: where a payload holds a break itself, the reader walks through the blocks of that file in
 order and gives the record's parts as chunks. Versions 1.0 and 1.1 are read, compressed by file as Spark does it. Paths may be in any store that Spark reaches.
 
+That reader holds a record that its writer didn't segment as one line. Archives of others, whose records may be of any size, go through
+``read_ranges``: a first pass walks from header to header by the stated lengths, without reading payloads; the payloads then become (record,
+chunk) rows by byte ranges, dealt to the tasks chunk by chunk, so that no task holds more than a chunk of any record. It reads uncompressed files in stores that pyarrow opens.
+
 A null payload is empty, a null url an empty one. Repeated rows are records of their own (of equal payloads, the
 largest id and then the last row is the response). Only the id, url and payload columns are read. An empty table gives an empty table.
 """
@@ -30,6 +34,8 @@ VERSION, END = "WARC/1.0\r\n", "\r\n\r\n"
 BREAK = END + "WARC/1."
 #: Bytes of a chunk.
 CHUNK = 1 << 20
+#: Bytes of a header at most, for archives read by ranges.
+MOST_HEADER = 1 << 20
 #: Revisits up to this number (some 120 bytes each) are broadcast, so payloads stay where they are; beyond it the join shuffles.
 BROADCAST_REVISITS = 200_000
 CHUNKS = "record long, page_id long, url string, chunk_no long, last boolean, payload binary, bytes long, total_bytes long, digest string"
@@ -178,6 +184,96 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
 
+def _opened(uri: str):
+    """A file by the address that Spark gives it."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return store.open_input_file(path)
+
+
+def _record_at(file, at: int, end: int, step: int = 1 << 16) -> tuple[int, str, int] | None:
+    """(start, header, first byte of the payload) of the first record at or after ``at``; null if there is none. What is between records is passed over."""
+    start, held = None, b""
+    while at < end or held:
+        if at < end:
+            file.seek(at)
+            more = file.read(min(step, end - at))
+            at += len(more)
+            held += more
+        if start is None:
+            found = held.find(VERSION[:7].encode())
+            if found < 0:
+                held = held[-6:] if at < end else b""
+                continue
+            held, start = held[found:], at - len(held) + found
+        stop = held.find(END.encode())
+        if stop >= 0:
+            return start, held[:stop].decode("utf-8", "replace"), start + stop + len(END)
+        if at >= end or len(held) > MOST_HEADER:  # no header after all: on behind the mark
+            at, start, held = start + len(VERSION[:7]), None, b""
+    return None
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, head, at, size, complete) of every record of the files: headers are read, payloads passed over."""
+    for batch in batches:
+        for uri, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, at = [], 0
+            with _opened(uri) as file:
+                while (found := _record_at(file, at, end)) is not None:
+                    _, head, first = found
+                    size = next((int(x.split(":", 1)[1]) for x in head.splitlines() if x.lower().startswith("content-length:") and x.split(":", 1)[1].strip().isdigit()), 0)
+                    rows.append((uri, head, first, min(size, end - first), first + size <= end))
+                    at = first + size
+                    if len(rows) >= 1000:
+                        yield _index_rows(rows)
+                        rows = []
+            if rows:
+                yield _index_rows(rows)
+
+
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "head", "at", "size", "complete"])
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the payload of each row (file, start, length and others): one chunk at a time."""
+    uri, file = None, None
+    for batch in batches:
+        for k, (name, start, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "start", "length")), strict=True)):
+            if name != uri:
+                uri, file = name, _opened(name)
+            file.seek(start)
+            yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([file.read(length)], pa.binary())], [*batch.schema.names, "payload"])
+
+
+def read_ranges(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """The chunk table of uncompressed archives under ``path``, as ``read_archives`` gives it, with no payload over ``size`` bytes.
+
+    A record cut off by the end of its file is there as far as it goes and not complete; text between records is passed over.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    parts = max(1, min(files.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    records = materialise(map_arrow(files.repartition(parts), _indexed, "file string, head string, at long, size long, complete boolean"), kept=True)
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1), F.lit(""))
+    number = F.coalesce(field("WARC-Segment-Number").try_cast("long"), F.lit(1)) - 1
+    named = records.select(
+        "file", "at", "size", F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID")).alias("record_id"), number.alias("number"), field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers_to"),
+        (field("WARC-Segment-Number").isNotNull() | (F.col("size") > size)).alias("segmented"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("declared_digest"), field("X-Payload-Length").try_cast("long").alias("declared_bytes"), "complete",
+    ).where("record_id is not null")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("size") - 1) / size), F.lit(0))))
+    each = named.withColumn("part", pieces)
+    ranges = each.select(
+        "record_id", (F.col("number") * (1 << 32) + F.col("part")).alias("chunk_no"), "type", "url", "refers_to", "segmented", "declared_digest", "declared_bytes", "complete",
+        "file", (F.col("at") + F.col("part") * size).alias("start"), F.least(F.lit(size).cast("long"), F.col("size") - F.col("part") * size).alias("length"),
+    )
+    dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("file", "start")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", payload binary"
+    return map_arrow(dealt, _ranged, schema).select("record_id", "chunk_no", "type", "url", "refers_to", "segmented", "declared_digest", "declared_bytes", "payload", "complete")
+
+
 def digests(table: DataFrame) -> DataFrame:
     """(record_id, type, url, refers_to, n_chunks, payload_bytes, payload_digest, intact): a record per group of chunks.
 

@@ -214,3 +214,31 @@ def test_pipeline_leaves_its_result_alone(spark):
     before = set(folder.iterdir()) if folder.exists() else set()
     corpus_pipeline.run(spark, DIR).count()
     assert len(set(folder.iterdir()) - before) == 1
+
+
+def test_foreign_archives_by_ranges(spark, tmp_path):
+    """A record of 64 MB, payloads that hold breaks and headers, text between records, a record that is cut off."""
+    from docsheet.llm import warc
+
+    record = lambda k, x, more=b"": b"WARC/1.0\r\nwarc-type: resource\r\nWARC-Record-ID: <r%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, more, len(x), x)
+    big = bytes(range(256)) * (64 << 12)
+    inner = record(99, b"inside")
+    bodies = {1: b"", 2: inner + inner, 3: b"x\r\n\r\nWARC/1.0 no header", 4: b"a" * 5000, 5: big, 6: b"last"}
+    sha = hashlib.sha1(bodies[4]).hexdigest().encode()
+    (tmp_path / "a.warc").write_bytes(b"junk\r\n" + b"".join(record(k, x, b"WARC-Payload-Digest: sha1:%s\r\n" % sha if k == 4 else b"") + b"\r\n" * (k % 2) for k, x in bodies.items()))
+    (tmp_path / "b.warc").write_bytes(record(20, b"fine") + record(21, b"q" * 9000)[:5000])
+    table = warc.read_ranges(spark, str(tmp_path))
+    assert table.agg(F.max(F.length("payload"))).first()[0] == warc.CHUNK and table.where("record_id = '<r5>'").count() == 64
+    got = {r["record_id"]: (r["payload_bytes"], r["payload_digest"], r["intact"]) for r in warc.digests(table).collect()}
+    want = {f"<r{k}>": (len(x), hashlib.sha1(x).hexdigest(), True) for k, x in {**bodies, 20: b"fine"}.items()}
+    assert {k: v for k, v in got.items() if k != "<r21>"} == want and got["<r21>"][2] is False
+    assert warc.digests(warc.read_ranges(spark, str(tmp_path), 700)).where("record_id = '<r2>'").first()["payload_digest"] == want["<r2>"][1]
+
+
+def test_own_archives_by_ranges(spark, tmp_path):
+    from docsheet.llm import warc
+
+    table = spark.createDataFrame([(1, "http://a/", "x" * 3000), (2, "http://b/", "x" * 3000), (3, None, None), (4, "u", "é" * 2000)], "page_id long, url string, html string")
+    warc.write_archives(table, str(tmp_path / "w"), size=700)
+    rows = lambda t: sorted((r["record_id"], r["type"], r["payload_bytes"], r["payload_digest"], r["intact"]) for r in warc.digests(t).collect())
+    assert rows(warc.read_ranges(spark, str(tmp_path / "w"))) == rows(warc.read_archives(spark, str(tmp_path / "w")))
