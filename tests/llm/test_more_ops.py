@@ -47,7 +47,7 @@ def test_url_model_on_urls_kept_out():
 
     def right(table):
         value = lambda h, p: weights[-1] + sum(weights[g] for g in url_filter._grams(h, p)) / math.sqrt(len(url_filter._grams(h, p)))
-        found = Counter((bad, value(h, p) > math.log(0.6 / 0.4)) for h, p, bad in table)
+        found = Counter((bad, value(h, p) > math.log(url_filter.THRESHOLD / (1 - url_filter.THRESHOLD))) for h, p, bad in table)
         return found[1, True] / (found[1, True] + found[1, False]), found[0, False] / (found[0, False] + found[0, True])
 
     seen = {h for h, _, _ in url_filter.labelled()}
@@ -56,7 +56,7 @@ def test_url_model_on_urls_kept_out():
     weights = url_filter.train(url_filter.labelled(unwanted=url_filter.UNWANTED[half], wanted=url_filter.WANTED[half]))
     strange = right(url_filter.labelled(2000, first=10_000, unwanted=url_filter.UNWANTED[1::2], wanted=url_filter.WANTED[1::2]))
     print("unwanted found and others allowed:", fresh, "of words kept out:", strange)
-    assert fresh[0] > 0.75 and fresh[1] > 0.98 and strange[1] > 0.9
+    assert fresh[0] > 0.85 and fresh[1] >= 0.99 and strange[0] >= 0.5 and strange[1] >= 0.99
 
 
 CHATS = {
