@@ -45,7 +45,7 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def cell_places(cells: DataFrame, rows: tuple[DataFrame, DataFrame, DataFrame], columns: tuple[DataFrame, DataFrame, DataFrame], by: list[str], scale: Column | float = 1.0) -> DataFrame:
     """``cells`` (by, row, column and others) with x, y, width and height (times ``scale``: points to pixels), page_row and page_column, and page: pages are counted down and then across, by those that cells lie on.
 
-    ``rows`` and ``columns`` are each (sizes, defaults, breaks), as in ``line_places``.
+    ``rows`` and ``columns`` are each (sizes, defaults, breaks), as in ``line_places``. Columns called like one of the results are replaced.
     """
     down = line_places(cells, *rows, by, "row").withColumnsRenamed({"at": "y", "size": "height", "page": "page_row"})
     across = line_places(cells, *columns, by, "column").withColumnsRenamed({"at": "x", "size": "width", "page": "page_column"})

@@ -169,14 +169,14 @@ def from_tail(cells: DataFrame, formulas: DataFrame, by: list[str], number: str,
 
 
 def fold_codes(rows: DataFrame, by: list[str], order: list[str], base: dict[int, Column], append: tuple[int, ...] = ()) -> DataFrame:
-    """One row per group with a column ``c<code>`` for each code of ``base``: the value of the last of its rows (code, value) in ``order``, else that of ``base``; codes of ``append`` gather their values in order behind those of ``base`` (arrays)."""
+    """One row per group with a column ``c<code>`` for each code of ``base``: the value of the last of its rows (code, value) in ``order``, null if that is null, and that of ``base`` without any row; codes of ``append`` gather their values in order behind those of ``base`` (arrays)."""
     place = F.struct(*order)
     found = [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("code") == c, F.struct(place.alias("o"), F.col("value").alias("v"))))), lambda x: x["v"]).alias(f"c{c}") if c in append else F.max_by("value", F.when(F.col("code") == c, place)).alias(f"c{c}")
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("code") == c, F.struct(place.alias("o"), F.col("value").alias("v"))))), lambda x: x["v"]).alias(f"c{c}") if c in append else F.max_by(F.struct("value"), F.when(F.col("code") == c, place)).alias(f"c{c}")
         for c in base
     ]
     folded = rows.groupBy(*by).agg(*found)
-    return folded.select(*by, *[(F.concat(v, F.col(f"c{c}")) if c in append else F.coalesce(f"c{c}", v)).alias(f"c{c}") for c, v in base.items()])
+    return folded.select(*by, *[(F.concat(v, F.col(f"c{c}")) if c in append else F.when(F.col(f"c{c}").isNull(), v).otherwise(F.col(f"c{c}.value"))).alias(f"c{c}") for c, v in base.items()])
 
 
 def code_deltas(folded: DataFrame, by: list[str], base: dict[int, Column]) -> DataFrame:
