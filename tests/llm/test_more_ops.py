@@ -269,7 +269,7 @@ def test_pipeline(spark, tmp_path):
         assert now.columns == docs.columns, name
     left = {r.doc_id: r.text for r in now.collect()}
     fair = {k: t for k, t, *_ in rows if t and len(t.split()) >= 50}
-    group = components({k: shingle_set(t) for k, t in fair.items()}, 85)
+    group = components({k: shingle_set(t, P.SHINGLE_WORDS) for k, t in fair.items()}, P.SIMILAR)
     kept = {k: t for k, t in fair.items() if group[k] == k}
     assert 41 not in left  # more than half of it is a test item
     kept.pop(41, None)

@@ -134,9 +134,9 @@ def test_best_fit_is_the_tightest():
             room.append(want - lengths[k])
 
 
-def shingle_set(text):
+def shingle_set(text, width=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
 def components(sets: dict, percent: int) -> dict:
