@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, clustering, decontam, neardup, quality_rules, spelling, url_filter, warc
+from pyspark.sql import SparkSession
+
+from . import chat_format, clustering, decontam, neardup, quality_rules, secret_scan, spelling, url_filter, warc
 from .chat_format import op5_chat_format
 from .clustering import op11_centroid_clustering
 from .decontam import op6_decontamination
@@ -24,5 +26,7 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for those queries that SQL can express; tests hold the others (op1, op2, op8, op9, op13) against brute force."""
-    return {"op3_minhash_neardup": neardup.SQL, "op4_url_filter": url_filter.sql(), "op5_chat_format": chat_format.SQL, "op6_decontamination": decontam.SQL, "op7_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_centroid_clustering": clustering.sql(), "op12_spelling_variants": spelling.SQL}
+    """DuckDB SQL for those queries that SQL can express; tests hold the others (op2, op8, op9, op13) against brute force. That of op1 has its trained model in it, and Spark trains that: it is there while a session is active."""
+    spark = SparkSession.getActiveSession()
+    own = {"op1_secret_scan": secret_scan.sql(secret_scan.default_model(spark))} if spark else {}
+    return own | {"op3_minhash_neardup": neardup.SQL, "op4_url_filter": url_filter.sql(), "op5_chat_format": chat_format.SQL, "op6_decontamination": decontam.SQL, "op7_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_centroid_clustering": clustering.sql(), "op12_spelling_variants": spelling.SQL}

@@ -186,3 +186,26 @@ def digest(scanned: DataFrame) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(scan(docs, default_model(spark)))
+
+
+def sql(ratios: list[float], threshold: float = 0.3) -> str:
+    """The query in DuckDB SQL, the trained ratios as a literal list."""
+    table = "[" + ", ".join(map(repr, ratios)) + "]::DOUBLE[]"
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+
+    def spans(rank: int, pattern: str, quick: str, passes: str) -> str:
+        """Leftmost matches with their places: what lies between them and they themselves, summed up."""
+        return f"""SELECT r, {rank} AS k, a AS s, a + length(m) AS e, m FROM (SELECT r, m, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+        FROM (SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(g[1 : len(m)]) AS g FROM (SELECT r, regexp_extract_all(t, {quoted(pattern)}) AS m, string_split_regex(t, {quoted(pattern)}) AS g FROM d WHERE regexp_matches(t, {quoted(quick)})) WHERE len(m) > 0) WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE {passes}"""
+
+    score = "list_sum(list_transform(range(1, length(m)), lambda i: w[128 * unicode(m[i]) + unicode(m[i + 1]) + 1])) / (length(m) - 1)"
+    base = [spans(0, ASSIGN, ASSIGN, f"length(regexp_extract(m, {quoted(ASSIGN)}, 1)) >= 6"), spans(1, ACCESS, "AKIA", "length(m) >= 20"), spans(2, HEX, "[0-9a-f]{24}", "length(m) >= 24")]
+    shown = "string_agg(CASE k " + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(KINDS)) + " END || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), ratios AS (SELECT {table} AS w),
+    base AS MATERIALIZED ({" UNION ALL ".join(base)}),
+    runs AS ({spans(3, CANDIDATE, CANDIDATE, "true")}),
+    likely AS (SELECT r, k, s, e, m FROM runs, ratios WHERE {score} > {threshold}),
+    every AS (SELECT r, k, s, e FROM base UNION ALL SELECT r, k, s, e FROM likely l WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = l.r AND b.s < l.e AND l.s < b.e)),
+    summed AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, {shown} FILTER (WHERE k < 3) AS b, {shown} AS a FROM every GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN summed USING (r)"""
