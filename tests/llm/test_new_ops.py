@@ -260,3 +260,58 @@ def test_secrets_equal_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
     assert Counter(map(tuple, got)) == Counter(want) and any("markov" in r[5] for r in want)
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    """The query's scores from characters on: words, windows, subsequences as a dictionary, the machine, the curve; only the fitted numbers are the operator's."""
+    from docsheet.llm import toxicity as T
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = T.train(T.labelled_rows(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    assert model["slope"].any()
+    odd = [None, "", "a b c d", "f.o.o b4r x", "naïve ÉÉ", "w" * 40, "no2689de @$t", " \t\r\n"]
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(50).collect()] + [(10**6 + k, t) for k, t in enumerate(odd)]
+    got = {r["doc_id"]: r["score"] for r in T.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+
+    def words(text):
+        out = [[]]
+        for byte in (text or "").encode():
+            c = chr(byte)
+            if c in " \t\n\x0b\x0c\r":
+                out.append([])
+            elif byte >= 128:
+                out[-1].append(27 + byte % 4)
+            elif c.isalpha():
+                out[-1].append(ord(c.lower()) - 96)
+            elif c in "013457@$":
+                out[-1].append(ord("oieastas"["013457@$".index(c)]) - 96)
+        joined = []
+        for w in filter(None, out):
+            if len(w) == 1 and joined and joined[-1][1]:
+                joined[-1][0].extend(w)
+            else:
+                joined.append((list(w), len(w) == 1))
+        return [w for w, _ in joined]
+
+    def decision(word):
+        marked, best = [31, *word, 31], -9.0
+        starts = [0] if len(marked) <= 14 else range(0, len(marked) - 12, 2)
+        for at in starts:
+            window, features = marked[at : at + 14], Counter()
+            for i in range(len(window)):
+                for j in range(i + 1, len(window)):
+                    for k in range(j + 1, min(len(window), i + 5)):
+                        features[window[i], window[j], window[k]] += 0.7 ** (k - i + 1)
+            size = math.sqrt(sum(v * v for v in features.values())) or 1.0
+            best = max(best, sum(v / size * float(model["weights"][a << 10 | b << 5 | c]) for (a, b, c), v in features.items()) + model["bias"])
+        return min(1.0, max(-1.0, best))
+
+    known: dict = {}
+    for doc, text in rows:
+        values = [known[key] if (key := tuple(w)) in known else known.setdefault(key, decision(w)) for w in words(text)]
+        top = sorted([-1.0] * 3 + values)[-3:]
+        over = [sum(v > level for v in values) for level in (0.0, 0.4, 0.8)]
+        seen = [*top, *(math.log1p(n) for n in over), *(math.log1p(1000 * n / max(1, len(values))) for n in over[1:]), math.log1p(len(values))]
+        z = sum(a * b for a, b in zip(seen, model["slope"])) + model["offset"]
+        assert got[doc] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3), (doc, (text or "")[:40])
