@@ -1,7 +1,7 @@
 """A sink that writes one file for each document and commits them as a whole.
 
 Each attempt of a task writes to a folder of its own under ``_temporary``; only when every task is done are the files of the attempts that count
-moved to their places, and ``_SUCCESS`` is written last. Whatever fails before, a task, the job or the driver, leaves no document; an
+moved to their places, one after the other, and ``_SUCCESS`` is written last: a folder without it is one whose commit was cut short. Whatever fails before, a task, the job or the driver, leaves no document; an
 abort removes the folder, and the next write removes one that a lost driver left. ``documents(...)`` makes the rows with a writer of the
 registry in ``sinks``; ``save`` writes them.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -68,7 +69,7 @@ class DocumentWriter(DataSourceWriter):
         store, root = self.filesystem()
         done = [m for m in messages if m is not None]
         every = [n for m in done for n in m.names]
-        twice = sorted({n for n in every if every.count(n) > 1}) if len(set(every)) < len(every) else []
+        twice = sorted(n for n, k in Counter(every).items() if k > 1)
         there = {i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and not i.base_name.startswith("_")}
         clash = twice or ([] if self.overwrite else sorted(there & set(every)))
         if clash:
