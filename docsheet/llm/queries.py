@@ -28,5 +28,6 @@ QUERIES = {
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express; tests hold the others (op2, op8, op9, op13) against brute force. That of op1 has its trained model in it, and Spark trains that: it is there while a session is active."""
     spark = SparkSession.getActiveSession()
-    own = {"op1_secret_scan": secret_scan.sql(secret_scan.default_model(spark))} if spark else {}
+    running = spark is not None and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped()
+    own = {"op1_secret_scan": secret_scan.sql(secret_scan.default_model(spark))} if running else {}
     return own | {"op3_minhash_neardup": neardup.SQL, "op4_url_filter": url_filter.sql(), "op5_chat_format": chat_format.SQL, "op6_decontamination": decontam.SQL, "op7_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_centroid_clustering": clustering.sql(), "op12_spelling_variants": spelling.SQL}
