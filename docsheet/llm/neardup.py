@@ -364,12 +364,12 @@ def _placed(made: DataFrame, docs: DataFrame, percent: int, id_col: str, text_co
         near = mixed.where("c <> head.hc").where(_close(str, "head.h_{}".format, percent))
         pairs = near.select(F.least("id", "head.h").alias("a"), F.greatest("id", "head.h").alias("b"), F.when(F.col("id") < F.col("head.h"), F.col("c")).otherwise(F.col("head.hc")).alias("ca"), F.when(F.col("id") < F.col("head.h"), F.col("head.hc")).otherwise(F.col("c")).alias("cb"))
         found = _merged(pairs, sets, percent)
-        if found is None:
-            if how in (2, 3):  # another draw found nothing: what is left goes to the exact filter
-                break
-            continue
-        labels.append(found)
-        rows = _relabelled(rows if how == "largest" else mixed.drop("head"), found)
+        rows = rows if how == "largest" else mixed.drop("head")
+        if found is not None:
+            labels.append(found)
+            rows = _relabelled(rows, found)
+        elif how in (2, 3):  # another draw found nothing: what is left goes to the exact filter
+            break
     rest = materialise(_with_heads(rows).select("id", "c", "n_shingles", *PLANES).distinct())
     found = _merged(_prefix_pairs(rest, sets, percent), sets, percent)
     if found is not None:
