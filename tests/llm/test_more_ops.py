@@ -143,6 +143,27 @@ def test_quality_classifier_scores_by_joins(spark, tmp_path, monkeypatch, hot):
     assert word_model.judge(docs, labels.limit(0)).where("quality_model.kept").count() == len(good) + 5
 
 
+def test_quality_classifier_asks_once_a_block(spark):
+    """Words and bigrams leave the tasks as one row for each block and shard, not one for each text that has them."""
+    texts = [(k, " ".join(f"w{chr(97 + (k * j) % 23)}" for j in range(1, 100))) for k in range(400)]
+    docs = spark.createDataFrame([*texts, (400, None), (401, " ")], "id long, text string").repartition(4)
+    asked = word_model.map_arrow(docs, word_model._asked(8, 2_000), word_model.ASKED).collect()
+    blocks = {}
+    for r in asked:
+        blocks.setdefault(r.block, []).append(r)
+    assert 16 <= len(blocks) <= 24 and all(sorted(r.part for r in rows) == list(range(-1, 8)) for rows in blocks.values())
+    assert len({r.shard for r in asked if r.part < 0}) > 4 and all(r.shard == r.part for r in asked if r.part >= 0)
+    seen = []
+    for rows in blocks.values():
+        rows.sort(key=lambda r: r.part)
+        p, w = word_model._unpacked(rows[0].pairs), word_model._unpacked(rows[0].words)
+        ids, lengths = word_model._unpacked(rows[0].texts).reshape(2, -1)
+        seen += zip(ids.tolist(), lengths.tolist())
+        pairs, words = (np.concatenate([word_model._unpacked(r[c], kind) for r in rows[1:]]) for c, kind in (("pairs", np.uint64), ("words", np.int64)))
+        assert len(p) == len(w) == lengths.sum() and len(set(pairs.tolist())) == len(pairs) == p.max() + 1 and len(set(words.tolist())) == len(words) <= 24
+    assert sorted(seen) == [(k, 99) for k in range(400)]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     syllables = ["the", "on", "er", "ti", "sh", "ea", "ou", "and", "re", "ly"]
