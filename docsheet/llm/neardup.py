@@ -75,7 +75,6 @@ SALTS = 8
 REMEMBERED_WORDS = 500_000
 FEATURES = "doc_id long, text_hash long, n_shingles long, hi long, lo long, p0 long, p1 long, p2 long, p3 long, signature binary"
 PLANES = ("p0", "p1", "p2", "p3")
-WIDE_PLANES = [f"{half}{k}" for half in "uv" for k in range(WIDE // 64)]
 
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 #: For the words of a shingle by place, and for texts of so many words that have no whole shingle.
@@ -181,7 +180,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two bits of each of many MinHash values, from (id, items)."""
+    """(id, wide) from (id, items): two bits of each of many MinHash values, all first bits before the second ones."""
     scale = np.random.default_rng(20240504).integers(1, 2**64, WIDE, dtype=np.uint64) | np.uint64(1)
     for batch in batches:
         rows = []
@@ -194,7 +193,8 @@ def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows.append(np.concatenate([np.packbits((least >> np.uint64(b) & np.uint64(1)).astype(np.uint8)).view(np.int64) for b in (63, 62)]))
         if rows:
             table = np.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(WIDE_PLANES)))], ["id", *WIDE_PLANES])
+            wide = pa.ListArray.from_arrays(np.arange(0, table.size + 1, table.shape[1], dtype=np.int32), table.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide], ["id", "wide"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +294,14 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token", "n")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = prefix.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(groups, ["token", "salt"]).withColumn("own", _block_of("n"))
-    wide = materialise(map_arrow(having_ids(sets, materialise(own.select("id").distinct())), _wide_signatures, "id long, " + ", ".join(f"{c} long" for c in WIDE_PLANES)))
+    wide = materialise(map_arrow(having_ids(sets, materialise(own.select("id").distinct())), _wide_signatures, "id long, wide array<long>"))
     tokens_of = own.groupBy("id").agg(F.collect_set("token").alias("tokens"))
     every = own.join(wide, "id").join(tokens_of, "id").select("*", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("n") - 1)).alias("other")).drop("n", "salt")
     x, y = every.alias("x"), every.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-    differ = F.lit(0)
-    for k in range(WIDE // 64):
-        u, v = (F.col(f"x.{half}{k}").bitwiseXOR(F.col(f"y.{half}{k}")) for half in "uv")
+    differ, half = F.lit(0), WIDE // 64
+    for k in range(half):  # read for pairs within reach only: one column, so that others cost no more than its place
+        u, v = (F.get("x.wide", F.lit(at)).bitwiseXOR(F.get("y.wide", F.lit(at))) for at in (k, half + k))
         differ = differ + F.bit_count(u.bitwiseOR(v))
     found = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.{}".format, "y.{}".format, percent) & (differ <= wide_distance(percent)) & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")))  # once, not for each shingle that they share
     return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,24 @@ def test_quality_rules(spark, docs):
     assert not next(r for r in rows if r.doc_id == 2100).quality.kept  # its host is rejected
     assert next(r for r in rows if r.doc_id == 2000).quality.host_rate > 0.8
     assert quality_rules.judge(docs.limit(0)).count() == 0
+
+
+def test_prefix_pairs_carry_wide_signatures_in_one_column(spark):
+    """Wide signatures are one column, read for pairs within reach only; every pair that is similar enough is found."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(12):  # three of a kind: like, at the threshold, unlike
+        base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: 300 - k], rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in (0, 15, 23, 120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "items"])
+    wide = next(iter(neardup._wide_signatures(iter([batch]))))
+    assert wide.schema.names == ["id", "wide"] and {len(x) for x in wide.column(1).to_pylist()} == {neardup.WIDE // 32}
+    planes = []
+    for k, x in enumerate(sets):
+        sig = neardup.signature(x)
+        planes.append((k, k, len(x), *(int(np.packbits(((sig >> b) & 1).astype(np.uint8)).view(np.int64)[0]) for b in range(4))))
+    rest = spark.createDataFrame(planes, "id long, c long, n_shingles long, p0 long, p1 long, p2 long, p3 long")
+    items = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "id long, items binary")
+    found = [(r.a, r.b) for r in neardup._prefix_pairs(rest, items, 85).collect()]
+    like = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(like) >= 24 and like <= set(found) and len(found) == len(set(found)) and all(i // 4 == j // 4 for i, j in found) and not any(j % 4 == 3 for _, j in found)
