@@ -354,8 +354,12 @@ def _(t):
 
 @query("uint_roundtrip", "SELECT o_orderkey, o_custkey % 256 AS u8, o_custkey % 65536 AS u16, o_orderkey * 1009 AS u32 FROM orders")
 def _(t):
-    code = F.concat(B.little(c("o_custkey") % 256, 1), B.little(c("o_custkey") % 65536, 2), B.little(c("o_orderkey") * 1009, 4))
-    return t("orders").select("o_orderkey", B.uint(code, 0, 1).alias("u8"), B.uint(code, 1, 2).alias("u16"), B.uint(code, 3, 4).alias("u32"))
+    """Integers of one, two and four bytes; those beyond 32 bits are two words, the low one first."""
+    whole = c("o_orderkey") * 1009
+    words = B.little(whole.bitwiseAND(0xFFFFFFFF), 4), B.little(F.shiftrightunsigned(whole, 32), 4)
+    code = F.concat(B.little(c("o_custkey") % 256, 1), B.little(c("o_custkey") % 65536, 2), *words)
+    u32 = F.shiftleft(B.uint(code, 7, 4), 32) + B.uint(code, 3, 4)
+    return t("orders").select("o_orderkey", B.uint(code, 0, 1).alias("u8"), B.uint(code, 1, 2).alias("u16"), u32.alias("u32"))
 
 
 @query("length_cm", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_partkey * 2.54::DOUBLE / 1440, 6) AS cm, round(l_partkey / 20.0::DOUBLE, 4) AS pt FROM lineitem")

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from docsheet import queries
 from docsheet.functions.binary import uint
 from docsheet.operators import buffers, nested, palettes
 from docsheet.sources import diagnostics as D
@@ -112,3 +113,11 @@ def test_checked_writes(spark, tmp_path):
     assert D.write_checked(rows, str(tmp_path / "c"), rules, 143)[("error", "no x")] == 143
     with pytest.raises(ValueError, match="no level"):
         D.write_checked(rows, str(tmp_path / "d"), [D.Rule("bad", "x", F.lit(True))])
+
+
+def test_integers_beyond_32_bits(spark, tmp_path):
+    """Keys whose multiple needs more than four bytes come back whole."""
+    rows = [(4256657, 70000), (4256658, 70000), (1 << 50, 5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in queries.QUERIES["uint_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {(k, cust % 256, cust % 65536, k * 1009) for k, cust in rows}
