@@ -192,23 +192,53 @@ def npv_at(rate: Column, flows: Column) -> Column:
     return F.aggregate(F.transform(flows, lambda x, i: x / F.pow(1 + rate, i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(values: list[Column], body) -> Column:
+    """``body`` of values that are computed once, however often it names them: nested formulas would grow with each level else."""
+    if not values:
+        return body()
+    row = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.get(F.transform(F.array(row), lambda x: body(*[x[f"v{k}"] for k in range(len(values))])), F.lit(0))
+
+
 def irr(flows: Column, guess: float | Column = 0.1, steps: int = 40) -> Column:
-    """Internal rate of return of an array (first flow now) by Newton steps folded over a sequence; where these don't converge, by halving between -0.99 and 10 if the value changes its sign there, else null."""
-    sums = lambda r, order: F.aggregate(F.transform(flows, lambda x, i: x * (1 if order == 0 else -i) * F.pow(1 + r, -(i + order))), F.lit(0.0), lambda a, x: a + x)
-    move = lambda r: F.greatest(F.lit(-0.99), r - F.coalesce(F.try_divide(sums(r, 0), sums(r, 1)), F.lit(0.0)))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _n(guess).cast("double"), lambda r, _: move(r))
-    scale = F.aggregate(F.transform(flows, lambda x: F.abs(x)), F.lit(1.0), lambda a, x: a + x)
-    low, high = F.lit(-0.99), F.lit(10.0)
-    rising = sums(low, 0) < sums(high, 0)
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = (acc["a"] + acc["b"]) / 2
-        above = (sums(middle, 0) > 0) == rising
-        return F.struct(F.when(above, acc["a"]).otherwise(middle).alias("a"), F.when(above, middle).otherwise(acc["b"]).alias("b"))
-
-    halved = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(low.alias("a"), high.alias("b")), halve, lambda acc: (acc["a"] + acc["b"]) / 2)
-    good = F.abs(npv_at(found, flows)) * (1 + found) <= scale * 1e-9
-    return F.when(good, found).when(F.signum(sums(low, 0)) * F.signum(sums(high, 0)) < 0, halved)
+    """Internal rate of return of an array (first flow now) by Newton steps until they no longer move; where these don't converge, by halving between -0.99 and 10 if the value changes its sign there, else null.
+
+    Values and slopes are folds over the flows from the last one (Horner), and what several of them read is computed once.
+    """
+    discount = lambda r: F.try_divide(F.lit(1.0), 1 + r)
+
+    def newton(back: Column, guess: Column) -> Column:
+        none = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d"))
+        value = lambda v: F.aggregate(back, none, lambda a, x: F.struct((a["p"] * v + x).alias("p"), (a["d"] * v + a["p"]).alias("d")))  # noqa: E731  and its slope in v
+
+        def move(acc: Column, _: Column) -> Column:
+            r = acc["r"]
+            to = lambda v: F.greatest(F.lit(-0.99), r + F.coalesce(bound([value(v)], lambda y: F.try_divide(y["p"], y["d"] * v * v)), F.lit(0.0)))
+            moved = bound([bound([discount(r)], to)], lambda x: F.struct(x.alias("r"), F.coalesce(F.abs(x - r) <= 1e-13, F.lit(False)).alias("still")))
+            return F.when(acc["still"], acc).otherwise(moved)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(guess.alias("r"), F.lit(False).alias("still")), move, lambda acc: acc["r"])
+
+    def halved(back: Column) -> Column:
+        value = lambda r: bound([discount(r)], lambda v: F.aggregate(back, F.lit(0.0), lambda a, x: a * v + x))
+        low, high = F.lit(-0.99), F.lit(10.0)
+
+        def between(at_low: Column, at_high: Column) -> Column:
+            def halve(acc: Column, _: Column) -> Column:
+                middle = (acc["a"] + acc["b"]) / 2
+                return bound([middle, (value(middle) > 0) == (at_low < at_high)], lambda m, above: F.struct(F.when(above, acc["a"]).otherwise(m).alias("a"), F.when(above, m).otherwise(acc["b"]).alias("b")))
+
+            found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(low.alias("a"), high.alias("b")), halve, lambda acc: (acc["a"] + acc["b"]) / 2)
+            return F.when(F.signum(at_low) * F.signum(at_high) < 0, found)
+
+        return bound([value(low), value(high)], between)
+
+    def rate(flows: Column, back: Column, guess: Column) -> Column:
+        scale = F.aggregate(flows, F.lit(1.0), lambda a, x: a + F.abs(x))
+        good = lambda found: F.abs(npv_at(found, flows)) * (1 + found) <= scale * 1e-9
+        return bound([newton(back, guess)], lambda found: F.when(good(found), found).otherwise(halved(back)))
+
+    return bound([flows], lambda f: bound([f, F.reverse(f), _n(guess).cast("double")], rate))
 
 
 # references

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import formula as X
+from ..functions.formula import bound
 from ..operators import sheet as S
 from ..sources.shared import delete_table, scratch, written, written_together
 from . import evaluate as E
@@ -205,14 +206,6 @@ class Template:
         return _address(F.lit(None), F.lit(None), F.lit(4))
 
 
-def bound(values: list[Column], body) -> Column:
-    """``body`` of values that are computed once, however often it names them: nested formulas would grow with each level else."""
-    if not values:
-        return body()
-    row = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
-    return F.get(F.transform(F.array(row), lambda x: body(*[x[f"v{k}"] for k in range(len(values))])), F.lit(0))
-
-
 def _result(cell: Column | None = None, step: Column | None = None, address: Column | None = None) -> Column:
     return F.struct((cell if cell is not None else F.lit(None).cast(CELL)).alias("cell"), (step if step is not None else F.lit(None)).cast("double").alias("step"), (address if address is not None else F.lit(None)).cast("struct<row:long,column:long,err:int>").alias("to"))
 

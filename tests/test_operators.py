@@ -152,3 +152,16 @@ def test_numbering_over_ranges(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 3).alias("b"))
     got = runs.numbered(rows, ["b", "a"], "no").collect()
     assert [(r.b, r.a) for r in sorted(got, key=lambda r: r.no)] == sorted((r.b, r.a) for r in got) and sorted(r.no for r in got) == list(range(1, 1001))
+
+
+def test_irr_computes_each_step_once(spark):
+    """One fold of Newton steps in the whole expression, and the rates of plain halving."""
+    flows = F.array(-F.col("id") - 5.0, *[(F.col("id") * k % 7 + 1).cast("double") for k in (1, 3, 5, 6)])
+    table = spark.range(50).select(flows.alias("flows")).select("flows", X.irr(F.col("flows")).alias("r"))
+    assert table._jdf.queryExecution().analyzed().toString().count("sequence(1, 40") == 1
+    for row in table.collect():
+        low, high = -0.99, 10.0
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(x / (1 + middle) ** i for i, x in enumerate(row.flows)) > 0 else (low, middle)
+        assert row.r == pytest.approx(low, abs=1e-9)
