@@ -121,3 +121,28 @@ def test_a_failure_leaves_no_document(spark, tmp_path, bad):
     with pytest.raises(Exception):
         documents.save(rows, str(tmp_path / "out"))
     assert files(tmp_path / "out") == ({"n5.txt": "mine"} if bad == "there" else {}) and not (tmp_path / "out" / "_temporary").exists()
+
+
+def test_names_stay_out_of_the_driver(spark, tmp_path):
+    """What an attempt reports doesn't grow with its documents; dealt over folders they are found again, and names that are there or come twice are refused."""
+    import pickle
+
+    def report(n):
+        rows = [{"name": f"n{k}", "body": "b"} for k in range(n)]
+        return len(pickle.dumps(documents.DocumentWriter({"path": str(tmp_path / f"r{n:03d}")}, False).write(iter(rows))))
+
+    assert report(1) == report(500) and report(500) < 400
+    rows = spark.range(0, 300, 1, 4).select(F.format_string("n%d", "id").alias("name"), F.repeat(F.lit("b"), F.col("id").cast("int")).alias("body"))
+    out = str(tmp_path / "out")
+    documents.save(rows, out, folders=7)
+    found = {f"n{k}.txt": k for k in range(300)}
+    assert {r["file"]: r["length"] for r in documents.lengths(spark, out, 7).collect()} == found
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"_SUCCESS", *(f"{k:05d}" for k in range(7))}
+    for bad in (rows.where("name = 'n7'"), spark.range(2).select(F.lit("new").alias("name"), F.lit("b").alias("body"))):
+        with pytest.raises(Exception, match="documents of one name"):
+            documents.save(bad, out, folders=7)
+    assert {r["file"]: r["length"] for r in documents.lengths(spark, out, 7).collect()} == found and not (tmp_path / "out" / "_temporary").exists()
+    documents.save(rows.limit(2), out, mode="overwrite", folders=7)
+    assert documents.lengths(spark, out, 7).count() == 2
+    documents.drop(spark, out, 7)
+    assert documents.lengths(spark, out, 7).count() == 0 and {p.name for p in (tmp_path / "out").iterdir()} == {"_SUCCESS"}
