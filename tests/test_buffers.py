@@ -121,3 +121,20 @@ def test_integers_beyond_32_bits(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {tuple(r) for r in queries.QUERIES["uint_roundtrip"](spark, str(tmp_path)).collect()}
     assert got == {(k, cust % 256, cust % 65536, k * 1009) for k, cust in rows}
+
+
+def test_nearest_colours_of_a_palette_that_repeats_its_colours(spark):
+    """Entries of one colour count once, dense colours and NaN are met exactly, and no cell holds a list of the palette."""
+    rng = random.Random(7)
+    nan = float("nan")
+    shades = [(rng.random() / 50, rng.random() / 50, rng.random()) for _ in range(200)] + [(nan, 0.5, 0.5), (0.01, nan, 0.2)]
+    entries = [(1, e, *shades[e * 31 % len(shades)]) for e in range(3000)] + [(2, 8, nan, 0.1, 0.1), (2, 3, nan, 0.2, 0.2)]
+    pixels = [(1, rng.random() / 40, rng.random() / 40, rng.random()) for _ in range(300)] + [(2, 0.1, 0.1, 0.1), (2, 0.7, 0.1, 0.9)]
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(pixels)], "i int, p int, red double, green double, blue double")
+    got = palettes.nearest(asked, spark.createDataFrame(entries, "p int, entry int, red double, green double, blue double"), ["p"])
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = {}
+    for i, (p, *c) in enumerate(pixels):
+        distances = [((x - c[0]) * (x - c[0]) + (y - c[1]) * (y - c[1]) + (z - c[2]) * (z - c[2]), e) for k, e, x, y, z in entries if k == p]
+        want[i] = min(((float("inf") if d != d else d), e) for d, e in distances)[1]
+    assert {r["i"]: r["colour"] for r in got.collect()} == want
