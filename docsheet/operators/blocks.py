@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import scratch, written
+from ..sources.shared import delete_table, scratch, written
 from .scan import scanned
 
 #: Columns of a sheet lie from 0 to 2^WIDTH - 1; rows of a chunk.
@@ -39,23 +39,37 @@ def block_aggregates(cells: DataFrame, blocks: DataFrame, extremes: bool = True,
     inside = F.when(F.col("column").between(0, 2**WIDTH - 1), F.col("column")).otherwise(F.raise_error(F.lit(f"columns lie from 0 to {2**WIDTH - 1}")).cast("long"))
     x = F.col("value").cast(kind)
     known = cells.where("row is not null and column is not null and value is not null").select(F.col("row").cast("long").alias("row"), inside.cast("long").alias("column"), x.alias("x"))
-    levels = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.col("column") / 2**j).alias("i")) for j in range(WIDTH + 1)]))
-    rows = known.select("row", "x", levels.alias("_k")).groupBy(F.col("_k.j").alias("j"), F.col("_k.i").alias("i"), "row").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    with scratch(cells.sparkSession):
-        rows, asked = written(rows), written(blocks.select("block", "r1", "r2", "c1", "c2").distinct())
+    spark = cells.sparkSession
+    with scratch(spark):
+        asked = written(blocks.select("block", "r1", "r2", "c1", "c2").distinct())
         fits = "r1 <= r2 and c1 <= c2"
-        pieces = asked.where(fits).select("block", "r1", "r2", F.explode(_intervals(F.greatest("c1", F.lit(0)), F.least("c2", F.lit(2**WIDTH - 1)))).alias("_k")).select("block", "r1", "r2", "_k.*")
+        pieces = written(asked.where(fits).select("block", "r1", "r2", F.explode(_intervals(F.greatest("c1", F.lit(0)), F.least("c2", F.lit(2**WIDTH - 1)))).alias("_k")).select("block", "r1", "r2", "_k.*"))
+        # a cell counts in those of its intervals that some block is made of: 2^(WIDTH + 1) - 1 there can be
+        needed = sorted(tuple(r) for r in pieces.select("j", "i").distinct().collect())
+        own = lambda j: F.floor(F.col("column") / 2**j).cast("long")
+        levels = [F.when(own(j).isin([i for k, i in needed if k == j]), F.struct(F.lit(j).alias("j"), own(j).alias("i"))) for j in sorted({j for j, _ in needed})]
+        kind_of = "array<struct<j:int,i:bigint>>"
+        lies_in = F.explode(F.array_compact(F.array(*levels)).cast(kind_of) if levels else F.array().cast(kind_of))
+        grouped = known.select("row", "x", lies_in.alias("_k")).groupBy(F.col("_k.j").alias("j"), F.col("_k.i").alias("i"), "row")
+        rows = grouped.agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), *([F.min("x").alias("lo"), F.max("x").alias("hi")] if extremes else []))
+        ends = ["lo", "hi"] if extremes else []
         edges = pieces.select("block", "j", "i", F.explode(F.array(F.struct((F.col("r1") - 1).alias("row"), F.lit(-1).alias("sign")), F.struct(F.col("r2").alias("row"), F.lit(1).alias("sign")))).alias("_e")).select("block", "j", "i", "_e.*")
-        data = rows.select(F.lit(None).cast(asked.schema["block"].dataType).alias("block"), "j", "i", F.col("row"), F.lit(0).alias("sign"), "n", "s", "q")
-        probes = edges.select("block", "j", "i", "row", "sign", *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in ("n", "s", "q")])
-        both = data.unionByName(probes).withColumn("probe", (F.col("sign") != 0).cast("int"))
-        sums = scanned(both, ["j", "i"], ["row", "probe"], sums={"n": F.col("n"), "s": F.col("s"), "q": F.col("q"), "rank": 1 - F.col("probe")}, ties=True).where("probe = 1")
-        found = written(sums.select("block", "j", "i", "sign", "n", "s", "q", "rank"))
+        data = rows.select(F.lit(None).cast(asked.schema["block"].dataType).alias("block"), "j", "i", F.col("row"), F.lit(0).alias("sign"), "n", "s", "q", *ends)
+        probes = edges.select("block", "j", "i", "row", "sign", *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in ("n", "s", "q", *ends)])
+        with scratch(spark):  # what is dealt goes with the scan; its rows and their numbers serve the extremes, too
+            both = written(data.unionByName(probes).withColumn("probe", (F.col("sign") != 0).cast("int")))
+            sums = scanned(both, ["j", "i"], ["row", "probe"], sums={"n": F.col("n"), "s": F.col("s"), "q": F.col("q"), "rank": 1 - F.col("probe")}, ties=True)
+            delete_table(both)
+            sums = sums if extremes else sums.where("probe = 1")
+            shown = lambda name: F.when(F.col("probe") == 1, F.col(name)).alias(name)  # noqa: E731  running sums are asked for at the edges of blocks alone
+            sums = written(sums.select("block", "j", "i", "sign", "probe", *[shown(x) for x in ("n", "s", "q")], "rank", *ends), kept=True)
+        found = sums.where("probe = 1")
         signed = lambda name: F.sum(F.col("sign") * F.col(name)).alias(name)
         totals = found.groupBy("block").agg(signed("n"), signed("s"), signed("q"))
         if extremes:
             spans = found.groupBy("block", "j", "i").agg(F.max(F.when(F.col("sign") < 0, F.col("rank"))).alias("a"), F.max(F.when(F.col("sign") > 0, F.col("rank"))).alias("b")).where("a < b")
-            totals = totals.join(_extremes(rows, written(spans)), "block", "left")
+            ranked = sums.where("probe = 0").select("j", "i", (F.col("rank") - 1).alias("rank"), "lo", "hi").withColumn("c", F.floor(F.col("rank") / CHUNK))
+            totals = totals.join(_extremes(ranked, written(spans)), "block", "left")
         out = written(asked.join(totals, "block", "left"), kept=True)
     n, s, q = F.coalesce("n", F.lit(0)).alias("n"), F.col("s").cast("double"), F.col("q").cast("double")
     spread = F.greatest(F.lit(0.0), q - s * s / F.col("n"))
@@ -65,10 +79,8 @@ def block_aggregates(cells: DataFrame, blocks: DataFrame, extremes: bool = True,
     return out.select("block", "r1", "r2", "c1", "c2", n, zero(s).alias("total"), zero(q).alias("squares"), some(1, s / F.col("n")).alias("average"), some(1, spread / F.col("n")).alias("varp"), some(2, spread / (F.col("n") - 1)).alias("var"), *ends)
 
 
-def _extremes(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(block, lo, hi): ``spans`` (block, j, i, a, b) are the rows numbered from a up to b of an interval."""
-    ranked = scanned(rows, ["j", "i"], ["row"], sums={"rank": F.lit(1)}).select("j", "i", (F.col("rank") - 1).alias("rank"), "lo", "hi").withColumn("c", F.floor(F.col("rank") / CHUNK))
-    ranked = written(ranked)
+def _extremes(ranked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(block, lo, hi): ``spans`` (block, j, i, a, b) are the rows numbered from a up to b of an interval, ``ranked`` (j, i, rank, lo, hi, c) all rows with their chunks."""
     ends = F.explode(F.array_distinct(F.array(F.floor(F.col("a") / CHUNK), F.floor((F.col("b") - 1) / CHUNK)))).alias("c")
     partly = spans.select("block", "j", "i", "a", "b", ends).join(ranked.groupBy("j", "i", "c").agg(F.collect_list(F.struct("rank", "lo", "hi")).alias("v")), ["j", "i", "c"])
     mine = partly.withColumn("v", F.filter("v", lambda r: (r["rank"] >= F.col("a")) & (r["rank"] < F.col("b")))).select("block", F.array_min(F.transform("v", lambda r: r["lo"])).alias("lo"), F.array_max(F.transform("v", lambda r: r["hi"])).alias("hi"))

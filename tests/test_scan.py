@@ -79,3 +79,17 @@ def test_blocks_without_cells(spark):
     none = spark.createDataFrame([], "row long, column long, value double")
     asked = spark.createDataFrame([(1, 0, 5, 0, 5)], "block int, r1 long, r2 long, c1 long, c2 long")
     assert [tuple(r)[5:] for r in blocks.block_aggregates(none, asked).collect()] == [(0, 0.0, 0.0, None, None, None, None, None)]
+
+
+def test_blocks_scan_the_intervals_they_need_once(spark, monkeypatch):
+    """Cells go into one scan, only by the intervals that some block is made of."""
+    seen, plain = [], blocks.scanned
+
+    def counted(rows, *args, **more):
+        seen.append(rows.count())
+        return plain(rows, *args, **more)
+
+    monkeypatch.setattr(blocks, "scanned", counted)
+    cells = spark.createDataFrame([(r, c, r * c) for r in range(50) for c in range(8)], "row long, column long, value int")
+    got = blocks.block_aggregates(cells, spark.createDataFrame([(1, 10, 20, 3, 3)], "block int, r1 long, r2 long, c1 long, c2 long")).first()
+    assert (got["n"], got["total"], got["low"], got["high"]) == (11, 495.0, 30.0, 60.0) and seen == [52]
